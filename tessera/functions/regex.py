@@ -27,6 +27,8 @@ class Pattern:
     plain: str | None = None
     #: Matches of this one are to be taken off the plain one's.
     except_plain: str | None = None
+    #: Every match holds one of these (lower case, if case is ignored). Looking for them first is far cheaper.
+    needles: tuple[str, ...] = ()
 
     @property
     def java(self) -> str:
@@ -39,8 +41,16 @@ class Pattern:
         out = re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", text)
         return ("(?i)" if self.ignore_case else "") + out
 
-    def count(self, text: Column) -> Column:
-        return F.regexp_count(text, F.lit(self.java))
+    def count(self, text: Column, low: Column | None = None) -> Column:
+        """How many matches. ``low`` is the text in lower case; with it, texts without a needle aren't searched."""
+        n = F.regexp_count(text, F.lit(self.java))
+        if low is None or not self.needles:
+            return n
+        hay = low if self.ignore_case else text
+        may = hay.contains(self.needles[0])
+        for needle in self.needles[1:]:
+            may = may | hay.contains(needle)
+        return F.when(may, n).otherwise(0)
 
     def found(self, text: Column) -> Column:
         return text.rlike(self.java)
@@ -66,10 +76,10 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def total(patterns: list[Pattern], text: Column) -> Column:
+def total(patterns: list[Pattern], text: Column, low: Column | None = None) -> Column:
     out = F.lit(0)
     for p in patterns:
-        out = out + p.count(text)
+        out = out + p.count(text, low)
     return out
 
 

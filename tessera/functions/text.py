@@ -89,7 +89,7 @@ def rounded(x: Column, places: int = 0) -> Column:
 
 
 def sql_rounded(x: str, places: int = 0) -> str:
-    return f"(floor({x} * {10.0**places} + 0.5)::DOUBLE / {10.0**places})"
+    return f"(floor(({x}) * {10.0**places} + 0.5)::DOUBLE / {10.0**places})"
 
 
 def english_ratio(text: Column) -> Column:

@@ -15,7 +15,18 @@ from tessera.functions import catalog as c
 from tessera.functions.regex import Pattern, total
 from tessera.functions.text import TOKEN, bind, normalised, per_1000, rounded, words
 
-text, norm, n_words = F.col("text"), F.col("norm"), F.col("words")
+
+
+class _Columns:
+    """The context's columns by name; made when asked for, as a session must be there by then."""
+
+    names = {"text": "text", "norm": "norm", "n_words": "words", "low": "low", "low_text": "low_text"}
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(self.names[name])
+
+
+_c = _Columns()
 _ONE_OF = "|".join(sorted(c.BUZZWORDS, key=len, reverse=True))
 #: A buzzword, and itself again after single separators: counting consumes separators, so of such a chain every second counts.
 BUZZ = rf"(?<![a-zA-Z-])({_ONE_OF})(?:[^a-zA-Z-]\1(?![a-zA-Z-]))*(?![a-zA-Z-])"
@@ -34,14 +45,13 @@ def _struct(triggered: Column, **evidence: Column) -> Column:
 
 
 def _density(count: Column, places: int = 1, least: int | None = None) -> Column:
-    of = n_words if least is None else F.when(n_words == 0, least).otherwise(n_words)
+    of = _c.n_words if least is None else F.when(_c.n_words == 0, least).otherwise(_c.n_words)
     return rounded(per_1000(count, of), places)
 
 
 def buzzword_density() -> Column:
-    low = F.lower(norm)
     chains = F.zip_with(
-        F.regexp_extract_all(low, F.lit(BUZZ), F.lit(1)), F.regexp_extract_all(low, F.lit(BUZZ), F.lit(0)),
+        F.regexp_extract_all(_c.low, F.lit(BUZZ), F.lit(1)), F.regexp_extract_all(_c.low, F.lit(BUZZ), F.lit(0)),
         lambda w, m: F.struct(w.alias("w"), F.ceil((F.length(m) + 1) / (F.length(w) + 1) / 2).cast("int").alias("n")),
     )
     known = F.array(*[F.lit(w) for w in c.BUZZWORDS])
@@ -58,41 +68,41 @@ def buzzword_density() -> Column:
     def judged(x: Column) -> Column:
         hits, distinct = x["hits"], F.size(x["by"])
         top = F.transform(F.slice(x["by"], 1, 6), lambda y: F.concat(y["w"], F.lit(":"), (-y["n"]).cast("string")))
-        return _struct((distinct >= 4) | ((hits >= 3) & (per_1000(hits, n_words) >= 6)), total=hits, distinct=distinct, density=_density(hits), top_words=F.array_join(top, " "))
+        return _struct((distinct >= 4) | ((hits >= 3) & (per_1000(hits, _c.n_words) >= 6)), total=hits, distinct=distinct, density=_density(hits), top_words=F.array_join(top, " "))
 
     return bind(bind(chains, counted), judged)
 
 
 def em_dash_overload() -> Column:
-    em, en = Pattern(r"—").count(text), Pattern(r"\s–\s").count(text)
-    dense = per_1000(em, n_words)
-    return _struct(((em >= 4) & (dense >= 7)) | ((em >= 8) & (n_words >= 300)), em_dashes=em, en_dashes=en, total=em + en, density=rounded(dense, 1))
+    em, en = Pattern(r"—").count(_c.text), Pattern(r"\s–\s").count(_c.text)
+    dense = per_1000(em, _c.n_words)
+    return _struct(((em >= 4) & (dense >= 7)) | ((em >= 8) & (_c.n_words >= 300)), em_dashes=em, en_dashes=en, total=em + en, density=rounded(dense, 1))
 
 
 def antithesis_construction() -> Column:
-    n = total(c.ANTITHESIS, norm)
-    return _struct(n >= 2, total=n, bare=total(c.BARE_ANTITHESIS, norm))
+    n = total(c.ANTITHESIS, _c.norm, _c.low)
+    return _struct(n >= 2, total=n, bare=total(c.BARE_ANTITHESIS, _c.norm, _c.low))
 
 
 def filler_openers() -> Column:
-    n = total(c.FILLER, norm)
+    n = total(c.FILLER, _c.norm, _c.low)
     return _struct(n >= 1, total=n)
 
 
 def formulaic_closers() -> Column:
     last = F.array_join(F.slice("paragraphs", -2, 2), "\n\n")
-    n = c.CLOSER.count(F.when(F.size("paragraphs") >= 3, normalised(last)).otherwise(norm))
+    n = F.when(F.size("paragraphs") >= 3, c.CLOSER.count(normalised(last))).otherwise(c.CLOSER.count(_c.norm, _c.low))
     return _struct(n >= 1, total=n)
 
 
 def rule_of_three() -> Column:
-    n = total(c.TRICOLON, text)
-    dense = per_1000(n, F.when(n_words == 0, 100).otherwise(n_words))
+    n = total(c.TRICOLON, _c.text, _c.low_text)
+    dense = per_1000(n, F.when(_c.n_words == 0, 100).otherwise(_c.n_words))
     return _struct((n >= 3) & (dense >= 5), total=n, density=rounded(dense, 1))
 
 
 def whether_youre() -> Column:
-    n = c.WHETHER.count(norm)
+    n = c.WHETHER.count(_c.norm, _c.low)
     return _struct(n >= 1, total=n)
 
 
@@ -106,7 +116,7 @@ def emoji_bullet_headers() -> Column:
 
 
 def _without_urls() -> Column:
-    return F.when(text.contains("://"), F.regexp_replace(text, URL, " ")).otherwise(text)
+    return F.when(_c.text.contains("://"), F.regexp_replace(_c.text, URL, " ")).otherwise(_c.text)
 
 
 def hidden_tag_characters() -> Column:
@@ -115,7 +125,9 @@ def hidden_tag_characters() -> Column:
 
 
 def invisible_characters() -> Column:
-    return bind(F.regexp_replace(_without_urls(), FLAG, ""), _invisible)
+    none = _struct(F.lit(False), **{k: F.lit(0) for k in ("in_word", "zero_width", "narrow_nbsp", "nbsp")})
+    may = (F.length(_c.text) != F.octet_length(_c.text)) & _c.text.rlike(r"[\x{A0}\x{200B}-\x{200D}\x{202F}\x{2060}\x{FEFF}]")
+    return F.when(may, bind(F.regexp_replace(_without_urls(), FLAG, ""), _invisible)).otherwise(none)
 
 
 def _invisible(bare: Column) -> Column:
@@ -138,18 +150,22 @@ def fake_bold_math_alnum() -> Column:
 
 def chatbot_markup_leak() -> Column:
     lines = F.array_join(F.transform("attributes", lambda a: F.concat(a["attr"], F.lit("="), a["value"])), "\n")
-    whole = F.when(F.size("attributes") > 0, F.concat(norm, F.lit("\n"), lines)).otherwise(norm)
-    each = {k: F.least(p.count(whole), F.lit(50)) for k, p in c.MARKUP.items()}
+    whole = F.when(F.size("attributes") > 0, F.concat(_c.norm, F.lit("\n"), lines)).otherwise(_c.norm)
+    return bind(whole, lambda w: bind(F.lower(w), lambda small: _markup(w, small)))
+
+
+def _markup(whole: Column, small: Column) -> Column:
+    each = {k: F.least(p.count(whole, small), F.lit(50)) for k, p in c.MARKUP.items()}
     n = sum(each.values(), F.lit(0))
     families = F.array_compact(F.array(*[F.when(v > 0, k) for k, v in each.items()]))
-    meta = (F.size(families) >= 3) & c.META.found(norm)
+    meta = (F.size(families) >= 3) & c.META.found(_c.norm)
     return _struct(n >= 1, total=n, families=F.array_join(families, ","), effective_tier=F.when(meta, "Warning").otherwise("Error"))
 
 
 def chatbot_reply_residue() -> Column:
-    errors, warnings = total(c.RESIDUE_ERRORS, norm), total(c.RESIDUE_WARNINGS, norm)
+    errors, warnings = total(c.RESIDUE_ERRORS, _c.norm, _c.low), total(c.RESIDUE_WARNINGS, _c.norm, _c.low)
     return _struct(
-        errors + warnings >= 1, total=errors + warnings, error_hits=errors, warning_hits=warnings, the_user=c.THE_USER.count(norm),
+        errors + warnings >= 1, total=errors + warnings, error_hits=errors, warning_hits=warnings, the_user=c.THE_USER.count(_c.norm, _c.low),
         effective_tier=F.when(errors > 0, "Error").when(warnings > 0, "Warning").otherwise("Suggestion"),
     )
 
@@ -167,15 +183,15 @@ def ai_referral_utm_links() -> Column:
 
 
 def unfilled_placeholders() -> Column:
-    sure, generic = total(c.PLACEHOLDERS, text), total(c.GENERIC_PLACEHOLDERS, text)
+    sure, generic = total(c.PLACEHOLDERS, _c.text, _c.low_text), total(c.GENERIC_PLACEHOLDERS, _c.text, _c.low_text)
     return _struct((sure >= 1) | (generic >= 2), unambiguous=sure, generic=generic, total=sure + generic)
 
 
 def leaked_markdown() -> Column:
-    parts = dict(bold=c.BOLD.count(text), headings=c.MARKDOWN_HEADING.count(text), inline_links=c.MARKDOWN_LINK.count(text), rules=c.MARKDOWN_RULE.count(text))
+    parts = dict(bold=c.BOLD.count(_c.text, _c.low_text), headings=c.MARKDOWN_HEADING.count(_c.text, _c.low_text), inline_links=c.MARKDOWN_LINK.count(_c.text, _c.low_text), rules=c.MARKDOWN_RULE.count(_c.text, _c.low_text))
     n = sum(parts.values(), F.lit(0))
     kinds = sum([(v > 0).cast("int") for v in parts.values()], F.lit(0))
-    return _struct((n >= 2) | (kinds >= 2), **parts, total=n, kinds=kinds, downgraded=c.MARKDOWN_WORD.count(text) >= 2)
+    return _struct((n >= 2) | (kinds >= 2), **parts, total=n, kinds=kinds, downgraded=c.MARKDOWN_WORD.count(_c.text, _c.low_text) >= 2)
 
 
 def structural_fake_social_proof() -> Column:
@@ -187,12 +203,13 @@ def structural_fake_social_proof() -> Column:
 
 def _no_x_ids(patterns: list[Pattern], each: int) -> Column:
     """Node ids that two rules share for the same phrase, so that it isn't scored twice."""
-    found = F.flatten(F.array(*[F.slice(F.array_distinct(p.all(norm)), 1, each) for p in patterns]))
+    found = F.flatten(F.array(*[F.slice(F.array_distinct(p.all(_c.norm)), 1, each) for p in patterns]))
+    found = F.when(total(patterns, _c.norm, _c.low) > 0, found).otherwise(F.array().cast("array<string>"))
     return F.transform(found, lambda s: F.concat(F.lit("copy:no_x_no_y:"), F.lower(F.substring(s, 1, 24))))
 
 
 def bare_antithesis() -> Column:
-    n = total(c.BARE_ANTITHESIS, norm)
+    n = total(c.BARE_ANTITHESIS, _c.norm, _c.low)
     return _struct(n >= 2, total=n, node_ids=_no_x_ids(c.BARE_ANTITHESIS, 2))
 
 
@@ -203,7 +220,7 @@ def emoji_heading_ratio() -> Column:
 
 
 def announced_structure() -> Column:
-    first = F.when(F.size("paragraphs") > 0, F.array_join(F.slice("paragraphs", 1, 2), "\n\n")).otherwise(F.substring(text, 1, 800))
+    first = F.when(F.size("paragraphs") > 0, F.array_join(F.slice("paragraphs", 1, 2), "\n\n")).otherwise(F.substring(_c.text, 1, 800))
     n = c.ANNOUNCED.count(normalised(first))
     return _struct(n >= 1, count=n)
 
@@ -214,7 +231,7 @@ def _content(part: Column) -> Column:
 
 
 def restated_thesis_closer() -> Column:
-    split = F.filter(F.split(text, r"\n\n+"), lambda x: x != "")
+    split = F.filter(F.split(_c.text, r"\n\n+"), lambda x: x != "")
     paras = F.when(F.size("paragraphs") >= 2, F.col("paragraphs")).otherwise(split)
     both = F.size(F.filter(paras, lambda p: c.LEGACY.found(p) & c.MODERN.found(p)))
     opening, closing = _content(F.coalesce(F.get("headings", F.lit(0)), F.get(paras, F.lit(0)))), F.element_at(paras, -1)
@@ -229,14 +246,14 @@ def restated_thesis_closer() -> Column:
 
 
 def context_leak_copy() -> Column:
-    each = {k: p.count(norm if k == "no_x_no_y" else text) for k, p in c.CONTEXT_LEAKS.items()}
+    each = {k: p.count(_c.norm, _c.low) if k == "no_x_no_y" else p.count(_c.text, _c.low_text) for k, p in c.CONTEXT_LEAKS.items()}
     n = sum(each.values(), F.lit(0))
     return _struct(n >= 1, **each, total=n, node_ids=_no_x_ids([c.NO_NO_JUST], 3))
 
 
 def trailing_participial_clauses() -> Column:
-    n = c.PARTICIPIAL.count(text)
-    return _struct((n >= 3) & (n_words >= 300), count=n, density=_density(n, 1, 100), nominalisation=_density(c.NOMINALISATION.count(text), 1, 100))
+    n = c.PARTICIPIAL.count(_c.text, _c.low_text)
+    return _struct((n >= 3) & (_c.n_words >= 300), count=n, density=_density(n, 1, 100), nominalisation=_density(c.NOMINALISATION.count(_c.text, _c.low_text), 1, 100))
 
 
 def sentence_lengths(source: Column) -> Column:
@@ -245,7 +262,7 @@ def sentence_lengths(source: Column) -> Column:
 
 
 def sentence_length_uniformity() -> Column:
-    source = F.when(F.size("paragraphs") > 0, F.array_join("paragraphs", " ")).otherwise(text)
+    source = F.when(F.size("paragraphs") > 0, F.array_join("paragraphs", " ")).otherwise(_c.text)
 
     def sums(lengths: Column) -> Column:
         add = lambda square: F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + (x * x if square else x))
@@ -281,7 +298,7 @@ def context(df: DataFrame, text_col: str = "text") -> DataFrame:
     }
     out = df.withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumns({k: F.coalesce(F.col(k), F.array().cast(t)) if k in have else F.array().cast(t) for k, t in empty.items()})
-    return out.withColumns({"norm": normalised(text), "words": words(text)})
+    return out.withColumns({"norm": normalised(_c.text), "words": words(_c.text)}).withColumns({"low": F.lower(_c.norm), "low_text": F.lower(_c.text)})
 
 
 def evidence(df: DataFrame, rules: list[str] | None = None) -> DataFrame:
