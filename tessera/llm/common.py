@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column that tells its rows apart, the same whenever and wherever it is read.
+
+    The key is the file a row stands in and its place there. (A running number depends on
+    how files are split into tasks, which can change as executors come and go.) What
+    isn't read from files is written to the shared folder first.
+    """
+    try:
+        at = df.metadataColumn("_metadata")
+        return df.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row")))
+    except AnalysisException:
+        return numbered(written(df, "rows"), name)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in, which does the same there."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

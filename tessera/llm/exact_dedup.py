@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, written
+from tessera.llm.common import ascii_lower, free_name, numbered, written
 
 MIN_CHUNK = 512
 MAX_CHUNK = 8192
@@ -27,13 +27,10 @@ def chunks_of(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Co
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its row number, digest of the whole text, and its chunks' digests."""
+    """One row per document: its row key, digest of the whole text, and its chunks' digests."""
+    key = free_name(docs, ROW)
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias(ROW),
-        F.col(id_col).cast("long").alias("doc_id"),
-        norm.alias("norm"),
-    )
+    rows = numbered(docs, key).select(F.col(key).alias(ROW), F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
     pieces = F.transform(
         chunks_of(F.col("norm")),
         lambda c: F.struct(F.xxhash64(c).alias("weak"), F.unhex(F.sha2(c, 256)).alias("strong")),
@@ -67,11 +64,11 @@ def recipes(chunked: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: row number, doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
+    """A row per row of ``docs``: row key, doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Null texts count as empty, and all empty texts are equal. The row with the
     largest id of a group stays; a null id is smaller than any other; of rows that
-    repeat the largest id one stays (the last as read). No rows in, no rows out.
+    repeat the largest id one stays (that with the largest row key). No rows in, no rows out.
     Other columns, whatever their names, are not looked at.
     """
     lists = recipes(written(chunk_table(docs, id_col, text_col), "chunks"))
@@ -90,6 +87,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay. ``docs`` must be read from files, so that row numbers hold."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(kept, ROW, "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    key = free_name(docs, ROW)
+    rows = numbered(docs, key)
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(ROW).alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

@@ -9,7 +9,7 @@ thresholds only grow with the budget, smaller mixes nest in larger ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,14 +24,15 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 
 
-def sized(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, source, size in words, and the document's hash of 60 bits."""
+def sized(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", *more: Column) -> DataFrame:
+    """doc_id, source, size in words, the document's hash of 60 bits, and ``more``."""
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("h"),
+        *more,
     )
 
 
@@ -99,6 +100,19 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
     return bounds, shift
 
 
+def taken_words(rows: DataFrame, bounds: DataFrame, shift: int) -> DataFrame:
+    """``rows`` (source, size, h and more) with source_size, target and taken."""
+    bounds = bounds.withColumnRenamed("source", "s")
+    both = rows.join(bounds, F.col("source").eqNullSafe(F.col("s")))
+    bucket, room = F.shiftright("h", shift), F.col("rest") - F.col("below")
+    at_edge = F.when(
+        F.col("docs") == 1, F.when(room * 2 >= F.col("size"), F.col("size")).otherwise(0)
+    ).otherwise(F.floor(F.col("size") * room / F.greatest("inside", F.lit(1))))
+    more = F.when(bucket < F.col("bucket"), F.col("size")).when(bucket == F.col("bucket"), at_edge).otherwise(0)
+    names = [c for c in rows.columns if c != "h"]
+    return both.select(*names, "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken"))
+
+
 def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words the mix takes of each row.
 
@@ -110,24 +124,17 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame
     repeat count each. No documents, no rows. Other columns are not looked at.
     """
     sizes = written(sized(docs, seed, id_col), "mix-sizes")
-    bounds, shift = thresholds(sizes, source_targets(sizes))
-    bounds = bounds.withColumnRenamed("source", "s")
-    rows = sizes.join(bounds, F.col("source").eqNullSafe(F.col("s")))
-    bucket, room = F.shiftright("h", shift), F.col("rest") - F.col("below")
-    at_edge = F.when(
-        F.col("docs") == 1, F.when(room * 2 >= F.col("size"), F.col("size")).otherwise(0)
-    ).otherwise(F.floor(F.col("size") * room / F.greatest("inside", F.lit(1))))
-    more = F.when(bucket < F.col("bucket"), F.col("size")).when(bucket == F.col("bucket"), at_edge).otherwise(0)
-    return rows.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + more).cast("long").alias("taken")
-    )
+    return taken_words(sizes, *thresholds(sizes, source_targets(sizes)))
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix: each as often as it is taken whole, rounded to the nearest."""
-    row = "_tessera_row"
-    taken = mix(docs.withColumn(id_col, F.monotonically_increasing_id()), seed, id_col).select(
-        F.col("doc_id").alias(row), F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("_copies")
-    )
-    often = docs.withColumn(row, F.monotonically_increasing_id()).join(taken.where("_copies > 0"), row)
-    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The documents of the mix, with all their columns: each as often as it is taken whole, rounded to the nearest.
+
+    The choice hangs on the documents' ids alone, so that reruns agree.
+    """
+    sizes = written(sized(docs, seed, id_col), "mix-sizes")
+    row = F.struct(*docs.columns).alias("row")
+    taken = taken_words(sized(docs, seed, id_col, row), *thresholds(sizes, source_targets(sizes)))
+    copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    often = taken.select("row", copies.alias("copies")).where("copies > 0")
+    return often.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

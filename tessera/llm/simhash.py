@@ -20,8 +20,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import LOWER, UPPER, written
+from tessera.llm.common import LOWER, UPPER, free_name, numbered, written
 from tessera.llm.components import components
 
 SHINGLE = 3
@@ -65,13 +66,13 @@ def fingerprint(text: str) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit integer. A null text has no words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b)).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
+    @F.pandas_udf("long")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), of(whole).alias("fp"))
 
 
 class Forest:
@@ -186,6 +187,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wordless texts have fingerprint zero and are linked like any other. Rows that repeat
     are in one component. No documents, no rows. Other columns are not looked at.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.StructType):
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        id_col, text_col = "doc_id", "text"
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
@@ -198,8 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_per_component(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The first row of each component. ``docs`` must be read from files, so that row numbers hold."""
-    row = "_tessera_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    kept = near_duplicates(numbered, row, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(row))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    """One row of each component, that with the smallest row key, with all its columns, whatever their names."""
+    key = free_name(docs, "_tessera_row")
+    rows = numbered(docs, key)
+    kept = near_duplicates(rows.select(key, text_col), key, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
