@@ -1,10 +1,11 @@
 """Exact top-k by inner product without random access.
 
-Vectors are dealt into blocks. Within a block every component has a list sorted by
-value. A query reads all lists from their better end, at the same depth; what it
-has read gives each vector a lower and an upper bound of its score. Reading stops
-when too few vectors to matter can still reach the k-th best lower bound; their
-scores are then resolved. Blocks' lists of k are merged.
+Vectors are dealt into blocks, and blocks into stripes that a task reads one after
+the other. Within a block every component has a list sorted by value. A query reads
+all lists from their better end, at the same depth; what it has read gives each
+vector a lower and an upper bound of its score. Vectors that can't reach the k-th
+best lower bound, or the k-th best score of the blocks before, are out; when few are
+left their scores are resolved. Stripes' lists of k are merged.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import numbered, written
 
 K = 10
 SCALE = 1024
 EVERY = 100
-#: Vectors of a candidate block, and queries of a query block.
-BLOCK = 4096
+#: Vectors of a block, blocks that one task reads in turn, and queries it answers.
+BLOCK, STRIPE, QUERIES = 4096, 8, 256
+#: How far lists are read before the bounds are looked at.
+SHARES = (3 / 8, 5 / 8)
 FOUND = "query_id long, query_row long, vec_id long, score long"
 
 
@@ -42,50 +45,65 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors, ids
-        self.order = np.argsort(vectors.T, axis=1, kind="stable")
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best, highest first, ties to the smaller id; the query's own id takes no part."""
+        order = np.argsort(vectors.T, axis=1, kind="stable")
+        self.values = np.take_along_axis(vectors.T, order, axis=1).astype(np.float64)
+        self.order = order.astype(np.int32)
+
+    def read(self, lists: np.ndarray, q: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+        """The first ``depth`` entries of lists from their better end: numbers and gains, the next gain, and the last."""
+        n, up = len(self.ids), q > 0
+        a, b, qa, qb = lists[up], lists[~up], q[up], q[~up]
+        got = np.concatenate([self.order[a, n - depth :], self.order[b, :depth]])
+        gain = np.concatenate([self.values[a, n - depth :] * qa[:, None], self.values[b, :depth] * qb[:, None]])
+        edge = np.concatenate([self.values[a, n - depth - 1] * qa, self.values[b, depth] * qb])
+        worst = np.concatenate([self.values[a, 0] * qa, self.values[b, n - 1] * qb])
+        return got, gain, edge, worst
+
+    def top(self, query: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best, highest first, ties to the smaller id; the query's own id takes no part.
+
+        Vectors that can't reach ``bar``, the k-th best score known from elsewhere, may be left out.
+        """
         n = len(self.ids)
         dims = np.flatnonzero(query)
-        q, flip = query[dims], query[dims] > 0
-        # lists from their better end
-        order = np.where(flip[:, None], self.order[dims, ::-1], self.order[dims])
-        gains = np.where(flip[:, None], self.values[dims, ::-1], self.values[dims]) * q[:, None]
-        worst, rank = gains[:, -1] if n else q, np.arange(len(dims))[:, None]
-        read = np.zeros((n, len(dims)), bool)
-        known, least = np.zeros(n, np.int64), np.full(n, worst.sum() if len(dims) else 0, np.int64)
-        able = self.ids != own
-        alive, depth = np.flatnonzero(able), 0
-        step = max(64, n // 16)
-        while len(dims) and depth < n and len(alive) > 4 * k:
-            part = slice(depth, min(depth + step, n))
-            got, gain = order[:, part], gains[:, part]
-            read[got, rank] = True
-            np.add.at(known, got.ravel(), gain.ravel())
-            np.add.at(least, got.ravel(), (gain - worst[:, None]).ravel())
-            depth, step = part.stop, step * 4
-            if depth == n:
+        q = query[dims].astype(np.float64)
+        alive = np.flatnonzero(self.ids != own)
+        for share in SHARES if len(dims) and len(alive) > 4 * k else ():
+            got, gain, edge, worst = self.read(dims, q, int(n * share))
+            flat = got.ravel()
+            most = edge.sum() + np.bincount(flat, (gain - edge[:, None]).ravel(), n)
+            least = worst.sum() + np.bincount(flat, (gain - worst[:, None]).ravel(), n)
+            here = least[alive] if len(alive) > k else np.full(1, -np.inf)
+            bar = max(bar, np.partition(here, len(here) - k)[len(here) - k] if len(here) > k else -np.inf)
+            spare = 1 + 1e-9 * (np.abs(worst).sum() + np.abs(edge).sum())  # for rounding
+            alive = alive[most[alive] + spare >= bar]
+            if len(alive) <= max(4 * k, n // 16):
                 break
-            edge = gains[:, depth]
-            most = known[alive] + (edge.sum() - read[alive].astype(np.float64) @ edge.astype(np.float64)).astype(np.int64)
-            bar = np.partition(least[alive], len(alive) - k)[len(alive) - k] if len(alive) > k else least.min()
-            alive = alive[most + 1 >= bar]  # one to spare for rounding
         score = self.vectors[alive] @ query
         best = np.lexsort((self.ids[alive], -score))[:k]
         return self.ids[alive][best], score[best]
 
 
-def _block_top(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
-    if not len(queries) or not len(block):
-        return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in FOUND.split(", ")})
-    lists = SortedLists(np.stack(block["v"].to_numpy()).astype(np.int64), block["vec_id"].to_numpy())
-    out = []
-    for query_id, row, v in zip(queries["vec_id"], queries["row"], queries["v"]):
-        ids, score = lists.top(np.asarray(v, np.int64), query_id, k)
-        out.append(pd.DataFrame({"query_id": query_id, "query_row": row, "vec_id": ids, "score": score}))
-    return pd.concat(out)
+def _stripe_top(queries: pd.DataFrame, stripe: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
+    """Blocks of a stripe one after the other: what a query has found so far is the bar for the next."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    if not len(queries) or not len(stripe):
+        return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
+    asked = [np.asarray(v, np.int64) for v in queries["v"]]
+    owns = queries["vec_id"].to_numpy()
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in asked]
+    ids, vectors = stripe["vec_id"].to_numpy(), stripe["v"].to_numpy()
+    for at in range(0, len(ids), block):
+        lists = SortedLists(np.stack(vectors[at : at + block]).astype(np.int64), ids[at : at + block])
+        for i, query in enumerate(asked):
+            known, scores = held[i]
+            more, gained = lists.top(query, owns[i], k, float(scores[-1]) if len(scores) == k else -np.inf)
+            known, scores = np.concatenate([known, more]), np.concatenate([scores, gained])
+            best = np.lexsort((known, -scores))[:k]
+            held[i] = known[best], scores[best]
+    sizes = [len(known) for known, _ in held]
+    columns = (np.repeat(owns, sizes), np.repeat(queries["row"].to_numpy(), sizes), np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+    return pd.DataFrame(dict(zip(names, columns)))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -98,13 +116,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     """
     rows = written(vectors, "vectors")
     asked = written(queries.select("vec_id", "v", "d", F.xxhash64("v").alias("row")).distinct(), "queries")
-    blocks = max(1, math.ceil(rows.count() / block))
-    parts = max(1, math.ceil(asked.count() / block))
+    stripes = max(1, math.ceil(rows.count() / (block * STRIPE)))
+    parts = max(1, math.ceil(asked.count() / QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
-    right = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
-    found = left.groupBy("d", "part", "block").cogroup(right.groupBy("d", "part", "block")).applyInPandas(
-        lambda a, b: _block_top(a, b, k), FOUND
+    left = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "row"), F.lit(parts)).cast("int")).withColumn("stripe", every(stripes))
+    # by the place of a row, so that rows that share an id, however many, are dealt evenly
+    dealt = numbered(rows.select("vec_id", "v", "d"), "place").withColumn("stripe", F.pmod(F.xxhash64("place"), F.lit(stripes)).cast("int"))
+    right = dealt.drop("place").withColumn("part", every(parts))
+    found = left.groupBy("d", "part", "stripe").cogroup(right.groupBy("d", "part", "stripe")).applyInPandas(
+        lambda a, b: _stripe_top(a, b, k, block), FOUND
     )
     best = W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
