@@ -70,7 +70,8 @@ def luminance(c: Column) -> Column:
 
 def contrast(x: Column, y: Column) -> Column:
     both = F.struct(luminance(x).alias("a"), luminance(y).alias("b"))
-    return bind(both, lambda p: (F.greatest(p["a"], p["b"]) + 0.05) / (F.least(p["a"], p["b"]) + 0.05))
+    known = lambda p: p["a"].isNotNull() & p["b"].isNotNull()
+    return bind(both, lambda p: F.when(known(p), (F.greatest(p["a"], p["b"]) + 0.05) / (F.least(p["a"], p["b"]) + 0.05)))
 
 
 def chroma(lab: Column) -> Column:

@@ -83,7 +83,7 @@ _PAGES: dict[str, list[tuple]] = {
     "purple_accent": [_el("BUTTON", "Start", backgroundColor=_PURPLE)],
     "outline_purple": [_el("BUTTON", "Start", cls="btn-outline", backgroundColor=_PURPLE)],
     "gradient_text": [_el("H1", "Shine", backgroundClip="text", backgroundImage="linear-gradient(red, blue)")],
-    "gradient_backgrounds": [_el("SECTION", parent=k, width=1000, height=800, backgroundImage="linear-gradient(red, blue)") for k in (1, 2)],
+    "gradient_backgrounds": [_el("SECTION", parent=k, width=1000, height=800, backgroundImage="linear-gradient(red, blue)") for k in (8, 9)],
     "accent_stripe": _times(2, lambda k: _el("DIV", top=100 + 90 * k, height=80, borderLeftWidth="4px")),
     "accent_stripe_2026": _times(2, lambda k: _el("DIV", top=100 + 90 * k, height=80, borderTopWidth="2px")),
     "glassmorphism": _times(2, lambda k: _el("DIV", backdropFilter="blur(12px)", backgroundColor="rgba(255, 255, 255, 0.3)")),
@@ -110,7 +110,7 @@ _PAGES: dict[str, list[tuple]] = {
     "icon_card_grid": _times(3, lambda k: _el("DIV", parent=5, left=320 * k, icon="32px", **_CARD)),
     "uniform_card_hover": _times(4, lambda k: _el("DIV", transitionDuration="0.2s", transitionProperty="transform", transitionTimingFunction="ease", **_CARD)),
     "section_template_repetition": _times(3, lambda k: _el("SECTION", gridTemplateColumns="1fr 1fr", display="grid")),
-    "fake_macos_terminal": _times(3, lambda k: _el("SPAN", parent=3, left=20 * k, width=12, height=12, borderRadius="6px")),
+    "fake_macos_terminal": _times(3, lambda k: _el("SPAN", parent=9, left=20 * k, width=12, height=12, borderRadius="6px")),
     "fake_logo_bar": _times(5, lambda k: _el("IMG", parent=4, href=f"/logo{k % 2}.svg")),
     "numbered_steps": _times(3, lambda k: _el("DIV", f"{k + 1}. Do this", parent=6)),
     "stat_banner": [_el("DIV", t, top=400, fontSize="40px") for t in ("10k+", "99%", "24")],
