@@ -71,16 +71,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat the largest id one stays (that with the largest row key). No rows in, no rows out.
     Other columns, whatever their names, are not looked at.
     """
-    lists = recipes(written(chunk_table(docs, id_col, text_col), "chunks"))
-    groups = lists.groupBy("recipe").agg(
-        F.max(F.struct("doc_id", ROW)).alias("keep"), F.count(F.lit(1)).alias("group_size")
+    lists = written(recipes(written(chunk_table(docs, id_col, text_col), "chunks")), "recipes")
+    # only what has copies is joined back; both sides are plain tables, so a large group's rows can be split among tasks
+    copied = written(
+        lists.groupBy("recipe").agg(F.max(F.struct("doc_id", ROW)).alias("keep"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"),
+        "copied-recipes",
     )
-    return lists.join(groups, "recipe").select(
+    alone = F.col("group_size").isNull()
+    return lists.join(copied, "recipe", "left").select(
         ROW,
         "doc_id",
-        F.col("keep.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col(ROW) == F.col(f"keep.{ROW}")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col(ROW) == F.col(f"keep.{ROW}"))).alias("kept"),
         "text_sha256",
         F.size("recipe").alias("n_chunks"),
     )
