@@ -16,7 +16,7 @@ from tessera.sources.html import (
     HEADING, LANGUAGE, LINK, PARAGRAPH, attributes, copy_input, host, sql_strip_html, sql_without_code, strip_html,
 )
 from tessera.sources.literal import copy_cases
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 D = f"""d0 AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
 d AS (SELECT *, {sql_normalised('text')} AS norm, {sql_words('text')} AS words FROM d0)"""
@@ -33,7 +33,7 @@ def per(count: str) -> str:
 
 def _rule(name: str, columns: list[str]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = evidence(context(table(spark, sf_dir, "documents").select("doc_id", "text")), [name])
+        docs = evidence(context(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), [name])
         return docs.select("doc_id", "words", *[F.col(f"{name}.{k}").alias(k) for k in [*columns, "triggered"]])
 
     return run
@@ -117,7 +117,7 @@ SELECT doc_id, words, n AS sentences, CASE WHEN n >= 15 THEN {sql_rounded('one::
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return context(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")))
 
 
 def copy_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_copy_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = copy_input(table(spark, sf_dir, "pages"))
+    p = copy_input(spread(table(spark, sf_dir, "pages")))
     return p.select(
         "page_id", "lang", F.array_join("headings", "|").alias("headings"), F.array_join("paragraphs", "|").alias("paragraphs"),
         F.size("links").alias("links"), F.size("attributes").alias("attributes"),
@@ -226,7 +226,7 @@ def html_copy_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = copy_input(table(spark, sf_dir, "pages"))
+    p = copy_input(spread(table(spark, sf_dir, "pages")))
     return p.select("page_id", F.posexplode("links").alias("ord", "l")).select("page_id", "ord", "l.href", F.col("l.text").alias("text"))
 
 
@@ -248,7 +248,7 @@ def utm_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_copy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = scored(context(copy_input(table(spark, sf_dir, "pages"))), "lang")
+    p = scored(context(copy_input(spread(table(spark, sf_dir, "pages")))), "lang")
     return p.select("page_id", host(F.col("url")).alias("host"), "words", "english", "thin", F.array_join("flags", ",").alias("flags"), "score", "tier", "grade")
 
 

@@ -10,7 +10,7 @@ from tessera.functions.text import sql_rounded, sql_tier
 from tessera.operators import site as s
 from tessera.plans.copy import P_SQL
 from tessera.sources.html import HEADING, PARAGRAPH, SQL_HOST, host, sql_strip_html, strip_html
-from tessera.sources.tables import SQL_FLAGGED, flagged, table
+from tessera.sources.tables import SQL_FLAGGED, flagged, spread, table
 
 KEY = lambda c: f"trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
 #: Splits after closing punctuation without looking behind.
@@ -29,12 +29,12 @@ b AS (SELECT k.page_id, k.site, len(cs) AS chunks, CASE WHEN n < 2 THEN cs ELSE
 
 
 def site_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    out = s.stripped(s.html_sites(table(spark, d, "pages")))
+    out = s.stripped(s.html_sites(spread(table(spark, d, "pages"))))
     return out.select("page_id", "site", "stripped", F.sha2("text", 256).alias("text_sha256"))
 
 
 def site_multipage(spark: SparkSession, d: str) -> DataFrame:
-    return s.multi_page(s.html_sites(table(spark, d, "pages")))
+    return s.multi_page(s.html_sites(spread(table(spark, d, "pages"))))
 
 
 def site_eligibility(spark: SparkSession, d: str) -> DataFrame:

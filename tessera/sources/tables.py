@@ -12,6 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores, if it is read in fewer tasks than there are cores.
+
+    For work that costs far more than moving rows: a small file of one row group is one
+    task otherwise. A large table has more tasks than cores and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Rules a scan may have flagged, by the bit of its number that says so.
 SCAN_RULES = ["slop_fonts", "purple_accent", "gradient_text", "accent_stripe", "centered_hero", "icon_card_grid", "low_contrast_text"]
 SCANS_SQL = """scans AS (SELECT event_id AS scan_id, ts, 'site' || user_id AS domain, least(100, floor(value))::INT AS score,
