@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import catalog
 from tessera.functions.regex import quoted
-from tessera.functions.text import sql_tier
-from tessera.operators import aeo, design, report, static, system
+from tessera.functions.text import sql_normalised, sql_rounded, sql_tier, sql_words
+from tessera.operators import aeo, design, report, static, system, watchlist
 from tessera.operators import elements as el
 from tessera.plans.copy import P_SQL
 from tessera.sources import literal
 from tessera.sources.html import LINK, copy_input, sql_strip_html
-from tessera.sources.tables import SCANS_SQL, SQL_FLAGGED, flagged, scans, table
+from tessera.sources.tables import SCANS_SQL, SQL_FLAGGED, flagged, scans, spread, table
 
 
 def design_score_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -266,6 +266,43 @@ def avoid_list(spark: SparkSession, d: str) -> DataFrame:
     return report.avoid_list(rows.select("page_id", "rule_id", "weight", "advice"), 8)
 
 
+def watch_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    return docs.select("doc_id", watchlist.sentence_band(F.col("text")).alias("b"), watchlist.mixed_scripts(F.col("text")).alias("m")).select(
+        "doc_id", "b.sentences", "b.in_band", "b.ratio", "b.marks", F.col("b.triggered").alias("even"), F.col("m.count").alias("mixed_words"))
+
+
+def watch_looks(spark: SparkSession, d: str) -> DataFrame:
+    return watchlist.watched(literal.elements(spark))
+
+
+def page_looks(spark: SparkSession, d: str) -> DataFrame:
+    return watchlist.page_rules(literal.elements(spark))
+
+
+def accent_words(spark: SparkSession, d: str) -> DataFrame:
+    return watchlist.accent_words(literal.elements(spark))
+
+
+def craft_focus(spark: SparkSession, d: str) -> DataFrame:
+    return watchlist.focus_indicators(literal.focus_probes(spark))
+
+
+def craft_ctas(spark: SparkSession, d: str) -> DataFrame:
+    return watchlist.dead_ctas(literal.cta_probes(spark))
+
+
+def craft_forms(spark: SparkSession, d: str) -> DataFrame:
+    return watchlist.form_feedback(literal.form_probes(spark))
+
+
+def page_status(spark: SparkSession, d: str) -> DataFrame:
+    """Which pages are blocked or dead, by title and visible words."""
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?i)<title>([^<]*)</title>", 1).alias("title"), aeo.visible_text(F.col("html")).alias("text"))
+    n = F.regexp_count("text", F.lit(r"\S+"))
+    return watchlist.page_status(p.select("page_id", "title", n.alias("visible"), n.alias("with_evidence")))
+
+
 def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
     rows = [("copy", i, "copy", w, s) for i, _, _, w, s, _ in catalog.COPY_RULES] + [("design", i, c, w, s) for i, c, w, s in catalog.DESIGN_RULES]
     rows += [("craft", i, "craft", w, "active") for i, w in catalog.CRAFT_RULES] + [("aeo", i, s, w, "active") for i, w, s in catalog.AEO_RULES] + [("system", i, "system", w, "active") for i, w in catalog.SYSTEM_RULES]
@@ -277,7 +314,7 @@ QUERIES = {f.__name__: f for f in (
     element_rules, element_groups, element_eyebrows, element_pills, element_nested_cards, element_collisions, element_chips, community_rules, craft_score, static_viewport, static_scaffold,
     static_controls, robots_rules, robots_match, user_agents, preview_directives, edge_access, aeo_checks, aeo_score, prompt_injection, page_readability, usage_policies, tokens_resolved,
     tokens_diff, palette_nearest, palette_distance, class_coverage, band_scale, contrast_pairs, fonts_declared, system_score, report_github, report_gitlab, report_sarif, report_junit,
-    report_agent, gate_exit_code, avoid_list, rule_catalogue,
+    report_agent, gate_exit_code, avoid_list, watch_sentences, watch_looks, page_looks, accent_words, craft_focus, craft_ctas, craft_forms, page_status, rule_catalogue,
 )}
 _DIM = "dim(rule_id, category, weight, status, ord) AS (VALUES " + ", ".join(f"('{i}', '{c}', {w}, '{s}', {k})" for k, (i, c, w, s) in enumerate(catalog.DESIGN_RULES)) + ")"
 _SIG = f"{SCANS_SQL}, {_DIM}, sg AS (SELECT scan_id, score, tier, domain, unnest({SQL_FLAGGED}) AS rule_id FROM scans)"
@@ -319,5 +356,13 @@ SELECT page_id, len(g) AS generic, len(list_distinct(g)) AS targets, bad_alt, (l
     "report_github": f"""WITH {_FIND} SELECT page_id, rule_id, '::' || CASE WHEN status = 'review' OR weight = 0 THEN 'warning' WHEN weight >= 6 THEN 'error' ELSE 'warning' END || ' title=' || rule_id || '::' || url || ' weight ' || weight AS line FROM fi""",
     "report_junit": f"WITH {_FIND} SELECT page_id, count(*) AS tests, count(*) FILTER (status = 'fail') AS failures, count(*) FILTER (status = 'review') AS skipped FROM fi GROUP BY page_id",
     "report_agent": f"""WITH {_FIND} SELECT page_id, any_value(url) || ' ' || any_value(score) || ' ' || any_value(tier) || ' ' || string_agg(rule_id, ',' ORDER BY weight DESC, rule_id) AS line FROM fi GROUP BY page_id""",
+    "watch_sentences": f"""WITH d0 AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace({sql_normalised('trim(text)')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {sql_words('x')}), lambda n: n >= 3) AS l,
+  len(list_distinct(regexp_extract_all(text, '[.,;:!?—–()\\[\\]"'']'))) AS marks FROM d0),
+e AS (SELECT doc_id, text, len(l) AS sentences, len(list_filter(l, lambda n: n BETWEEN 8 AND 20)) AS in_band, marks FROM d),
+r AS (SELECT *, CASE WHEN sentences > 0 THEN {sql_rounded('in_band::DOUBLE / sentences', 2)} ELSE 0.0 END AS ratio FROM e)
+SELECT doc_id, sentences, in_band, ratio, marks, sentences >= 6 AND ratio >= 0.75 AND marks <= 3 AS even,
+  len(list_filter(list_transform(regexp_extract_all(text, '\\S*[\\x{{370}}-\\x{{4FF}}]\\S*'), lambda t: regexp_replace(t, '^[.,;:!?"''(\\[{{]+|[.,;:!?"'')\\]}}]+$', '', 'g')),
+    lambda t: len(t) >= 2 AND regexp_matches(t, '[A-Za-z]'))) AS mixed_words FROM r""",
     "gate_exit_code": f"WITH {SCANS_SQL} SELECT CASE WHEN count(*) FILTER (tier = 'Heavy' OR score > 90) > 0 THEN 1 ELSE 0 END AS exit_code, count(*) FILTER (tier = 'Heavy' OR score > 90) AS failed, 0::BIGINT AS unscored FROM scans",
 }

@@ -121,6 +121,10 @@ _PAGES: dict[str, list[tuple]] = {
     "hero_eyebrow_pill": [_el("DIV", "New: version two", top=80, height=30, borderRadius="15px"), _el("H1", "Headline", top=140)],
     "nested_cards": [_el("DIV", borderTopWidth="1px", **_CARD), *_times(3, lambda k: _el("DIV", parent=1, borderTopWidth="1px", **(_CARD | dict(width=150, height=80))))],
     "collisions": [_el("P", "One text", top=100, left=10, width=100, height=30), _el("P", "Another text", top=110, left=50, width=100, height=30)],
+    "hero_accent_word": [_el("H1", "Mills that grind", fontSize="40px"), _el("EM", "grind", parent=1, fontStyle="italic")],
+    "neobrutalist_hard_shadow": _times(4, lambda k: _el("DIV", borderTopWidth="2px", borderLeftWidth="2px", borderRightWidth="2px", borderBottomWidth="2px", boxShadow="rgb(0, 0, 0) 4px 4px 0px 0px")),
+    "unbranded_chat_bubble": [_el("BUTTON", position="fixed", width=56, height=56, borderRadius="28px")],
+    "template_page_order": [_el("SECTION", cls=c, gridTemplateColumns=str(k)) for k, c in enumerate(("hero", "features", "testimonials", "pricing", "faq", "cta"))],
     "chip_rainbow": [_el("SPAN", "chip", height=24, borderRadius="12px", backgroundColor=c) for c in ("#ef4444", "#f97316", "#84cc16", "#06b6d4", "#3b82f6", "#d946ef")],
 }
 
@@ -212,3 +216,20 @@ def token_specs(spark: SparkSession) -> DataFrame:
 def observed_colours(spark: SparkSession) -> DataFrame:
     rows = [("mill", "cta", "rgb(124, 58, 237)", 900.0), ("mill", "cta", "#7d3cee", 400.0), ("mill", "heading", "#131313", 300.0), ("mill", "heading", "#ff0000", 100.0), ("mill", "surface", "not a colour", 50.0)]
     return spark.createDataFrame(rows, "site string, class string, colour string, area double")
+
+
+# Probes --------------------------------------------------------------------------------------------------------
+def focus_probes(spark: SparkSession) -> DataFrame:
+    rows = [("seen", k, "solid", 2.0, None, False, False) for k in range(20)] + [("lost", 0, "none", 0.0, "none", False, False), ("lost", 1, "solid", 2.0, None, False, False)]
+    rows += [("late", k, "solid" if k < 12 else "none", 1.0, None, False, False) for k in range(15)] + [("ring", 0, "none", 0.0, None, False, True)]
+    return spark.createDataFrame(rows, "page_id string, ord int, outline_style string, outline_width double, box_shadow string, changed boolean, ring boolean")
+
+
+def cta_probes(spark: SparkSession) -> DataFrame:
+    rows = [("fine", k, f"/p{k}", k == 0, False) for k in range(4)] + [("hero", 0, "#", True, False), ("hero", 1, "/a", False, False), ("many", 0, "/a", True, False), ("many", 1, "", False, False), ("acts", 0, "#", True, True)]
+    return spark.createDataFrame(rows, "page_id string, ord int, href string, in_hero boolean, effect boolean")
+
+
+def form_probes(spark: SparkSession) -> DataFrame:
+    rows = [("none", False, False, False), ("unprobed", True, False, False), ("told", True, True, True), ("silent", True, True, False)]
+    return spark.createDataFrame(rows, "page_id string, present boolean, probed boolean, feedback boolean")

@@ -58,7 +58,7 @@ def test_element_rules(spark):
     for name in ("element_rules", "element_groups"):
         for r in run(spark, name):
             fired.setdefault(r["page_id"], set()).update(k for k, v in r.asDict().items() if v is True)
-    elsewhere = {"chip_rainbow", "collisions", "eyebrow_label", "hero_eyebrow_pill", "nested_cards", "outline_purple", "plain"}
+    elsewhere = {"chip_rainbow", "collisions", "eyebrow_label", "hero_eyebrow_pill", "nested_cards", "outline_purple", "plain", "hero_accent_word", "neobrutalist_hard_shadow", "unbranded_chat_bubble", "template_page_order"}
     for page, rules in fired.items():
         assert rules == (set() if page in elsewhere else {page} | ({"slop_fonts"} if page == "centered_hero" else set())), page
     assert [r["page_id"] for r in run(spark, "element_eyebrows") if r["triggered"]] == ["eyebrow_label"]
@@ -144,3 +144,16 @@ def test_typicality(spark):
         want[r["vec_id"]] = d.mean()
     got = {r["vec_id"]: r["distance"] for r in run(spark, "knn_typicality")}
     assert all(abs(got[k] - v) < 2e-3 for k, v in want.items())
+
+
+def test_probes(spark):
+    assert {r["page_id"]: r["triggered"] for r in run(spark, "craft_focus")} == {"seen": False, "lost": True, "late": False, "ring": False}
+    assert {r["page_id"]: r["triggered"] for r in run(spark, "craft_ctas")} == {"fine": False, "hero": True, "many": True, "acts": False}
+    assert {r["page_id"]: r["status"] for r in run(spark, "craft_forms")} == {"none": "na", "unprobed": "unknown", "told": "pass", "silent": "fail"}
+
+
+def test_watch_list(spark):
+    hit = lambda name, rule: [r["page_id"] for r in run(spark, name) if r[rule]]
+    assert hit("watch_looks", "neobrutalist_hard_shadow") == ["neobrutalist_hard_shadow"] and hit("watch_looks", "unbranded_chat_bubble") == ["unbranded_chat_bubble"]
+    assert hit("page_looks", "template_page_order") == ["template_page_order"]
+    assert [r["page_id"] for r in run(spark, "accent_words")] == ["hero_accent_word"]
