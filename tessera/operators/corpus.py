@@ -183,8 +183,8 @@ def typicality(vectors: DataFrame, queries: DataFrame, k: int = 25, sample: int
     return queries.select("vec_id", "embedding").mapInPandas(run, "vec_id long, distance double")
 
 
-def domain_split(rows: DataFrame, seed: str = "slop-detect-k01-v1", share: float = 0.7) -> DataFrame:
-    """domain, bucket, ord, split: within (stratum, builder), domains in hash order; the first 70 % are for development."""
+def domain_split(rows: DataFrame, seed: str = "split-v1", share: float = 0.7) -> DataFrame:
+    """domain, bucket, ord, split: within (stratum, builder), domains in hash order; the first 70 % are for development. A split made elsewhere is repeated with its seed."""
     one = rows.groupBy("domain").agg(F.min(F.struct("ord", "stratum", "builder")).alias("f")).select("domain", "f.stratum", "f.builder")
     hashed = one.withColumn("h", fnv1a(F.concat(F.lit(seed + ":"), "domain")))
     bucket = W.partitionBy("stratum", "builder")

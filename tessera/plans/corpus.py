@@ -161,7 +161,7 @@ SELECT term, {sql_rounded('b', 4)} AS before, {sql_rounded('a', 4)} AS after, {s
 r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM d)
 SELECT count(*) AS n, {sql_rounded('corr(ra, rb)', 4)} AS rho FROM r""",
     "domain_split": f"""WITH {SCANS_SQL}, f AS (SELECT domain, arg_min(category, scan_id) AS stratum, arg_min(builder, scan_id) AS builder FROM scans GROUP BY domain),
-h AS (SELECT *, {sql_fnv1a("'slop-detect-k01-v1:' || domain")} AS h FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY stratum, builder ORDER BY h, domain) AS ord, count(*) OVER (PARTITION BY stratum, builder) AS n FROM h)
+h AS (SELECT *, {sql_fnv1a("'split-v1:' || domain")} AS h FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY stratum, builder ORDER BY h, domain) AS ord, count(*) OVER (PARTITION BY stratum, builder) AS n FROM h)
 SELECT domain, stratum, builder, h, ord, CASE WHEN ord <= greatest(1, least(n - (n > 1)::INT, floor(0.7::DOUBLE * n + 0.5))) THEN 'dev' ELSE 'held_out' END AS split FROM o""",
     "verdict_fnv": f"""WITH {SCANS_SQL}, r AS (SELECT scan_id, domain, tier, {sql_fnv1a(f"tier || ':' || array_to_string(list_sort({SQL_FLAGGED}), ',')")} AS h FROM scans),
 i AS (SELECT *, (abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 4 + 1)::INT AS pos FROM r)
