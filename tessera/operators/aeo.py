@@ -70,7 +70,8 @@ def bot_access(rules: DataFrame, paths: DataFrame) -> DataFrame:
     )).alias("g")).select("bot", "purpose", "g.rank", "g.agent").where("agent IS NOT NULL")
     there = rules.select("site", "agent").distinct().join(F.broadcast(wanted), "agent")  # 39 bots
     group = there.groupBy("site", "bot", "purpose").agg(F.min_by("agent", "rank").alias("agent"))
-    every = paths.join(F.broadcast(bots.select("bot", "purpose")))  # a fixed table
+    each = F.array(*[F.struct(F.lit(b).alias("bot"), F.lit(p).alias("purpose")) for b, p, *_ in catalog.BOTS])
+    every = paths.withColumn("_b", F.explode(each)).select(*paths.columns, "_b.bot", "_b.purpose")
     own = every.join(group.drop("purpose"), ["site", "bot"], "left")
     live = rules.where("type <> 'agent' AND pattern <> ''").withColumn("rx", robots_regex(F.col("pattern"))).withColumn("length", F.length(_normal(F.col("pattern"))))
     hit = own.join(live, ["site", "agent"]).where(F.expr("path rlike rx"))

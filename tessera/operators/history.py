@@ -147,7 +147,7 @@ def neighbours(sites: DataFrame, top: int = 6) -> DataFrame:
         F.count(F.lit(1)).alias("peers"), rounded(F.avg("score"), 1).alias("peer_average"), F.count_if(F.col("tier") == "Heavy").alias("heavy_peers")
     )
     few = sites.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
-    return few.join(F.broadcast(stats), "category").where("peers >= 2").select("category", "place", "domain", "score", "peers", "peer_average", "heavy_peers")
+    return few.join(stats, "category").where("peers >= 2").select("category", "place", "domain", "score", "peers", "peer_average", "heavy_peers")
 
 
 def prevalence(scans: DataFrame, rules: Column) -> DataFrame:
