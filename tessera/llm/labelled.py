@@ -22,7 +22,7 @@ def sample(
     """text, label (the index of its class) and weight of up to ``rows`` documents of each class, in a fixed order.
 
     The ids with the smallest hashes are taken among labelled rows that aren't held out;
-    of those, texts of at most ``chars`` characters. The weights give the sample the shares
+    of those, texts of at most ``chars`` characters, one for each id. The weights give the sample the shares
     the classes have among all rows that could be fitted on. ``labels`` may be ``docs``
     itself.
     """
@@ -34,6 +34,8 @@ def sample(
         chosen = some if chosen is None else chosen.unionByName(some)
     # at most rows * len(classes) ids: a bounded broadcast
     got = docs.where(F.length("text") <= chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id that many rows share gives one text, so that no more come to the driver than were chosen
+    got = got.groupBy("doc_id", "key", "label").agg(F.min("text").alias("text"))
     rows = got.toPandas().sort_values(["key", "doc_id", "text"], kind="stable").reset_index(drop=True)
     there = {r[label]: r["n"] for r in fit.where(F.col(label).isin(classes)).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = rows["label"].map({k: there.get(v, 0) for k, v in enumerate(classes)}) / rows.groupby("label")["label"].transform("size")

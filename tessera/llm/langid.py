@@ -22,8 +22,8 @@ from tessera.llm.labelled import held_out, sample
 PARTS, PART = 4, 2
 #: Bounds of the fitted sample: rows of each language, characters of a text, windows of a text.
 ROWS, CHARS, SAMPLED = 600, 8000, 3
-#: Most languages that are learned; the most frequent ones.
-LANGUAGES = 200
+#: Most languages that are learned, the most frequent ones, and most rows of all of them.
+LANGUAGES, ALL_ROWS = 200, 12_000
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -178,7 +178,7 @@ def train(docs: DataFrame) -> Model | None:
     if not by:
         return None
     languages = sorted(r["lang"] for r in by)
-    rows = sample(docs.select("doc_id", "text"), docs.select("doc_id", "lang"), "lang", languages, PARTS, PART, ROWS, CHARS)
+    rows = sample(docs.select("doc_id", "text"), docs.select("doc_id", "lang"), "lang", languages, PARTS, PART, min(ROWS, ALL_ROWS // len(languages)), CHARS)
     return fit(rows, languages)
 
 
