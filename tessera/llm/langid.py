@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import held_out, sample
+from tessera.llm.common import written
+from tessera.llm.labelled import fitted, held_out, sample
 
 PARTS, PART = 4, 2
-#: Bounds of the fitted sample: rows of each language, characters of a text, windows of a text.
-ROWS, CHARS, SAMPLED = 600, 8000, 3
+#: Bounds of the fitted sample: rows of each language, windows of a text.
+ROWS, SAMPLED = 600, 3
 #: Most languages that are learned, the most frequent ones, and most rows of all of them.
 LANGUAGES, ALL_ROWS = 200, 12_000
 WINDOW = 256
@@ -173,13 +174,14 @@ def fit(rows: pd.DataFrame, languages: list[str]) -> Model:
 
 
 def train(docs: DataFrame) -> Model | None:
-    fitted = docs.where(~held_out(F.col("doc_id"), PARTS, PART) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by = fitted.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    """Fitted on the rows whose text has a letter, the others being ``und`` whatever is learned."""
+    rows = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col("lang").alias("label"))
+    ids = written(fitted(rows, PARTS, PART), "labelled")
+    by = ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
     if not by:
         return None
-    languages = sorted(r["lang"] for r in by)
-    rows = sample(docs.select("doc_id", "text"), docs.select("doc_id", "lang"), "lang", languages, PARTS, PART, min(ROWS, ALL_ROWS // len(languages)), CHARS)
-    return fit(rows, languages)
+    languages = sorted(r["label"] for r in by)
+    return fit(sample(rows, ids, languages, min(ROWS, ALL_ROWS // len(languages))), languages)
 
 
 def language(docs: DataFrame) -> DataFrame:

@@ -18,12 +18,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import held_out, sample
+from tessera.llm.labelled import held_out, labelled_sample, level
 
 PARTS, PART = 3, 1
-#: Bounds of the fitted sample: rows of each label, and characters of a text.
-ROWS, CHARS = 2000, 8000
+#: Bound of the fitted sample: rows of each label.
+ROWS = 2000
 DICTIONARY = 512 * 1024
+#: Pieces of a text in a dictionary, and bytes of one at least.
+PIECES, LEAST_PIECE = 4, 64
 BLOCK = 4096
 LEVEL = 3
 #: Bytes that short texts count as at least, so that few bytes move the score little.
@@ -56,11 +58,20 @@ def sizes(text: str, compressors: list[zstandard.ZstdCompressor]) -> list[float]
     return [sum(len(c.compress(x)) for x in blocks) / max(len(data), LEAST) for c in compressors]
 
 
+def pieces(raw: bytes, share: int) -> list[bytes]:
+    """A text of at most ``share`` bytes whole, of a longer one pieces spread from its beginning to its end."""
+    if len(raw) <= share:
+        return [raw]
+    n = max(1, min(PIECES, share // LEAST_PIECE))
+    size = share // n
+    return [raw[at : at + size] for at in np.linspace(0, len(raw) - size, n).astype(int)]
+
+
 def dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
-    """The beginnings of the texts, an even share of each."""
+    """Pieces from all over the texts, an even share of each; what short texts leave over goes to long ones."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts if t]
-    share = max(64, size // max(1, len(raw)))
-    return b"\n".join(x[:share] for x in raw)[:size] or b"\n" * 8
+    share = max(LEAST_PIECE, level(np.array([len(x) for x in raw]), size))
+    return b"\n".join(p for x in raw for p in pieces(x, share))[:size] or b"\n" * 8
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -102,7 +113,7 @@ def fit(rows: pd.DataFrame) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(sample(docs, labels, "quality", [0, 1], PARTS, PART, ROWS, CHARS))
+    return fit(labelled_sample(docs, labels, "quality", [0, 1], PARTS, PART, ROWS))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.labelled import held_out, sample
+from tessera.llm.labelled import held_out, labelled_sample
 from tessera.llm.quality import fit_logistic
 
 PARTS, PART = 5, 0
-#: Bounds of the fitted sample: rows of each label, and characters of a text.
-ROWS, CHARS = 2000, 4000
+#: Bound of the fitted sample: rows of each label.
+ROWS = 2000
 BUCKETS = 1 << 24
 SIZE = 6
 WIDTHS = (1, 2, 3)
@@ -251,7 +251,8 @@ def fit(rows: pd.DataFrame) -> Model:
     """Four of five rows train the network, the fifth calibrates. Labels: 1 is toxic."""
     rows = rows.sample(frac=1, random_state=3).reset_index(drop=True)
     label, weight, aside = rows.label.to_numpy(), rows.weight.to_numpy(), np.arange(len(rows)) % 5 == 4
-    texts = [words_of(t) for t in rows.text]
+    same: dict[str, str] = {}
+    texts = [[same.setdefault(w, w) for w in words_of(t)] for t in rows.text]
     even = np.sqrt(weight / weight.mean()) if len(weight) else weight
     model = fit_network([t for t, a in zip(texts, aside) if not a], label[~aside], even[~aside])
     calibrate(model, rows.text[aside].tolist(), label[aside], weight[aside])
@@ -259,7 +260,7 @@ def fit(rows: pd.DataFrame) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(sample(docs, labels, "toxic", [0, 1], PARTS, PART, ROWS, CHARS))
+    return fit(labelled_sample(docs, labels, "toxic", [0, 1], PARTS, PART, ROWS))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
