@@ -26,11 +26,13 @@ def chunks_of(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Co
     return F.regexp_extract_all(text, F.lit(rule), F.lit(0))
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its row key, digest of the whole text, and its chunks' digests."""
-    key = free_name(docs, ROW)
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """One row per document: its row key (``key`` if ``docs`` is numbered already), digest of the whole text, and its chunks' digests."""
+    if key is None:
+        key = free_name(docs, ROW)
+        docs = numbered(docs, key)
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = numbered(docs, key).select(F.col(key).alias(ROW), F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
+    rows = docs.select(F.col(key).alias(ROW), F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
     pieces = F.transform(
         chunks_of(F.col("norm")),
         lambda c: F.struct(F.xxhash64(c).alias("weak"), F.unhex(F.sha2(c, 256)).alias("strong")),
@@ -63,15 +65,16 @@ def recipes(chunked: DataFrame) -> DataFrame:
     )
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """A row per row of ``docs``: row key, doc_id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Null texts count as empty, and all empty texts are equal. The row with the
     largest id of a group stays; a null id is smaller than any other; of rows that
     repeat the largest id one stays (that with the largest row key). No rows in, no rows out.
-    Other columns, whatever their names, are not looked at.
+    Other columns, whatever their names, are not looked at. ``key`` is the row key of docs
+    that are numbered already.
     """
-    lists = written(recipes(written(chunk_table(docs, id_col, text_col), "chunks")), "recipes")
+    lists = written(recipes(written(chunk_table(docs, id_col, text_col, key), "chunks")), "recipes")
     # only what has copies is joined back; both sides are plain tables, so a large group's rows can be split among tasks
     copied = written(
         lists.groupBy("recipe").agg(F.max(F.struct("doc_id", ROW)).alias("keep"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"),
@@ -93,5 +96,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all their columns, whatever their names."""
     key = free_name(docs, ROW)
     rows = numbered(docs, key)
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(ROW).alias(key))
+    # numbered once: what isn't read from files would get other keys the second time
+    kept = exact_duplicates(rows, id_col, text_col, key).where("kept").select(F.col(ROW).alias(key))
     return rows.join(kept, key, "left_semi").select(*docs.columns)

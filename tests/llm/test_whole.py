@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import labelled, langid, quality, toxicity
+from tessera.llm import exact_dedup, labelled, langid, quality, toxicity
 
 
 def test_long_texts_are_learned_from(spark):
@@ -39,3 +39,13 @@ def test_a_text_over_its_share_gives_pieces_from_all_over(spark):
     long, short = (r["x"] for r in df.collect())
     assert short == "short" and long.split("\n") == ["a" * 512, "b" * 512, "c" * 512]
     assert {c for p in quality.pieces(text.encode(), 256) for c in p.decode()} == {"a", "b", "c"}
+
+
+def test_exact_dedup_of_docs_that_are_no_files(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (None, "b"), (4, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [2, 3, 4]
+    docs.write.parquet(f"{tmp_path}/d.parquet")
+    read = spark.read.parquet(f"{tmp_path}/d.parquet")
+    for more in (read.union(read), read.groupBy("doc_id").agg(F.max("text").alias("text"))):
+        kept = exact_dedup.drop_exact_duplicates(more)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
