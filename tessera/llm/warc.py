@@ -26,8 +26,6 @@ VERSION = b"WARC/1.1\r\n"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 #: Equal payloads of at least so many bytes are written once.
 LEAST_REVISIT = 0
-#: A header longer than this is taken for damage.
-MAX_HEADER = 65536
 MAGIC = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
 SALVAGED = f"path string, kind string, start long, stop long, {RECORD}, payload binary"
@@ -115,19 +113,20 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
 
 def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     """The record at ``at``: headers, block, end; None unless all its checks hold."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0 or not re.match(rb"WARC/1\.[0-9]\r\n", data[at : at + 10]):
+    if not re.match(rb"WARC/1\.[0-9]\r\n", data[at : at + 10]):
         return None
-    head = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        k, sep, v = line.partition(b":")
+    head, pos = {}, at + 10
+    # a header is as long as its lines are; damage shows in the first that isn't one
+    while (end := data.find(b"\r\n", pos)) != pos:
+        k, sep, v = data[pos : max(end, pos)].partition(b":")
         if not sep:
             return None
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        pos = end + 2
     if not head.get("content-length", "").isdecimal():
         return None
-    stop = end + 4 + int(head["content-length"])
-    block = data[end + 4 : stop]
+    stop = end + 2 + int(head["content-length"])
+    block = data[end + 2 : stop]
     if data[stop : stop + 4] != b"\r\n\r\n":
         return None
     said = head.get("warc-block-digest", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, labelled, langid, quality, toxicity
+from tessera.llm import exact_dedup, labelled, langid, quality, toxicity, warc
 
 
 def test_long_texts_are_learned_from(spark):
@@ -49,3 +49,12 @@ def test_exact_dedup_of_docs_that_are_no_files(spark, tmp_path):
     for more in (read.union(read), read.groupBy("doc_id").agg(F.max("text").alias("text"))):
         kept = exact_dedup.drop_exact_duplicates(more)
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+
+
+def test_long_urls_are_read_back(spark):
+    urls = ["data:," + "x" * 100_000, "http://a/", "http://b/?" + "k:v&" * 40_000]
+    pages = spark.createDataFrame([(k, u, "<p>same</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in warc.archive_round_trip(pages).collect()}
+    assert [rows[k]["target_uri"] for k in range(3)] == urls
+    assert [rows[k]["record_type"] for k in range(3)] == ["response", "revisit", "revisit"]
+    assert [warc._parse(x, 0) for x in (b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b", b"WARC/1.1\r\nA: b\r\n", b"WARC/1.1\r\n\r\n")] == [None] * 4
