@@ -23,8 +23,8 @@ from tessera.llm.labelled import fitted, held_out, sample
 PARTS, PART = 4, 2
 #: Bounds of the fitted sample: rows of each language, windows of a text.
 ROWS, SAMPLED = 600, 3
-#: Most languages that are learned, the most frequent ones, and most rows of all of them.
-LANGUAGES, ALL_ROWS = 200, 12_000
+#: Rows of all languages, which share them evenly, and rows that each language has in any case.
+ALL_ROWS, LEAST_ROWS = 12_000, 20
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -177,11 +177,10 @@ def train(docs: DataFrame) -> Model | None:
     """Fitted on the rows whose text has a letter, the others being ``und`` whatever is learned."""
     rows = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col("lang").alias("label"))
     ids = written(fitted(rows, PARTS, PART), "labelled")
-    by = ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
-    if not by:
+    languages = sorted(r["label"] for r in ids.select("label").distinct().collect())
+    if not languages:
         return None
-    languages = sorted(r["label"] for r in by)
-    return fit(sample(rows, ids, languages, min(ROWS, ALL_ROWS // len(languages))), languages)
+    return fit(sample(rows, ids, languages, min(ROWS, max(LEAST_ROWS, ALL_ROWS // len(languages)))), languages)
 
 
 def language(docs: DataFrame) -> DataFrame:

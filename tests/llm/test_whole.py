@@ -58,3 +58,11 @@ def test_long_urls_are_read_back(spark):
     assert [rows[k]["target_uri"] for k in range(3)] == urls
     assert [rows[k]["record_type"] for k in range(3)] == ["response", "revisit", "revisit"]
     assert [warc._parse(x, 0) for x in (b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b", b"WARC/1.1\r\nA: b\r\n", b"WARC/1.1\r\n\r\n")] == [None] * 4
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(k, f"word{k % 230} text", f"l{k % 230:03d}") for k in range(230 * 6)]
+    docs = spark.createDataFrame([*rows, (-1, "12 34", "digits"), (-2, "text", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    fit = {r["lang"] for r in docs.where(~labelled.held_out(F.col("doc_id"), langid.PARTS, langid.PART) & (F.col("doc_id") >= 0)).select("lang").distinct().collect()}
+    assert len(fit) > 200 and model.languages == sorted(fit) and model.weights.shape[1] == len(fit)
