@@ -60,6 +60,7 @@ DOTTED_NUMBERS = re.compile(r"(?<![^\W_])[0-9]{1,3}(?:[\x20]*(?:dot|punkt|point|
 HINT_SIGNS = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arroba|chez|punkt|point|punto|period)\s*[\])}>]")
 HINT_WORDS = (" dot ", " punkt ", " point ", " punto ", "plus ", " @", "@ ")
 HINT_DIGITS = re.compile(rf"(?:{_WORD})[\x20-]+(?:{_WORD}|[0-9]|dot|punkt|point|punto)(?![^\W_])")
+HINT_DOTTED = re.compile(r"[0-9][\x20]*(?:dot|punkt|point|punto)[\x20]*[0-9]")
 ANY_DIGIT = re.compile("[0-9]")
 
 
@@ -189,11 +190,15 @@ def _signs(view: View) -> None:
     view.rewrite(edits)
 
 
+def hinted(low: str) -> bool:
+    """Whether an edit of ``_spelled`` or ``_signs`` may apply: each of their patterns needs one of the hints."""
+    return any(w in low for w in HINT_WORDS) or any(h.search(low) for h in (HINT_SIGNS, HINT_DIGITS, HINT_DOTTED))
+
+
 def disguised(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Base spans and those that only the rewritten text shows, by kind, in order."""
     strange = not text.isascii() and any(_SEEN.setdefault(c, _plain(c)) != c for c in set(text) if not c.isascii())
-    low = text.lower()
-    if not strange and not any(w in low for w in HINT_WORDS) and not HINT_SIGNS.search(low) and not HINT_DIGITS.search(low):
+    if not strange and not hinted(text.lower()):
         return base
     view = View(text)
     if strange:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from unittest import mock
+
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, labelled, langid, quality, toxicity, warc
+from tessera.llm import exact_dedup, labelled, langid, pii, quality, toxicity, warc
 
 
 def test_long_texts_are_learned_from(spark):
@@ -66,3 +71,21 @@ def test_all_languages_are_learned(spark):
     model = langid.train(docs)
     fit = {r["lang"] for r in docs.where(~labelled.held_out(F.col("doc_id"), langid.PARTS, langid.PART) & (F.col("doc_id") >= 0)).select("lang").distinct().collect()}
     assert len(fit) > 200 and model.languages == sorted(fit) and model.weights.shape[1] == len(fit)
+
+
+@pytest.mark.parametrize("text", ["host 192dot168dot1dot7 is up", "host 192 dot168 dot1 dot7 is up", "host 10Punkt 0Punkt 0Punkt 1 up"])
+def test_numbers_joined_by_words(text):
+    found = pii.disguised(text, pii.detect(text))["ip"]
+    assert [text[a:b] for a, b in found] == [text[5:-6] if text.endswith("is up") else text[5:-3]]
+
+
+PARTS = ["one", "Nine", "fünf", "1", "192", "7", "dot", "DOT", "punkt", "punto", "at", "AT", "@", "[at]", "( dot )", ".", "plus", "+", "jo", "mill", "com", "-", " ", " ", " ", "  ", "a"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=24).map("".join))
+def test_the_gate_hides_nothing(text):
+    base = pii.detect(text)
+    with mock.patch.object(pii, "hinted", lambda low: True):
+        whole = pii.disguised(text, base)
+    assert pii.disguised(text, base) == whole
