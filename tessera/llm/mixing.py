@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, written
+from tessera.llm.common import WORD, numbered, written
 
 #: Hash bits in all, and of one histogram level.
 HASH_BITS = 60
@@ -127,14 +127,55 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame
     return taken_words(sizes, *thresholds(sizes, source_targets(sizes)))
 
 
+def edge_copies(edge: DataFrame, seed: str) -> DataFrame:
+    """row and copies for rows (source, size, passes, inside, room, row) that share the hash their source's budget runs out at.
+
+    A second hash, of all that a row holds, divides the room as the first did. Rows equal
+    in it are alike: as many are taken as fill what is left, by their rank from the
+    counts of the files they stand in.
+    """
+    text = F.concat_ws(":", F.lit(seed), F.to_json("row"))
+    edge = edge.withColumn("h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
+    edge = numbered(written(edge, "mix-edge"), "at")
+    of = edge.groupBy("source").agg(F.max("inside").alias("source_size"), F.max("room").alias("target"))
+    bounds, shift = thresholds(edge, of)
+    bounds = bounds.select(
+        F.col("source").alias("s"), F.col("bucket").alias("edge"), "docs", (F.col("rest") - F.col("below")).alias("left")
+    )
+    both = edge.join(bounds, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", F.shiftright("h", shift))
+    clear = both.where("bucket <> edge").select("row", (F.col("passes") + (F.col("bucket") < F.col("edge")).cast("long")).alias("copies"))
+    alike = both.where("bucket = edge").select("source", "size", "passes", "left", "at", "row")
+    counts = alike.groupBy("source", F.col("at.file").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("source").orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(F.col("source").alias("s"), F.col("file").alias("f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
+    ranks = alike.select("source", "at").withColumn("k", F.row_number().over(W.partitionBy("source", "at.file").orderBy("at.row")))
+    ranks = ranks.select(F.col("source").alias("rs"), F.col("at").alias("rat"), "k")
+    ranks = ranks.join(counts, F.col("rs").eqNullSafe(F.col("s")) & (F.col("rat.file") == F.col("f")))
+    ranks = ranks.select("rat", (F.col("k") + F.col("n_before")).alias("rank"))
+    taken = F.col("rank") <= F.round(F.col("left") / F.col("size"))
+    return clear.unionByName(
+        alike.join(ranks, F.col("at") == F.col("rat")).select("row", (F.col("passes") + taken.cast("long")).alias("copies"))
+    )
+
+
 def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix, with all their columns: each as often as it is taken whole, rounded to the nearest.
+    """The documents of the mix, with all their columns: each as often as it is taken whole.
 
-    The choice hangs on the documents' ids alone, so that reruns agree.
+    The choice hangs on the documents' ids, so that reruns agree; among rows that share
+    the doc_id at the threshold it hangs on all they hold.
     """
     sizes = written(sized(docs, seed, id_col), "mix-sizes")
-    row = F.struct(*docs.columns).alias("row")
-    taken = taken_words(sized(docs, seed, id_col, row), *thresholds(sizes, source_targets(sizes)))
-    copies = F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    often = taken.select("row", copies.alias("copies")).where("copies > 0")
-    return often.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    bounds, shift = thresholds(sizes, source_targets(sizes))
+    rows = sized(docs, seed, id_col, F.struct(*docs.columns).alias("row"))
+    shared = bounds.where("docs > 1").select(
+        F.col("source").alias("s"), "bucket", "passes", "inside", (F.col("rest") - F.col("below")).alias("room")
+    )
+    at_edge = F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("bucket")) & (F.col("size") > 0)
+    some = not shared.isEmpty()
+    taken = taken_words(rows.join(shared, at_edge, "left_anti") if some else rows, bounds, shift)
+    often = taken.select("row", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("long").alias("copies"))
+    if some:
+        edge = rows.join(shared, at_edge).select("source", "size", "passes", "inside", "room", "row")
+        often = often.unionByName(edge_copies(edge, seed))
+    often = often.where("copies > 0")
+    return often.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, labelled, langid, pii, quality, toxicity, warc
+from tessera.llm import exact_dedup, labelled, langid, mixing, pii, quality, toxicity, warc
 
 
 def test_long_texts_are_learned_from(spark):
@@ -89,3 +89,16 @@ def test_the_gate_hides_nothing(text):
     with mock.patch.object(pii, "hinted", lambda low: True):
         whole = pii.disguised(text, base)
     assert pii.disguised(text, base) == whole
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_rows_that_share_an_id_are_mixed_one_by_one(spark, same):
+    rows = [(None if k % 3 == 0 else k, "a" if same and k % 3 == 0 else f"t{k} " * (1 + k % 4), source) for source in ("a", "b", None) for k in range(300)]
+    hot = [(None, "x y" if same else f"x {k}", "c") for k in range(300)]
+    docs = spark.createDataFrame(rows + hot, "doc_id long, text string, source string")
+    want = {r["source"]: (r["target"], r["most"]) for r in mixing.mix(docs).groupBy("source").agg(F.max("target").alias("target"), F.max("size").alias("most")).collect()}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = {r["source"]: r["n"] for r in mixing.sized(out).groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    assert all(abs(got.get(k, 0) - t) <= most / 2 + 1 for k, (t, most) in want.items()), (got, want)
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mixed_documents(docs.repartition(3)).collect()))
