@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, free_name, numbered, written
+from tessera.llm.common import ascii_lower, content, free_name, numbered, written
 
 MIN_CHUNK = 512
 MAX_CHUNK = 8192
@@ -93,9 +93,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, whatever their names."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Of equal texts the row with the largest id stays, a null id being smaller than any
+    other; of rows that share that id one stays, chosen by what the rows hold, so that
+    reruns agree. Null texts count as empty and all empty ones are equal: one stays. No
+    rows in, no rows out.
+    """
     key = free_name(docs, ROW)
-    rows = numbered(docs, key)
+    rows = numbered(docs, key, content(docs).alias("content"))
     # numbered once: what isn't read from files would get other keys the second time
     kept = exact_duplicates(rows, id_col, text_col, key).where("kept").select(F.col(ROW).alias(key))
     return rows.join(kept, key, "left_semi").select(*docs.columns)

@@ -1,36 +1,40 @@
-"""Near duplicates by SimHash, linked through BK-trees.
-
-Distinct fingerprints are dealt into shards: of two that differ in at most
-``RADIUS`` bits, one of ``RADIUS + 1`` blocks of bits is equal, so they meet in
-the shard of that block's value. A shard's fingerprints form a BK-tree, whose
-children are keyed by their Hamming distance to the parent; each fingerprint
-searches the tree, following only edges within the radius. A shard's tree is
-sent to the task that searches it by the shuffle, and not by a broadcast through
-the driver: all trees together grow with the corpus, and the driver must not
-hold them.
+"""Near duplicates by SimHash, linked through broadcast BK-trees.
+
+Distinct fingerprints are dealt into shards of some thousands: two that differ in at
+most ``RADIUS`` bits agree in one of ``RADIUS + 1`` blocks of bits, so in the first
+bits of that block, by which shards are told apart. Tasks build a shard's BK-tree,
+whose children are keyed by their Hamming distance to the parent. The trees are
+broadcast in waves of a checked size; all fingerprints of a wave's shards, wherever
+they lie, search their tree, following only edges within the radius.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import LOWER, UPPER, free_name, numbered, written
+from tessera.llm.common import LOWER, UPPER, content, free_name, new_path, numbered, written
 from tessera.llm.components import components
 
 SHINGLE = 3
 RADIUS = 2
 BITS = 64
 SEED = 42
-#: A shard of more fingerprints is split, and its parts meet in pairs.
-SHARD = 65536
+#: Fingerprints of a shard, about; those of a shard of more than SHARD are dealt anew, by two blocks.
+TREE, SHARD = 4096, 65536
+#: Bytes of the trees that are broadcast at once, and of one node.
+WAVE, NODE = 32 << 20, 13
+TREES = "shard long, wave int, n int, fps binary, parents binary, distances binary"
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -75,45 +79,146 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), of(whole).alias("fp"))
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
+def grow(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The BK-tree of distinct fingerprints: each one's parent and its distance to it; the first is the root, its own parent."""
+    n = len(fps)
+    parent, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at, open_ = np.zeros(n, np.int64), np.arange(1, n)
+    while len(open_):
+        d = _distance(fps[open_], fps[at[open_]])
+        # the first that comes to a free edge of a node hangs there, others go on from it
+        _, where, back = np.unique(at[open_] * (BITS + 1) + d, return_index=True, return_inverse=True)
+        placed = open_[where]
+        parent[placed], distance[placed] = at[placed], d[where]
+        at[open_] = placed[back]
+        open_ = np.delete(open_, where)
+    return parent, distance
+
+
 class Forest:
-    """BK-trees of many shards at once, as sorted arrays. ``shard`` is sorted; fingerprints of a shard are distinct."""
-
-    def __init__(self, fps: np.ndarray, shard: np.ndarray):
-        self.fps = fps
-        n = len(fps)
-        first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if n else np.zeros(0, np.int64)
-        self.root = np.repeat(first, np.diff(np.r_[first, n]))
-        edges, child = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        at = self.root.copy()
-        open_ = np.setdiff1d(np.arange(n), first, assume_unique=True)
-        while len(open_):
-            edge = at[open_] * (BITS + 1) + self.distance(open_, at[open_])
-            new, where, back = np.unique(edge, return_index=True, return_inverse=True)
-            edges.append(new)
-            child.append(open_[where])
-            at[open_] = open_[where][back]
-            open_ = np.delete(open_, where)
-        self.edges = np.concatenate(edges)
-        order = np.argsort(self.edges)
-        self.edges, self.child = self.edges[order], np.concatenate(child)[order]
-
-    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.fps[a] ^ self.fps[b]).astype(np.int64)
-
-    def near(self, who: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs within the radius, from each of ``who`` to nodes of its own tree."""
-        node = self.root[who]
+    """Trees of many shards as sorted arrays: edges by (parent, distance)."""
+
+    def __init__(self, trees: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]):
+        """Of each tree: shard, fingerprints, parents, distances."""
+        trees = sorted(trees, key=lambda t: t[0])
+        sizes = np.array([len(t[1]) for t in trees], np.int64)
+        self.shards = np.array([t[0] for t in trees], np.int64)
+        self.roots = np.cumsum(sizes) - sizes
+        self.fps = np.concatenate([np.zeros(0, np.uint64), *[t[1] for t in trees]])
+        parents = np.concatenate([np.zeros(0, np.int64), *[t[2] + r for t, r in zip(trees, self.roots)]])
+        key = parents * (BITS + 1) + np.concatenate([np.zeros(0, np.int64), *[t[3] for t in trees]])
+        child = np.setdiff1d(np.arange(len(self.fps)), self.roots, assume_unique=True)
+        self.child = child[np.argsort(key[child])]
+        self.edges = key[self.child]
+        #: The fingerprints of all trees, each once, and which of them a node holds.
+        self.known, self.number = np.unique(self.fps, return_inverse=True)
+
+    def near(self, fps: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within the radius: numbers of the fingerprints that ask, and nodes of their shard's tree."""
+        if not len(self.roots):
+            return
+        place = np.minimum(np.searchsorted(self.shards, shard), len(self.shards) - 1)
+        who = np.flatnonzero(self.shards[place] == shard)
+        node = self.roots[place[who]]
         while len(who):
-            d = self.distance(who, node)
-            hit = (d <= radius) & (who != node)
+            d = _distance(fps[who], self.fps[node])
+            hit = d <= radius
             yield who[hit], node[hit]
-            low = np.searchsorted(self.edges, node * (BITS + 1) + np.maximum(d - radius, 0))
+            low = np.searchsorted(self.edges, node * (BITS + 1) + np.maximum(d - radius, 1))
             high = np.searchsorted(self.edges, node * (BITS + 1) + np.minimum(d + radius, BITS), "right")
             n = high - low
             who = np.repeat(who, n)
             node = self.child[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(who))]
 
 
+def _blocks(radius: int, bits: int = BITS) -> list[tuple[int, int]]:
+    """Lowest bit and width of each of ``radius + 1`` blocks."""
+    at = [bits * k // (radius + 1) for k in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
+def _bits(fp: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE, most: int = SHARD) -> DataFrame:
+    """fp, shard, part, parts: the shards a fingerprint is in. Two within the radius share at least one.
+
+    Shards are told apart by as many bits as make them about ``tree`` large. What lies in a
+    shard of more than ``most`` (texts that share much) is dealt by the whole block and
+    one of the blocks of its other bits; a shard that is still larger has several trees,
+    of which each of its fingerprints is in one and asks all.
+    """
+    fp, n = F.col("fp"), distinct.count()
+    bits = min(max(0, math.ceil(math.log2(max(n, 1) / tree))), BITS // (radius + 1))
+    first = [F.xxhash64(F.lit(k), _bits(fp, low + width - bits, bits)) for k, (low, width) in enumerate(_blocks(radius))]
+    rows = distinct.select("fp", F.posexplode(F.array(*first)).alias("k", "shard"))
+
+    def large(of: DataFrame) -> DataFrame:
+        return written(of.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "large-shards")
+
+    over = large(rows)
+    if not over.isEmpty():
+        second = []
+        for k, (low, width) in enumerate(_blocks(radius)):
+            # the other bits, in one piece: two that agree in block k differ in these at most
+            above = F.shiftleft(F.shiftrightunsigned(fp, low + width), low) if low + width < BITS else F.lit(0).cast("long")
+            other = above.bitwiseOR(_bits(fp, 0, low))
+            own = _bits(fp, low, width)
+            second.append(F.array(*[F.xxhash64(F.lit(k), own, F.lit(j), _bits(other, a, w)) for j, (a, w) in enumerate(_blocks(radius, BITS - width))]))
+        again = rows.join(over.select("shard"), "shard", "left_semi").select("fp", F.explode(F.element_at(F.array(*second), F.col("k") + 1)).alias("shard"))
+        rows = written(rows.join(over.select("shard"), "shard", "left_anti").select("fp", "shard").unionByName(again), "shards")
+        over = large(rows)
+    parts = over.select("shard", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    rows = rows.select("fp", "shard").join(parts, "shard", "left") if not over.isEmpty() else rows.select("fp", "shard").withColumn("parts", F.lit(1))
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return rows.select("fp", "shard", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "parts")
+
+
+def trees(dealt: DataFrame, waves: int) -> DataFrame:
+    """The BK-tree of every part of every shard, as one row, and the wave it is broadcast in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, shard = [np.zeros(0, np.int64)], None
+
+        def tree() -> pd.DataFrame:
+            fps = np.sort(np.concatenate(held).view(np.uint64))
+            # a fixed order that is none of the values': the tree is no deeper for neighbours in a row
+            fps = fps[np.argsort(fps * np.uint64(0x9E3779B97F4A7C15))]
+            parent, distance = grow(fps)
+            return pd.DataFrame({
+                "shard": [shard[0]], "wave": [shard[1]], "n": [len(fps)], "fps": [fps.astype("<u8").tobytes()],
+                "parents": [parent.astype("<i4").tobytes()], "distances": [distance.astype("u1").tobytes()],
+            })
+
+        for b in batches:
+            names, waves_, fps = b["tree"].to_numpy(), b["wave"].to_numpy(), b["fp"].to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+            for a, z in zip(cuts, cuts[1:]):
+                if shard is None or shard[0] != names[a]:
+                    if shard is not None:
+                        yield tree()
+                    held, shard = [], (names[a], waves_[a])
+                held.append(fps[a:z])
+        if shard is not None:
+            yield tree()
+
+    rows = dealt.select("fp", _tree("part").alias("tree")).withColumn("wave", _wave(waves))
+    return rows.repartition("tree").sortWithinPartitions("tree").mapInPandas(run, TREES)
+
+
+def _tree(part: str) -> Column:
+    return F.xxhash64("shard", part)
+
+
+def _wave(waves: int) -> Column:
+    return F.pmod(F.xxhash64("tree"), F.lit(waves)).cast("int")
+
+
 def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the classes of a and b, pair by pair; ``parent`` stays flat."""
     while True:
@@ -127,56 +232,68 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def shard_links(fps: np.ndarray, shard: np.ndarray, radius: int = RADIUS, batch: int = 16384) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint joined to others within its shard: itself and one of its class."""
-    forest, parent = Forest(fps.view(np.uint64), shard), np.arange(len(fps))
-    for at in range(0, len(fps), batch):
-        for a, b in forest.near(np.arange(at, min(at + batch, len(fps))), radius):
-            _unite(parent, a, b)
-    moved = np.flatnonzero(parent != np.arange(len(fps)))
-    return fps[moved], fps[parent[moved]]
+def search(asking: DataFrame, forest: Broadcast, radius: int, batch: int = 16384) -> DataFrame:
+    """u and v: links that join each fingerprint of ``asking`` (fp, tree) to what its tree holds within the radius.
 
-
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u and v: links that join the distinct fingerprints ``fp`` as all pairs within the radius would."""
-    width = [BITS * (k + 1) // (radius + 1) - BITS * k // (radius + 1) for k in range(radius + 1)]
-    low = [sum(width[:k]) for k in range(radius + 1)]
-    block = [
-        F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", low[k]).bitwiseAND(F.lit((1 << width[k]) - 1)).alias("value"))
-        for k in range(radius + 1)
-    ]
-    rows = distinct.select("fp", F.explode(F.array(*block)).alias("s")).select("fp", "s.k", "s.value")
-    full = rows.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
-    full = full.select("k", "value", F.ceil(F.col("n") / SHARD).alias("parts"))
-    rows = rows.join(full, ["k", "value"], "left")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1)))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other)
-    rows = rows.select("fp", F.xxhash64("k", "value", F.least("own", "other"), F.greatest("own", "other")).alias("shard"))
+    Of all links a task finds it sends on as many as join what they join: at most one for each fingerprint of the forest, and for each that asks.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = [np.zeros((2, 0), np.int64)]
-        size = 0
-
-        def found(block: np.ndarray) -> pd.DataFrame:
-            # shards are hashes of their names: sharing one by chance costs a look, not a link
-            order = np.lexsort((block[0], block[1]))
-            fps, shard = block[0][order], block[1][order]
-            single = np.r_[True, (fps[1:] != fps[:-1]) | (shard[1:] != shard[:-1])] if len(fps) else np.zeros(0, bool)
-            return pd.DataFrame(dict(zip("uv", shard_links(fps[single], shard[single], radius))))
-
+        held = forest.value
+        n = len(held.known)
+        parent = np.arange(n)
         for b in batches:
-            kept.append(np.stack([b["fp"].to_numpy(), b["shard"].to_numpy()]))
-            size += len(b)
-            if size >= 4 * SHARD:
-                block = np.concatenate(kept, 1)
-                cut = int(np.searchsorted(block[1], block[1][-1]))
-                if cut:
-                    yield found(block[:, :cut])
-                kept, size = [block[:, cut:]], block.shape[1] - cut
-        yield found(np.concatenate(kept, 1))
-
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, "u long, v long")
+            fps, tree = b["fp"].to_numpy().view(np.uint64), b["tree"].to_numpy()
+            # those that ask for a part that they aren't in come after the forest's own, and so never are what others are joined to
+            own = np.minimum(np.searchsorted(held.known, fps), n - 1) if n else np.zeros(len(fps), np.int64)
+            own = np.where(held.known[own] == fps, own, n + np.arange(len(fps))) if n else n + np.arange(len(fps))
+            parent = np.concatenate([parent, n + np.arange(len(fps))])
+            for at in range(0, len(fps), batch):
+                for who, node in held.near(fps[at : at + batch], tree[at : at + batch], radius):
+                    _unite(parent, own[at + who], held.number[node])
+            out = np.flatnonzero(parent[n:] < n)
+            yield pd.DataFrame({"u": fps[out].view(np.int64), "v": held.known[parent[n + out]].view(np.int64)})
+            parent = parent[:n]
+        moved = np.flatnonzero(parent != np.arange(n))
+        yield pd.DataFrame({"u": held.known[moved].view(np.int64), "v": held.known[parent[moved]].view(np.int64)})
+
+    return asking.mapInPandas(run, "u long, v long")
+
+
+def forest_of(rows: DataFrame) -> Forest:
+    """The trees of one wave, on the driver: their bytes are checked by the caller."""
+    return Forest([
+        (r["shard"], np.frombuffer(r["fps"], "<u8"), np.frombuffer(r["parents"], "<i4").astype(np.int64), np.frombuffer(r["distances"], "u1").astype(np.int64))
+        for r in rows.select("shard", "fps", "parents", "distances").toLocalIterator()
+    ])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE, most: int = SHARD, wave: int = WAVE) -> DataFrame:
+    """u and v: links that join the distinct fingerprints ``fp`` as all pairs within the radius would."""
+    spark = distinct.sparkSession
+    dealt = shards(distinct, radius, tree, most)
+    total = (radius + 1) * distinct.count() * NODE
+    waves = 1 if total <= wave else math.ceil(2 * total / wave)
+    while True:
+        grown = written(trees(dealt, waves), "trees")
+        if (grown.groupBy("wave").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) * NODE <= wave:
+            break
+        if waves > 2 * total:
+            raise ValueError("a wave must hold a tree")
+        waves *= 2
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asking = dealt.select("fp", "shard", every.alias("asked")).select("fp", _tree("asked").alias("tree")).withColumn("wave", _wave(waves))
+    if waves > 1:
+        # so that each wave reads its own rows only
+        path = new_path(spark, "asking")
+        asking.repartition("wave", F.pmod(F.xxhash64("fp"), F.lit(64))).write.partitionBy("wave").parquet(path)
+        asking = spark.read.schema(asking.schema).parquet(path)
+    found = []
+    for k in range(waves):
+        forest = spark.sparkContext.broadcast(forest_of(grown.where(F.col("wave") == k)))
+        found.append(written(search(asking.where(F.col("wave") == k).select("fp", "tree"), forest, radius), "links"))
+        forest.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -201,9 +318,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_per_component(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest row key, with all its columns, whatever their names."""
+def one_per_component(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each component, with all its columns, whatever their names.
+
+    The row with the smallest id stays, a null id being smaller than any other; of rows
+    that share it one is chosen by what the rows hold, so that reruns agree. Null, empty
+    and wordless texts have fingerprint zero and are one component: one of them stays.
+    No rows in, no rows out.
+    """
     key = free_name(docs, "_tessera_row")
-    rows = numbered(docs, key)
+    rows = numbered(docs, key, F.col(id_col).alias("id"), content(docs).alias("content"))
     kept = near_duplicates(rows.select(key, text_col), key, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(key))
     return rows.join(kept, key, "left_semi").select(*docs.columns)
