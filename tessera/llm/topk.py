@@ -1,33 +1,40 @@
 """Exact top-k by inner product without random access.
 
-Vectors are dealt into blocks, and blocks into stripes that a task reads one after
-the other. Within a block every component has a list sorted by value. A query reads
-all lists from their better end, at the same depth; what it has read gives each
-vector a lower and an upper bound of its score. Vectors that can't reach the k-th
-best lower bound, or the k-th best score of the blocks before, are out; when few are
-left their scores are resolved. Stripes' lists of k are merged.
+Queries are broadcast in waves of a checked size; vectors are read where they lie, in
+blocks. Within a block every component has a list sorted by value. A query reads lists
+one after the other, those of its largest components first, each from its better end.
+What it has read gives every vector a lower and an upper bound of its score: lists not
+read add at most what their ends allow, and at most the product of what is left of
+both norms. Vectors whose upper bound is below the k-th best lower bound, or below the
+k-th best score of the blocks before, are out. When outsiders can't qualify, the few
+that are left get their final scores. The tasks' lists of k are merged.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, written
+from tessera.llm.common import written
 
 K = 10
 SCALE = 1024
 EVERY = 100
-#: Vectors of a block, blocks that one task reads in turn, and queries it answers.
-BLOCK, STRIPE, QUERIES = 4096, 8, 256
-#: How far lists are read before the bounds are looked at.
-SHARES = (3 / 8, 5 / 8)
-FOUND = "query_id long, query_row long, vec_id long, score long"
+#: Vectors and components of a block at most, vectors that a task reads, about, and lists between two looks at the bounds.
+BLOCK, COMPONENTS, STRIPE, STEP = 4096, 1 << 21, 1 << 15, 4
+#: Bytes of the queries that are broadcast at once.
+WAVE = 16 << 20
+#: A block is done when so many times k vectors are left.
+LEFT = 4
+FOUND = "query_id long, query_row long, vec_id long, score long, read_share double, alive_share double"
 
 
 def scaled(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -45,88 +52,136 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors, ids
-        order = np.argsort(vectors.T, axis=1, kind="stable")
-        self.values = np.take_along_axis(vectors.T, order, axis=1).astype(np.float64)
-        self.order = order.astype(np.int32)
-
-    def read(self, lists: np.ndarray, q: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-        """The first ``depth`` entries of lists from their better end: numbers and gains, the next gain, and the last."""
-        n, up = len(self.ids), q > 0
-        a, b, qa, qb = lists[up], lists[~up], q[up], q[~up]
-        got = np.concatenate([self.order[a, n - depth :], self.order[b, :depth]])
-        gain = np.concatenate([self.values[a, n - depth :] * qa[:, None], self.values[b, :depth] * qb[:, None]])
-        edge = np.concatenate([self.values[a, n - depth - 1] * qa, self.values[b, depth] * qb])
-        worst = np.concatenate([self.values[a, 0] * qa, self.values[b, n - 1] * qb])
-        return got, gain, edge, worst
-
-    def top(self, query: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        self.order = np.argsort(vectors.T, axis=1, kind="stable")
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64)
+        self.squares = self.values**2
+        self.norms = np.einsum("ij,ij->j", *[vectors.T.astype(np.float64)] * 2)
+
+    def scores(self, who: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products, held within 64 bits."""
+        most = float(np.abs(query.astype(np.float64)).max(initial=0)) * float(np.abs(self.values[:, [0, -1]]).max(initial=0))
+        if most * len(query) < 2.0**62:
+            return self.vectors[who] @ query
+        exact = self.vectors[who].astype(object) @ query.astype(object)
+        return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in exact], np.int64)
+
+    def top(self, query: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float, float]:
         """ids and scores of the k best, highest first, ties to the smaller id; the query's own id takes no part.
 
-        Vectors that can't reach ``bar``, the k-th best score known from elsewhere, may be left out.
+        Vectors that can't reach ``bar``, the k-th best score known from elsewhere, may be
+        left out. Also the share of the lists that was read, and that of the vectors that
+        were left then.
         """
-        n = len(self.ids)
-        dims = np.flatnonzero(query)
-        q = query[dims].astype(np.float64)
+        n, d = len(self.ids), len(query)
+        q = query.astype(np.float64)
         alive = np.flatnonzero(self.ids != own)
-        for share in SHARES if len(dims) and len(alive) > 4 * k else ():
-            got, gain, edge, worst = self.read(dims, q, int(n * share))
-            flat = got.ravel()
-            most = edge.sum() + np.bincount(flat, (gain - edge[:, None]).ravel(), n)
-            least = worst.sum() + np.bincount(flat, (gain - worst[:, None]).ravel(), n)
-            here = least[alive] if len(alive) > k else np.full(1, -np.inf)
-            bar = max(bar, np.partition(here, len(here) - k)[len(here) - k] if len(here) > k else -np.inf)
-            spare = 1 + 1e-9 * (np.abs(worst).sum() + np.abs(edge).sum())  # for rounding
-            alive = alive[most[alive] + spare >= bar]
-            if len(alive) <= max(4 * k, n // 16):
-                break
-        score = self.vectors[alive] @ query
-        best = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][best], score[best]
-
-
-def _stripe_top(queries: pd.DataFrame, stripe: pd.DataFrame, k: int, block: int) -> pd.DataFrame:
-    """Blocks of a stripe one after the other: what a query has found so far is the bar for the next."""
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    if not len(queries) or not len(stripe):
-        return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
-    asked = [np.asarray(v, np.int64) for v in queries["v"]]
-    owns = queries["vec_id"].to_numpy()
-    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in asked]
-    ids, vectors = stripe["vec_id"].to_numpy(), stripe["v"].to_numpy()
-    for at in range(0, len(ids), block):
-        lists = SortedLists(np.stack(vectors[at : at + block]).astype(np.int64), ids[at : at + block])
-        for i, query in enumerate(asked):
-            known, scores = held[i]
-            more, gained = lists.top(query, owns[i], k, float(scores[-1]) if len(scores) == k else -np.inf)
+        lists = np.argsort(-np.abs(q), kind="stable")
+        best, worst = np.maximum(self.values[:, -1] * q, self.values[:, 0] * q), np.minimum(self.values[:, -1] * q, self.values[:, 0] * q)
+        spare = 1 + 1e-9 * np.sqrt((q**2).sum()) * np.sqrt(self.norms.max(initial=0))  # for rounding
+        part, rest, read = np.zeros(n), self.norms.copy(), 0
+        while read < d and len(alive) > LEFT * k:
+            for i in lists[read : read + STEP]:
+                down = slice(None, None, -1 if q[i] > 0 else 1)
+                entries = self.order[i][down]
+                part[entries] += self.values[i][down] * q[i]
+                rest[entries] -= self.squares[i][down]
+            read = min(read + STEP, d)
+            left = lists[read:]
+            reach = np.sqrt(np.maximum(rest[alive], 0) * (q[left] ** 2).sum())
+            lower = part[alive] + np.maximum(-reach, worst[left].sum())
+            bar = max(bar, np.partition(lower, len(lower) - k)[len(lower) - k] - spare)
+            alive = alive[part[alive] + np.minimum(reach, best[left].sum()) + spare >= bar]
+        score = self.scores(alive, query)
+        first = np.lexsort((self.ids[alive], -score))[:k]
+        return self.ids[alive][first], score[first], read / max(d, 1), len(alive) / max(n, 1)
+
+
+class Answers:
+    """The k best so far of queries of ``d`` components: what they have found is the bar for the next block."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.rows, self.vectors, self.k = ids, rows, vectors, k
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        self.read, self.alive, self.blocks = np.zeros(len(ids)), np.zeros(len(ids)), 0
+
+    def look(self, lists: SortedLists) -> None:
+        self.blocks += 1
+        for i, query in enumerate(self.vectors):
+            known, scores = self.held[i]
+            more, gained, read, alive = lists.top(query, self.ids[i], self.k, float(scores[-1]) if len(scores) == self.k else -np.inf)
             known, scores = np.concatenate([known, more]), np.concatenate([scores, gained])
-            best = np.lexsort((known, -scores))[:k]
-            held[i] = known[best], scores[best]
-    sizes = [len(known) for known, _ in held]
-    columns = (np.repeat(owns, sizes), np.repeat(queries["row"].to_numpy(), sizes), np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-    return pd.DataFrame(dict(zip(names, columns)))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best of all rows but those with its own vec_id.
+            best = np.lexsort((known, -scores))[: self.k]
+            self.held[i] = known[best], scores[best]
+            self.read[i] += read
+            self.alive[i] += alive
+
+    def frame(self) -> pd.DataFrame:
+        sizes = [len(known) for known, _ in self.held]
+        empty = np.zeros(0, np.int64)
+        columns = (
+            np.repeat(self.ids, sizes), np.repeat(self.rows, sizes), np.concatenate([empty, *(x for x, _ in self.held)]),
+            np.concatenate([empty, *(x for _, x in self.held)]), np.repeat(self.read / max(self.blocks, 1), sizes), np.repeat(self.alive / max(self.blocks, 1), sizes),
+        )
+        return pd.DataFrame(dict(zip([c.split()[0] for c in FOUND.split(", ")], columns)))
+
+
+def answer(vectors: DataFrame, queries: Broadcast, k: int, block: int) -> DataFrame:
+    """Each task's k best of the vectors (vec_id, v) it reads, for every query: by their number of components, ids, rows and vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answers = {d: Answers(*q, k) for d, q in queries.value.items()}
+        held: dict[int, list] = {d: [] for d in answers}
+        # the first block is small: it finds the bar for the others
+        sizes = {d: max(4 * LEFT * k, block // 8) for d in answers}
+
+        def settle(d: int) -> None:
+            ids, rows = zip(*held[d])
+            answers[d].look(SortedLists(np.stack(rows).astype(np.int64), np.array(ids, np.int64)))
+            held[d] = []
+            sizes[d] = max(LEFT * k, min(block, COMPONENTS // max(d, 1)))
+
+        for b in batches:
+            for i, v in zip(b["vec_id"].to_numpy(), b["v"].array):
+                if len(v) in held:
+                    held[len(v)].append((i, v))
+                    if len(held[len(v)]) >= sizes[len(v)]:
+                        settle(len(v))
+        for d in answers:
+            if held[d]:
+                settle(d)
+            yield answers[d].frame()
+
+    return vectors.mapInPandas(run, FOUND)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best of all rows but those with its own vec_id; and the shares of lists read and of vectors left.
 
     Vectors that are null or hold a null or non-finite component, or whose id is null,
-    take no part. Vectors only meet those of as many components; scores are 64-bit
-    integers. Rows that repeat count each as candidates, and once as queries. Fewer than
-    k candidates: all of them. Other columns are not looked at.
+    take no part. Vectors only meet those of as many components. Components and scores
+    are 64-bit integers; what lies beyond is held at their bounds. Rows that repeat count
+    each as candidates, and once as queries. Fewer than k candidates: all of them. Other
+    columns are not looked at.
     """
-    rows = written(vectors, "vectors")
-    asked = written(queries.select("vec_id", "v", "d", F.xxhash64("v").alias("row")).distinct(), "queries")
-    stripes = max(1, math.ceil(rows.count() / (block * STRIPE)))
-    parts = max(1, math.ceil(asked.count() / QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "row"), F.lit(parts)).cast("int")).withColumn("stripe", every(stripes))
-    # by the place of a row, so that rows that share an id, however many, are dealt evenly
-    dealt = numbered(rows.select("vec_id", "v", "d"), "place").withColumn("stripe", F.pmod(F.xxhash64("place"), F.lit(stripes)).cast("int"))
-    right = dealt.drop("place").withColumn("part", every(parts))
-    found = left.groupBy("d", "part", "stripe").cogroup(right.groupBy("d", "part", "stripe")).applyInPandas(
-        lambda a, b: _stripe_top(a, b, k, block), FOUND
-    )
+    spark = vectors.sparkSession
+    n = vectors.count()
+    # dealt evenly, whatever their ids are; this is the only time that vectors move
+    rows = written(vectors.select("vec_id", "v").repartition(max(spark.sparkContext.defaultParallelism, math.ceil(n / STRIPE))), "vectors")
+    asked = written(queries.select("vec_id", "v", "d", F.xxhash64("v").alias("row")).distinct().withColumn("size", 8 * F.col("d") + 24), "queries")
+    total = asked.agg(F.sum("size")).first()[0] or 0
+    waves = 1 if total <= wave else math.ceil(2 * total / wave)
+    number = lambda: F.pmod(F.xxhash64("vec_id", "row"), F.lit(waves))
+    while (asked.groupBy(number().alias("w")).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] or 0) > wave:
+        if waves > total:
+            raise ValueError("a wave must hold a query")
+        waves *= 2
+    found = []
+    for w in range(waves):
+        part = asked.where(number() == w).select("vec_id", "row", "v", "d").toPandas()
+        by = {int(d): (g["vec_id"].to_numpy(), g["row"].to_numpy(), np.stack(g["v"].to_numpy()).astype(np.int64)) for d, g in part.groupby("d")}
+        shared = spark.sparkContext.broadcast(by)
+        found.append(written(answer(rows, shared, k, block), "answers"))
+        shared.destroy()
     best = W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
+    merged = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return merged.select("query_id", "rank", "vec_id", "score", "read_share", "alive_share")
