@@ -1,10 +1,9 @@
 """Quality by compression: which dictionary makes a text smaller, one of good or one of bad text?
 
 Two zstandard dictionaries are built from labelled text. Every block of a text is
-compressed with either. The sizes, divided by the length, enter a logistic curve
-as a weighted difference: equal weights compare the dictionaries, and what is left
-over says how much a text repeats itself. The curve is fitted on rows whose text
-isn't in the dictionaries that measured them.
+compressed with either. The difference of the two compressed sizes, divided by the
+length, is calibrated by a logistic curve, fitted on rows whose text isn't in the
+dictionaries that measured them.
 """
 
 from __future__ import annotations
@@ -36,8 +35,9 @@ LEAST = 64
 class Model:
     good: bytes
     bad: bytes
-    #: Of the sizes with the bad and the good dictionary for each byte, and of 1.
-    weights: np.ndarray
+    #: The curve: what a difference of one, and what none, adds to the log odds.
+    slope: float = 0.0
+    offset: float = 0.0
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
@@ -47,15 +47,15 @@ class Model:
             out.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False))
         return out
 
-    def score(self, sizes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(sizes @ self.weights[:-1] + self.weights[-1], -500, 500)))
+    def score(self, differences: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * differences + self.offset, -500, 500)))
 
 
-def sizes(text: str, compressors: list[zstandard.ZstdCompressor]) -> list[float]:
-    """Compressed bytes for each byte of the text, by compressor; 0 for an empty text."""
+def difference(text: str, compressors: list[zstandard.ZstdCompressor]) -> float:
+    """Compressed size with the bad dictionary less that with the good one, for each byte of the text; 0 for an empty text."""
     data = text.encode("utf-8", "surrogatepass")
-    blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-    return [sum(len(c.compress(x)) for x in blocks) / max(len(data), LEAST) for c in compressors]
+    bad, good = (sum(len(c.compress(data[at : at + BLOCK])) for at in range(0, len(data), BLOCK)) for c in compressors)
+    return (bad - good) / max(len(data), LEAST)
 
 
 def pieces(raw: bytes, share: int) -> list[bytes]:
@@ -95,20 +95,20 @@ def fit(rows: pd.DataFrame) -> Model:
     Labels: 1 is good. ``weight`` gives the rows the shares that the labels have in the corpus.
     """
     half, label = np.arange(len(rows)) % 2, rows.label.to_numpy()
-    x = np.zeros((len(rows), 2))
+    x = np.zeros(len(rows))
 
     def model(among: np.ndarray) -> Model:
-        return Model(*(dictionary(rows.text[among & (label == k)].tolist()) for k in (1, 0)), np.zeros(3))
+        return Model(*(dictionary(rows.text[among & (label == k)].tolist()) for k in (1, 0)))
 
     for k in (0, 1):
         both = model(half != k).compressors()
         for i in np.flatnonzero(half == k):
-            x[i] = sizes(rows.text.iloc[i], both)
+            x[i] = difference(rows.text.iloc[i], both)
     final = model(half >= 0)
     if len(set(label.tolist())) == 2:
-        final.weights = fit_logistic(x, label.astype(float), rows.weight.to_numpy())
+        final.slope, final.offset = map(float, fit_logistic(x[:, None], label.astype(float), rows.weight.to_numpy()))
     elif len(label):
-        final.weights[-1] = 4.0 if label[0] == 1 else -4.0
+        final.offset = 4.0 if label[0] == 1 else -4.0
     return final
 
 
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         both = m.compressors()
         for texts in parts:
-            yield pd.Series(m.score(np.array([sizes(t, both) for t in texts.fillna("")]).reshape(-1, 2)))
+            yield pd.Series(m.score(np.array([difference(t, both) for t in texts.fillna("")], float)))
 
     return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -143,6 +143,11 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected."""
+    """The rows of ``docs`` that aren't rejected, with all their columns, whatever their names.
+
+    Null texts are scored as empty ones, and all empty texts alike. Repeated rows stay or
+    go together. With labels of one kind only, that decides for all; without any, all
+    stay. No documents, no rows.
+    """
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
     return score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model).where("predicted = 1").select("row.*")
