@@ -1,8 +1,9 @@
 """Write pages as WARC records and read archives back past damage.
 
 Records are gzip members of their own. The reader checks each member, header and
-block digest; when a check fails it looks for the next gzip magic or version line
-at which a record reads whole, goes on there, and logs the bytes in between.
+block digest. Of a damaged member it keeps what came out before the damage. When a
+check fails it looks for the next gzip magic or version line, in the file or in what a
+member held, at which a record reads whole, goes on there, and logs the bytes between.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ VERSION = b"WARC/1.1\r\n"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 #: Equal payloads of at least so many bytes are written once.
 LEAST_REVISIT = 0
+GZIP = b"\x1f\x8b\x08"
 MAGIC = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
-SALVAGED = f"path string, kind string, start long, stop long, {RECORD}, payload binary"
+SALVAGED = f"path string, kind string, start long, stop long, inner_start long, inner_stop long, {RECORD}, payload binary"
+VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
+#: Records of an archive at most.
+RECORDS = 10_000
 
 
 def base32_sha1(col: Column) -> Column:
@@ -70,13 +75,18 @@ def _record(page_id, url, html: str, size: int, digest: str, kind: str, refers_t
     head = [
         ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", re.sub(r"\s", "%20", url or "")), ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
+        ("WARC-Block-Digest", "sha1:" + _base32(block).decode()),
         ("X-Payload-Length", str(size)), ("Content-Type", "application/http;msgtype=response"),
     ]
     if kind == "revisit":
         head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     lines = "".join(f"{k}: {v}\r\n" for k, v in [*head, ("Content-Length", str(len(block)))])
-    return VERSION + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
+    head = VERSION + lines.encode()
+    return head + b"X-Header-Digest: " + _base32(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _base32(data: bytes) -> bytes:
+    return base64.b32encode(hashlib.sha1(data).digest())
 
 
 def members(plan: DataFrame) -> DataFrame:
@@ -96,24 +106,34 @@ def _ints(row: tuple) -> tuple:
 
 
 def write_archives(plan: DataFrame, path: str) -> None:
-    """Archives of gzip members under ``path``, one a partition, through Spark's own writer."""
+    """Archives of gzip members under ``path``, of ``RECORDS`` at most, through Spark's own writer."""
     rows = members(plan).select(F.concat("member", F.lit(EMPTY_MEMBER[:-1])).cast("string").alias("value"))
-    rows.write.option("lineSep", EMPTY_MEMBER[-1:].decode("ascii")).text(path)
+    rows.write.option("lineSep", EMPTY_MEMBER[-1:].decode("ascii")).option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at ``at`` and where it ends, or None if it isn't whole."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member at ``at`` holds, as far as it can be read, how far that is, and whether it is whole."""
     d = zlib.decompressobj(31)
     try:
         out = d.decompress(memoryview(data)[at:])
+        return out, len(data) - len(d.unused_data), d.eof
     except zlib.error:
-        return None
-    return (out, len(data) - len(d.unused_data)) if d.eof else None
+        pass
+    # again in small steps, the last of them byte by byte, to keep all that comes out before the damage
+    d, parts, step = zlib.decompressobj(31), [], 4096
+    while step and at < len(data):
+        before = d.copy()
+        try:
+            parts.append(d.decompress(data[at : at + step]))
+            at += step
+        except zlib.error:
+            d, step = before, step // 64
+    return b"".join(parts), min(at, len(data)), False
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
-    """The record at ``at``: headers, block, end; None unless all its checks hold."""
-    if not re.match(rb"WARC/1\.[0-9]\r\n", data[at : at + 10]):
+    """The record at ``at``: headers, block, end; None unless all its checks hold: of the block, and of the header where it has one."""
+    if not VERSION_LINE.match(data, at):
         return None
     head, pos = {}, at + 10
     # a header is as long as its lines are; damage shows in the first that isn't one
@@ -121,6 +141,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
         k, sep, v = data[pos : max(end, pos)].partition(b":")
         if not sep:
             return None
+        if k.lower() == b"x-header-digest" and v.strip() != _base32(data[at:pos]):
+            return None
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
         pos = end + 2
     if not head.get("content-length", "").isdecimal():
@@ -130,49 +152,73 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     if data[stop : stop + 4] != b"\r\n\r\n":
         return None
     said = head.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != base64.b32encode(hashlib.sha1(block).digest()).decode():
+    if said.startswith("sha1:") and said[5:] != _base32(block).decode():
         return None
     return head, block, stop + 4
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes]]:
-    """(start, stop, headers, block) of every whole record of an archive; headers None for a gap of lost bytes.
+def _records(inner: bytes) -> Iterator[tuple[int, int, dict | None, bytes]]:
+    """(start, stop, headers, block) of every whole record of what a member held; headers None for the bytes between."""
+    at, lost = 0, None
+    while at < len(inner):
+        if r := _parse(inner, at):
+            if lost is not None:
+                yield lost, at, None, b""
+                lost = None
+            yield at, r[2], r[0], r[1]
+            at = r[2]
+        else:
+            lost = at if lost is None else lost
+            again = VERSION_LINE.search(inner, at + 1)
+            at = again.start() if again else len(inner)
+    if lost is not None:
+        yield lost, len(inner), None, b""
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, int | None, int | None, dict | None, bytes]]:
+    """(start, stop, inner start, inner stop, headers, block) of every whole record of an archive; headers None for lost bytes.
 
-    Members may hold several records. Plain archives are read alike. A record is lost
-    only if its own bytes are damaged.
+    Start and stop are places in the file: of the record, or of the member that held it,
+    where the inner ones tell where. Members may hold several records. Plain archives are
+    read alike. A record is lost only if its own bytes are damaged, or come after damage
+    within the same member.
     """
     at, lost, n = 0, None, len(data)
     while at < n:
-        found, stop = [], at
+        found, stop, reached = [], at, at
         if data.startswith(b"\x1f\x8b", at):
-            if got := _member(data, at):
-                inner, stop = got
-                pos = 0
-                while pos < len(inner):
-                    if not (r := _parse(inner, pos)):
-                        found = None
-                        break
-                    found.append(r[:2])
-                    pos = r[2]
-            else:
-                found = None
+            inner, stop, whole = _member(data, at)
+            found = list(_records(inner))
+            if not whole:
+                # what is left over at the end of a broken member is part of the gap after it
+                found = found[:-1] if found and found[-1][2] is None else found
+                reached, stop = (stop if found else at), None
         elif r := _parse(data, at):
-            found, stop = [r[:2]], r[2]
+            found, stop = [(None, None, *r[:2])], r[2]
         else:
-            found = None
-        if found is None:
-            lost = at if lost is None else lost
-            again = MAGIC.search(data, at + 1)
-            at = again.start() if again else n
-            continue
-        if lost is not None and found:
-            yield lost, at, None, b""
-            lost = None
-        for head, block in found:
-            yield at, stop, head, block
-        at = stop
+            stop = None
+        if found:
+            if lost is not None:
+                yield lost, at, None, None, None, b""
+                lost = None
+            for inner_start, inner_stop, head, block in found:
+                yield at, reached if stop is None else stop, inner_start, inner_stop, head, block
+        if stop is None:
+            # a cut member may have been read on into the next one, which then begins before the place reached
+            again = data.find(GZIP, at + 1, reached + len(GZIP) - 1) if found else -1
+            if again < 0:
+                hit = MAGIC.search(data, max(at + 1, reached))
+                again = hit.start() if hit else n
+            if lost is None:
+                lost = reached if reached < again else at
+            at = again
+        else:
+            if lost is not None and not found:
+                yield lost, at, None, None, None, b""
+                lost = None
+            at = stop
     if lost is not None:
-        yield lost, n, None, b""
+        yield lost, n, None, None, None, b""
 
 
 def _number(name: str) -> int | None:
@@ -181,9 +227,9 @@ def _number(name: str) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records and gaps of all archives under ``path``: kind is record or gap, start and stop are bytes of the file.
+    """Records and gaps of all archives under ``path``: kind is record or gap, start and stop are bytes of the file, the inner ones bytes of what the member there holds.
 
-    A file is read by one task; keep archives at the usual sizes. Records whose payload
+    A file is read by one task; keep archives at the usual sizes (up to 2 GB). Records whose payload
     doesn't match its digest are gaps. No files, no rows.
     """
 
@@ -191,19 +237,19 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for b in batches:
             for path_, content in zip(b["path"], b["content"]):
                 rows = []
-                for start, stop, head, block in salvage(content):
+                for start, stop, inner_start, inner_stop, head, block in salvage(content):
                     body = block.partition(b"\r\n\r\n")[2]
                     digest = "" if head is None else head.get("warc-payload-digest", "").removeprefix("sha1:")
                     kind = head and head.get("warc-type")
-                    if kind == "response" and digest != base64.b32encode(hashlib.sha1(body).digest()).decode():
+                    if kind == "response" and digest != _base32(body).decode():
                         head = None
                     if head is None:
-                        rows.append((path_, "gap", start, stop, None, None, None, None, None, None, None))
+                        rows.append((path_, "gap", start, stop, inner_start, inner_stop, None, None, None, None, None, None, None))
                         continue
                     size = head.get("x-payload-length", "")
                     size = int(size) if kind == "revisit" and size.isdecimal() else len(body)
                     rows.append((
-                        path_, "record", start, stop, _number(head.get("warc-record-id", "")), size, digest, kind,
+                        path_, "record", start, stop, inner_start, inner_stop, _number(head.get("warc-record-id", "")), size, digest, kind,
                         _number(head.get("warc-refers-to", "")), head.get("warc-target-uri"), body if payloads else None,
                     ))
                     if len(rows) >= 2000:
@@ -216,17 +262,21 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = ["path", "kind", "start", "stop", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "payload"]
+    names = ["path", "kind", "start", "stop", "inner_start", "inner_stop", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "payload"]
     out = pd.DataFrame(rows, columns=names)
-    return out.astype({c: "Int64" for c in ("start", "stop", "page_id", "payload_bytes", "refers_to")})
+    return out.astype({c: "Int64" for c in ("start", "stop", "inner_start", "inner_stop", "page_id", "payload_bytes", "refers_to")})
 
 
 def archive_round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """Write ``pages`` as archives, read them back, and return what was read, payloads left out.
+    """Write ``pages`` as archives, read them back, and return the records that were read, payloads left out.
 
-    A null html is an empty payload, a null url an empty target. A null page_id stays
-    null. No pages, no rows. Other columns are not looked at.
+    The bytes that could not be read, none unless storage is damaged, are logged as JSON
+    in a folder beside the archives, named like theirs with ``-gaps``. A null html is an
+    empty payload, a null url an empty target. A null page_id stays null. Repeated rows
+    are written each. No pages, no rows. Other columns are not looked at.
     """
     path = new_path(pages.sparkSession, "warc")
     write_archives(record_plan(pages, least), path)
-    return read_archives(pages.sparkSession, path, payloads=False).where("kind = 'record'")
+    read = written(read_archives(pages.sparkSession, path, payloads=False), "warc-read")
+    read.where("kind = 'gap'").write.json(f"{path}-gaps")
+    return read.where("kind = 'record'")
