@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, mixing, packing, quality, simhash
-from tessera.llm.common import new_path, table
+from tessera.llm.common import new_path, scratch, table
 from tessera.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -51,9 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage is written, and what it made on the way is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = new_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
