@@ -6,8 +6,8 @@ entries), so the driver's work and memory do not grow with the corpus:
 1. large lengths are rounded up within groups of equal cardinality;
 2. configurations of the few rounded sizes are optimised (column generation);
 3. actual lengths take the places of the rounded ones;
-4. what is left (small lengths, and the lengths of sequences that rounding has
-   filled poorly) is placed best fit in falling order.
+4. small lengths, and the few large ones that no whole configuration uses, are
+   placed best fit in falling order.
 
 The plan is a table of runs, "so many sequences with these lengths". Executors
 rank the pieces of each length and look their places up in it.
@@ -16,29 +16,40 @@ rank the pieces of each length and look their places up in it.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import byte_slices, written
 
 CAPACITY = 2048
-GROUPS = 32
+GROUPS = 64
 #: Lengths over this share of a sequence count as large.
 LARGE = 1 / 8
-#: Words a worker remembers the ids of, before it forgets them all.
-MEMO = 200_000
-#: A sequence of large pieces with more room than this share is dissolved into the last step.
-POOR = 1 / 128
+#: Pre-tokens of a generation that a worker remembers the ids of.
+MEMO = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The characters whose words are cut here, as the tokenizer cuts them: Latin letters, digits and signs up to U+024F.
+_BELOW = [chr(k) for k in range(0x250) if chr(k) != "\u0130"]
+_CLASSES = {kind: "".join(map(re.escape, (c for c in _BELOW if unicodedata.category(c)[0] == kind))) for kind in "LN"}
+_FAR = re.compile(f"[^{''.join(map(re.escape, _BELOW))}]")
+#: Fixed value: the tokenizer's pre-tokens.
+_PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_CLASSES['L']}]+|[{_CLASSES['N']}]|[^\t-\r\\x20\\x85\\xa0{_CLASSES['L']}{_CLASSES['N']}]+")
+
+
 def _byte_letters() -> dict[int, int]:
     """The stand-in of every byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -47,70 +58,97 @@ def _byte_letters() -> dict[int, int]:
 
 
 class WordIds(dict):
-    """Ids, as little-endian bytes, of the words met so far.
+    """Ids, as little-endian bytes, of the pre-tokens met so far, lower-cased.
 
     The tokenizer drops white space and never joins characters across it, so a text's
-    ids are its words' ids in order. A word of Latin letters is one pre-token, which
-    goes to the tokenizer's model directly; letters with closing punctuation are two.
-    Two generations of words are kept, so that frequent ones outlive rare ones.
+    ids are its words' ids in order, and a word's are those of its pre-tokens, which go
+    to the tokenizer's model directly. Words with other than Latin letters, and those
+    that may hold one of the tokenizer's special tokens, go to the tokenizer whole. Two
+    generations are kept, so that frequent ones outlive rare ones.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.memo, self.old, self.letters = self.tokenizer.model, memo, {}, _byte_letters()
+        self.ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
 
-    def __missing__(self, word: str) -> bytes:
-        got = self.old.get(word)
+    def __missing__(self, part: str) -> bytes:
+        got = self.old.get(part)
         if got is None:
-            got = self.encoded(word)
+            ids, plain = self.ids, part.isascii() and part.isprintable()
+            got = b"".join([ids[t.id] for t in self.model.tokenize(part if plain else part.encode().decode("latin-1").translate(self.letters))])
         if len(self) > self.memo:
             self.old = dict(self)
             self.clear()
-            self[""] = b""
-        self[word] = got
+        self[part] = got
         return got
 
-    def encoded(self, word: str) -> bytes:
-        core = word.rstrip(".,;:!?")
-        if core.isalpha() and len(core) < len(word):
-            return self[core] + self[word[len(core):]]
+    def word(self, word: str) -> bytes:
+        """The ids of a text without ASCII white space."""
+        if (not word.isascii() and _FAR.search(word)) or "<|" in word:
+            return b"".join([self.ids[k] for k in self.tokenizer.encode(word, add_special_tokens=False).ids])
         low = word.lower()
-        if low.isalpha() and max(low) < "\u0250" and word.isalpha() and max(word) < "\u0250":
-            if low != word:
-                return self[low]
-            if not low.isascii():
-                low = low.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(low)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
-
-    def of(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        if low.isalpha():
+            return self[low]
+        core = low.rstrip(".,;:!?")
+        if core.isalpha():
+            return self[core] + self[low[len(core) :]]
+        return b"".join([self[p] for p in _PRE_TOKENS.findall(low)])
+
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each with the end id, and where each text's begin (and the end of all).
+
+        Arrow cuts the texts into words and tells them apart; each word is tokenized once.
+        """
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        raw = [self.word(w) for w in coded.dictionary.to_pylist()]
+        pool = np.frombuffer(b"".join(raw), "<u4")
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        first = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        upto = np.append(0, np.cumsum(n))
+        ends = lists.value_lengths().to_numpy().cumsum()
+        owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        every = np.arange(upto[-1])
+        out = np.zeros(len(every) + len(ends), "<u4")
+        # every text before a word has added an end id
+        out[every + np.repeat(owner, n)] = pool[every + np.repeat(first[which] - upto[:-1], n)]
+        return out, np.append(0, upto[ends] + np.arange(1, len(ends) + 1))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One memory for all tasks of a worker."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds(tokenizer_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = word_ids(tokenizer_path)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array):
-                raw = memoryview(ids.of(text or "") + b"\0\0\0\0")
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    cut = raw[at : at + 4 * capacity]
-                    out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInPandas(run, PIECES)
+            for some in byte_slices(batch, "text"):
+                flat, bounds = ids.documents(some["text"])
+                counts = -(-np.diff(bounds) // capacity)
+                row = np.repeat(np.arange(len(counts)), counts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * capacity
+                length = np.minimum(np.diff(bounds)[row] - start, capacity)
+                at = bounds[:-1][row] + start
+                crc = [zlib.crc32(flat[a : a + n]) for a, n in zip(at, length)]
+                yield pa.RecordBatch.from_arrays(
+                    [some["doc_id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, PIECES)
 
 
 def _best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
@@ -136,15 +174,15 @@ def _best_pattern(sizes: np.ndarray, price: np.ndarray, capacity: int) -> np.nda
     return pattern
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, int]]:
-    """Patterns of the rounded sizes and how often to use each, rounded down to whole sequences."""
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
+    """Patterns of the rounded sizes and how often to use each, by column generation; uses are fractions."""
     m = len(sizes)
     basis = np.diag(np.maximum(capacity // sizes, 1)).astype(float)
     inverse = np.linalg.inv(basis)
     for step in range(rounds):
         price = inverse.sum(0)
         pattern = _best_pattern(sizes, price, capacity)
-        if pattern @ price <= 1 + 1e-4:
+        if pattern @ price <= 1 + 1e-3:
             break
         if step % 50 == 49:
             inverse = np.linalg.inv(basis)
@@ -157,71 +195,98 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
         pivot = inverse[out] / change[out]
         inverse -= np.outer(change, pivot)
         inverse[out] = pivot
-    use = np.floor(np.maximum(np.linalg.solve(basis, counts), 0) + 1e-6).astype(int)
-    return [(basis[:, k].astype(int), int(use[k])) for k in range(m) if use[k] > 0]
+    use = np.maximum(np.linalg.solve(basis, counts), 0)
+    return [(basis[:, k].astype(np.int64), float(use[k])) for k in range(m) if use[k] > 1e-9]
 
 
-def _take(queue: list[list[int]], n: int) -> list[list[int]]:
-    """The next n of a queue of [length, count]; fewer if it runs out."""
-    out = []
-    while n and queue:
-        k = min(n, queue[-1][1])
-        out.append([queue[-1][0], k])
-        queue[-1][1] -= k
-        n -= k
-        if not queue[-1][1]:
-            queue.pop()
-    return out
+def equal_groups(lengths: list[tuple[int, int]], groups: int) -> dict[int, int]:
+    """Rounded size and number of pieces of each group, from short to long: every group has as many pieces as any other (the last may have fewer).
+
+    A length that crosses a border is split between the groups on both sides; groups
+    that round up to the same length are one size.
+    """
+    total, sizes, room = sum(n for _, n in lengths), [], 0
+    share = max(1, -(-total // groups))
+    for x, n in lengths:
+        while n:
+            if not room:
+                sizes.append([x, 0])
+                room = share
+            k = min(n, room)
+            sizes[-1] = [x, sizes[-1][1] + k]
+            n, room = n - k, room - k
+    merged: dict[int, int] = defaultdict(int)
+    for x, n in sizes:
+        merged[x] += n
+    return merged
+
+
+def whole(patterns: list[tuple[np.ndarray, float]], counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Whole uses of fractional patterns: rounded down, then what each still finds all its pieces for, largest fraction first."""
+    counts = counts.astype(np.int64)
+    uses = []
+    for pattern, use in sorted(patterns, key=lambda p: -(p[1] % 1)):
+        uses.append([pattern, int(use + 1e-6)])
+        counts -= uses[-1][1] * pattern
+    for entry in uses:
+        pattern = entry[0]
+        on = pattern > 0
+        more = int((counts[on] // pattern[on]).min())
+        if more > 0:
+            entry[1] += more
+            counts -= more * pattern
+    return [(pattern, use) for pattern, use in uses if use]
+
+
+def substituted(pattern: list[int], use: int, stock: dict[int, int], capacity: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Runs of ``use`` sequences with actual lengths in place of the rounded sizes of a pattern, taken out of the stock.
+
+    A place takes the longest piece that its rounded size holds; the last place takes the
+    longest that the sequence holds. So rounding leaves room in few sequences, and much
+    in each, where short pieces fit, instead of a little in all.
+    """
+    there = sum(1 << x for x in stock)
+    while use and stock:
+        items: dict[int, int] = defaultdict(int)
+        free, room = there, capacity
+        for k, size in enumerate(pattern, 1):
+            x = (free & ((1 << ((size if k < len(pattern) else room) + 1)) - 1)).bit_length() - 1
+            if x > 0:
+                items[x] += 1
+                room -= x
+                if items[x] == stock[x]:
+                    free &= ~(1 << x)
+        if not items:
+            return
+        n = min([use, *(stock[x] // k for x, k in items.items())])
+        for x, k in items.items():
+            stock[x] -= n * k
+            if not stock[x]:
+                del stock[x]
+                there &= ~(1 << x)
+        use -= n
+        yield n, tuple(x for x in sorted(items, reverse=True) for _ in range(items[x]))
+
+
+def configured(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
+    """Runs (number of sequences, lengths in each) that linear grouping makes of the large lengths, and the histogram of what is left."""
+    stock = {x: n for x, n in histogram.items() if x > capacity * LARGE and n > 0}
+    rounded = equal_groups(sorted(stock.items()), groups)
+    runs: list[tuple[int, tuple[int, ...]]] = []
+    if rounded:
+        sizes, counts = np.array(list(rounded)), np.array(list(rounded.values()), float)
+        patterns = whole(configurations(sizes, counts, capacity), counts)
+        # few and tight ones first, while there is most to choose the last place's piece from
+        for pattern, use in sorted(patterns, key=lambda p: (p[0].sum(), -(p[0] @ sizes))):
+            runs += substituted(np.repeat(sizes, pattern)[::-1].tolist(), use, stock, capacity)
+    left = {x: n for x, n in histogram.items() if x <= capacity * LARGE and n > 0}
+    return runs, left | stock
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple[int, ...]]]:
     """Runs (number of sequences, lengths in each) that hold every piece of the histogram."""
-    runs: list[tuple[int, tuple[int, ...]]] = []
-    left: dict[int, int] = defaultdict(int)
-    large = sorted((x, n) for x, n in histogram.items() if x > capacity * LARGE and n > 0)
-    for x, n in histogram.items():
-        if x <= capacity * LARGE:
-            left[x] += n
-    if large:
-        total, done, queues = sum(n for _, n in large), 0, []
-        share = -(-total // groups)
-        for x, n in large:
-            # a length stays whole within one group unless it fills several
-            if not queues or done >= share:
-                queues.append([])
-                done = 0
-            queues[-1].append([x, n])
-            done += n
-        sizes = np.array([q[-1][0] for q in queues])
-        counts = np.array([sum(n for _, n in q) for q in queues], float)
-        for pattern, use in configurations(sizes, counts, capacity):
-            slots = []
-            for g in np.repeat(np.arange(len(sizes)), pattern):
-                slots.append(_take(queues[g], use))
-            # a slot whose group has run out stays empty in the last sequences
-            while use:
-                first = [s[-1] if s else None for s in slots]
-                k = min([use] + [f[1] for f in first if f])
-                got = tuple(sorted((f[0] for f in first if f), reverse=True))
-                if got:
-                    runs.append((k, got))
-                use -= k
-                for s, f in zip(slots, first):
-                    if f:
-                        f[1] -= k
-                        if not f[1]:
-                            s.pop()
-        for q in queues:
-            for x, n in q:
-                left[x] += n
-    full = []
-    for n, items in runs:
-        if capacity - sum(items) <= capacity * POOR:
-            full.append((n, items))
-        else:
-            for x in items:
-                left[x] += n
-    return _best_fit(full, left, capacity)
+    runs, left = configured(histogram, capacity, groups)
+    return _best_fit(runs, left, capacity)
 
 
 def _best_fit(runs: list[tuple[int, tuple[int, ...]]], left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
