@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, numbered, written
+from tessera.llm.common import WORD, numbered, word_count, written
 
 #: Hash bits in all, and of one histogram level.
 HASH_BITS = 60
@@ -24,16 +24,15 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 
 
-def sized(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", *more: Column) -> DataFrame:
-    """doc_id, source, size in words, the document's hash of 60 bits, and ``more``."""
-    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("h"),
-        *more,
-    )
+def hash_of(seed: str, text: Column) -> Column:
+    """A hash of 60 bits, the same on every run."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), text)), 1, 15), 16, 10).cast("long")
+
+
+def sized(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, source, size in words, and the document's hash."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"), hash_of(seed, key).alias("h"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -134,8 +133,7 @@ def edge_copies(edge: DataFrame, seed: str) -> DataFrame:
     in it are alike: as many are taken as fill what is left, by their rank from the
     counts of the files they stand in.
     """
-    text = F.concat_ws(":", F.lit(seed), F.to_json("row"))
-    edge = edge.withColumn("h", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
+    edge = edge.withColumn("h", hash_of(seed, F.to_json("row")))
     edge = numbered(written(edge, "mix-edge"), "at")
     of = edge.groupBy("source").agg(F.max("inside").alias("source_size"), F.max("room").alias("target"))
     bounds, shift = thresholds(edge, of)
@@ -159,23 +157,29 @@ def edge_copies(edge: DataFrame, seed: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
-    """The documents of the mix, with all their columns: each as often as it is taken whole.
+    """The documents of the mix, with all their columns, whatever their names: each as often as it is taken whole.
 
     The choice hangs on the documents' ids, so that reruns agree; among rows that share
-    the doc_id at the threshold it hangs on all they hold.
+    the doc_id at the threshold (null ids are one) it hangs on all they hold, and among
+    repeated rows there on how many are wanted. Null, empty and wordless texts weigh
+    nothing and are not in the mix. A null source is a source of its own. No documents,
+    no rows.
     """
     sizes = written(sized(docs, seed, id_col), "mix-sizes")
     bounds, shift = thresholds(sizes, source_targets(sizes))
-    rows = sized(docs, seed, id_col, F.struct(*docs.columns).alias("row"))
-    shared = bounds.where("docs > 1").select(
-        F.col("source").alias("s"), "bucket", "passes", "inside", (F.col("rest") - F.col("below")).alias("room")
+    bounds = bounds.select(
+        F.col("source").alias("s"), "bucket", "passes", "inside", "docs", (F.col("rest") - F.col("below")).alias("room")
+    )
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    rows = docs.where(F.col("text").rlike(WORD)).select(
+        "source", F.shiftright(hash_of(seed, key), shift).alias("at"), F.struct(*docs.columns).alias("row")
     )
-    at_edge = F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("bucket")) & (F.col("size") > 0)
-    some = not shared.isEmpty()
-    taken = taken_words(rows.join(shared, at_edge, "left_anti") if some else rows, bounds, shift)
-    often = taken.select("row", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("long").alias("copies"))
-    if some:
-        edge = rows.join(shared, at_edge).select("source", "size", "passes", "inside", "room", "row")
-        often = often.unionByName(edge_copies(edge, seed))
-    often = often.where("copies > 0")
-    return often.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    both = rows.join(bounds, F.col("source").eqNullSafe(F.col("s")))
+    at_edge = F.col("at") == F.col("bucket")
+    size = word_count(F.col("row.text"))  # counted again only at the edge
+    once_more = F.when(F.col("at") < F.col("bucket"), 1).when(at_edge & (F.col("room") * 2 >= size), 1).otherwise(0)
+    clear = both.where(~at_edge | (F.col("docs") <= 1)).select("row", (F.col("passes") + once_more).alias("copies"))
+    if not bounds.where("docs > 1").isEmpty():
+        edge = both.where(at_edge & (F.col("docs") > 1)).select("source", size.alias("size"), "passes", "inside", "room", "row")
+        clear = clear.unionByName(edge_copies(edge, seed))
+    return clear.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
