@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -57,24 +60,66 @@ def test_simhash_query(spark):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {k: (f"{v:016x}", root(k)) for k, v in fp.items()}
 
 
+def near_base(rng, n):
+    base = rng.integers(0, 2**64, n, dtype=np.uint64)
+    return np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << np.uint64(b)) for b in (3, 17, 40)]]))
+
+
 def test_bk_forest():
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << np.uint64(b)) for b in (3, 17, 40)]]))
-    forest = simhash.Forest(fps, np.zeros(len(fps), np.int64))
-    found = {tuple(sorted((int(a), int(b)))) for x, y in forest.near(np.arange(len(fps)), 2) for a, b in zip(x, y)}
-    assert found == {(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if int(fps[a] ^ fps[b]).bit_count() <= 2}
+    fps = near_base(np.random.default_rng(5), 40)
+    parent, distance = simhash.grow(fps)
+    assert all(int(fps[k] ^ fps[p]).bit_count() == d for k, (p, d) in enumerate(zip(parent, distance)))
+    assert len({(p, d) for p, d in zip(parent[1:], distance[1:])}) == len(fps) - 1
+    forest = simhash.Forest([(7, fps, parent, distance), (3, fps[:1], parent[:1], distance[:1])])
+    pairs = [(int(a), int(forest.fps[b])) for x, y in forest.near(fps, np.full(len(fps), 7), 2) for a, b in zip(x, y)]
+    assert sorted(pairs) == sorted((a, int(fps[b])) for a, b in itertools.product(range(len(fps)), repeat=2) if int(fps[a] ^ fps[b]).bit_count() <= 2)
+
+
+def test_the_triangle_rule_skips_most_of_a_tree_of_thousands():
+    fps = near_base(np.random.default_rng(6), 1024)
+    forest = simhash.Forest([(0, fps, *simhash.grow(fps))])
+    looked, near = 0, forest.child
+
+    class Counted:
+        def __getitem__(self, at):
+            nonlocal looked
+            looked += len(at)
+            return near[at]
+
+    forest.child = Counted()
+    assert sum(len(a) for a, _ in forest.near(fps, np.zeros(len(fps), np.int64), 2)) >= 4 * 3 * 1024
+    assert len(fps) > 4000 and looked < 0.5 * len(fps) ** 2
 
 
-def test_large_shards_are_split(spark, monkeypatch):
+def test_shards_hold_thousands_and_lose_nothing(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
-    fps = {b ^ sum(1 << x for x in rng.sample(range(64), 2)) for b in base for _ in range(6)} | set(base)
-    signed = [(f - 2**64 if f >= 2**63 else f,) for f in fps]
-    df = spark.createDataFrame(signed, "fp long")
+    hot = [base[0] ^ (1 << a) ^ (1 << b) for a, b in itertools.combinations(range(20), 2)]
+    fps = {b ^ sum(1 << x for x in rng.sample(range(64), 2)) for b in base for _ in range(6)} | set(base) | set(hot)
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in sorted(fps)], "fp long")
     whole = {tuple(r) for r in simhash.components(simhash.links(df)).collect()}
-    monkeypatch.setattr(simhash, "SHARD", 16)
-    assert {tuple(r) for r in simhash.components(simhash.links(df)).collect()} == whole
+    parent = {f: f for f in fps}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if (a ^ b).bit_count() <= 2:
+            parent[root(b)] = root(a)
+    groups: dict[int, set] = {}
+    for r in whole:
+        groups.setdefault(r[1], {r[1] % 2**64}).add(r[0] % 2**64)
+    want: dict[int, set] = {}
+    for f in fps:
+        want.setdefault(root(f), set()).add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+    # many small shards, shards dealt anew, several trees of a shard, and several waves give the same
+    for tree, most, wave in ((4, 32, 1 << 20), (4, 3, 1 << 20), (16, 64, 2000)):
+        assert {tuple(r) for r in simhash.components(simhash.links(df, tree=tree, most=most, wave=wave)).collect()} == whole
+    grown = simhash.trees(simhash.shards(simhash.written(spark.range(20000).select(F.xxhash64("id").alias("fp")), "fps")), 1)
+    assert grown.agg(F.min("n")).first()[0] > 1000
 
 
 def test_packing_tokens(spark):
@@ -149,16 +194,61 @@ def test_pii_disguises(text, kind, span):
 def test_salvage_skips_damage(spark):
     pages = spark.createDataFrame([(k, f"http://a/{k}", "<p>" + str(k) * 500) for k in range(1, 9)], "page_id long, url string, html string")
     data = b"".join(bytes(r["member"]) for r in warc.members(warc.record_plan(pages)).collect())
-    whole = [s for s in warc.salvage(data)]
-    assert len(whole) == 8 and all(h for _, _, h, _ in whole)
+    whole = list(warc.salvage(data))
+    assert len(whole) == 8 and all(r[4] for r in whole)
     cut = bytearray(data)
     middle = (whole[3][0] + whole[3][1]) // 2
     cut[middle : middle + 5] = b"\0\0\0\0\0"
     found = list(warc.salvage(bytes(cut)))
-    assert sum(h is not None for _, _, h, _ in found) == 7
-    assert [(a, b) for a, b, h, _ in found if h is None] == [(whole[3][0], whole[3][1])]
-    plain = b"".join(gzip.decompress(data[a:b]) for a, b, _, _ in whole)
-    assert sum(h is not None for _, _, h, _ in warc.salvage(b"junk" + plain + b"WARC/1.1\r\nbroken")) == 8
+    assert sum(r[4] is not None for r in found) == 7
+    assert [r[:2] for r in found if r[4] is None] == [(whole[3][0], whole[3][1])]
+    plain = b"".join(gzip.decompress(data[r[0] : r[1]]) for r in whole)
+    assert sum(r[4] is not None for r in warc.salvage(b"junk" + plain + b"WARC/1.1\r\nbroken")) == 8
+
+
+def record(k: int, size: int = 400) -> bytes:
+    body = random.Random(k).randbytes(size).hex()
+    return warc._record(k, f"http://a/{k}", body, len(body), base64.b32encode(hashlib.sha1(body.encode()).digest()).decode(), "response", None)
+
+
+def numbers(data: bytes) -> list[int]:
+    return [warc._number(r[4]["warc-record-id"]) for r in warc.salvage(data) if r[4]]
+
+
+def test_salvage_inside_members():
+    records = [record(k) for k in range(20)]
+    raw = bytearray(b"".join(records))
+    raw[len(records[0]) + len(records[1]) // 2] ^= 1  # the block of the second record
+    member = gzip.compress(bytes(raw), mtime=0)
+    assert numbers(member) == [0, *range(2, 20)]
+    assert [(r[2], r[3]) for r in warc.salvage(member) if r[4] is None] == [(len(records[0]), len(records[0]) + len(records[1]))]
+    whole, after = gzip.compress(b"".join(records), mtime=0), gzip.compress(record(99), mtime=0)
+    for share in (0.2, 0.5, 0.9):
+        cut = whole[: int(len(whole) * share)]
+        got = numbers(cut + after)
+        assert got[-1] == 99 and got[:-1] == list(range(len(got) - 1)) and len(got) - 1 >= int(20 * share) - 1
+    bad = whole[:-6] + b"\0\0" + whole[-4:]  # the member's own checksum
+    assert numbers(bad + after) == [*range(20), 99]
+    assert [warc._number(r[4]["warc-record-id"]) if r[4] else r[:2] for r in warc.salvage(b"junk" + after)] == [(0, 4), 99]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_salvage_loses_only_what_is_damaged(data):
+    parts = [gzip.compress(record(k, 60), mtime=0) for k in range(6)]
+    k = data.draw(st.integers(0, 5))
+    at = data.draw(st.integers(0, len(parts[k]) - 1))
+    parts[k] = parts[k][:at] + bytes([parts[k][at] ^ data.draw(st.integers(1, 255))]) + parts[k][at + 1 :]
+    got = numbers(b"".join(parts))
+    assert [x for x in range(6) if x != k] == [x for x in got if x != k]
+
+
+def test_gaps_are_logged(spark, tmp_path):
+    data = gzip.compress(record(1), mtime=0) + b"damage" + gzip.compress(record(2), mtime=0)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [r["page_id"] for r in rows if r["kind"] == "record"] == [1, 2]
+    assert [data[r["start"] : r["stop"]] for r in rows if r["kind"] == "gap"] == [b"damage"]
 
 
 def test_topk_random(spark):
@@ -167,7 +257,9 @@ def test_topk_random(spark):
     v[40:60] = v[0]
     df = topk.scaled(spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)], "vec_id long, embedding array<float>"))
     whole = np.floor(v.astype(np.float64) * 1024).astype(np.int64)
-    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), block=128).collect())
+    asked = df.where("vec_id % 100 = 0")
+    got = sorted(tuple(r)[:4] for r in topk.top_k(df, asked, block=128).collect())
+    assert sorted(tuple(r)[:4] for r in topk.top_k(df, asked, block=128, wave=300).collect()) == got
     want = []
     for q in range(0, 700, 100):
         score = whole @ whole[q]
@@ -176,6 +268,33 @@ def test_topk_random(spark):
     assert got == sorted(want)
 
 
+def test_lists_are_left_when_outsiders_cannot_qualify():
+    rows = np.stack(pq.read_table(f"{MORE[:-2]}1/embeddings.parquet")["embedding"].to_numpy()).astype(np.float64)
+    v = np.floor(rows * 1024).astype(np.int64)
+    assert len(v) == 2000
+    lists, first = topk.SortedLists(v[160:], np.arange(160, 2000)), topk.SortedLists(v[:160], np.arange(160))
+    reads, alive = [], []
+    for q in range(0, 2000, 100):
+        _, bar, _, _ = first.top(v[q], q, 10)
+        ids, scores, read, left = lists.top(v[q], q, 10, float(bar[-1]))
+        reads.append(read)
+        alive.append(left)
+        exact = v[ids] @ v[q]
+        assert (scores == exact).all()
+    assert max(alive) <= 40 / 1840 + 1e-9
+    assert np.mean(reads) < 0.9
+
+
+def test_scores_beyond_64_bits_are_held_at_the_bounds(spark):
+    rows = [(0, [3e15, 1.0]), (100, [-3e15, 2.0]), (1, [3e15, 4.0]), (2, [1.0, 1e30])]
+    df = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df, df.where("vec_id % 100 = 0")).collect()}
+    whole = {r["vec_id"]: r["v"] for r in df.collect()}
+    for q, c in itertools.permutations(whole, 2):
+        if q % 100 == 0:
+            assert got[q, c] == min(max(sum(a * b for a, b in zip(whole[q], whole[c])), -(2**63)), 2**63 - 1)
+
+
 def test_chunks_join_to_the_text(spark):
     texts = ["", "a", "Aa. " * 700, "x" * 20_000, "a\nb" * 400, "\U0001d400. " * 900]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", exact_dedup.chunks_of(F.col("text")).alias("c"))
@@ -205,7 +324,7 @@ def test_pipeline_against_its_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality"))
     both = model.compressors()
-    rows = [r for r in docs.collect() if model.score(np.array([quality.sizes(r["text"] or "", both)]))[0] >= 0.5]
+    rows = [r for r in docs.collect() if model.score(np.array(quality.difference(r["text"] or "", both))) >= 0.5]
     fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     last = {}
     for r in rows:
@@ -215,11 +334,53 @@ def test_pipeline_against_its_stages(spark):
     for r in last.values():
         near = [g for g in groups if any((slow_fingerprint(r["text"] or "") ^ slow_fingerprint(x["text"] or "")).bit_count() <= 2 for x in g)]
         groups = [g for g in groups if g not in near] + [[r, *sum(near, [])]]
+    firsts = [min(g, key=lambda r: r["doc_id"]) for g in groups]
+    kept = spark.createDataFrame(firsts, docs.schema)
+    # which of them the mix takes, from its own rule: targets by source, then the smallest hashes
+    copies = {}
+    h = {r["doc_id"]: r["h"] for r in mixing.sized(kept).collect()}
+    sizes = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in firsts}
+    targets = {r["source"]: r["target"] for r in mixing.source_targets(mixing.sized(kept)).collect()}
+    for source, target in targets.items():
+        of = sorted((r["doc_id"] for r in firsts if r["source"] == source), key=h.get)
+        whole = sum(sizes[k] for k in of)
+        passes, upto = int(target // whole), 0
+        rest = target - passes * whole
+        for k in of:
+            more = upto + sizes[k] <= rest or (upto <= rest and 2 * (rest - upto) >= sizes[k])
+            copies[k] = passes + int(more)
+            upto += sizes[k]
+    want = sorted(k for k, n in copies.items() if sizes[k] for _ in range(n))
     out = corpus_pipeline.run(spark, SMALL)
-    firsts = out.where("piece = 0").groupBy("doc_id").count().collect()
-    chosen = {r["doc_id"] for r in firsts}
-    assert all(len(chosen & {x["doc_id"] for x in g}) <= 1 for g in groups)
-    assert chosen <= {r["doc_id"] for r in last.values()} and all(r["count"] <= 3 for r in firsts)
-    assert len(chosen) > 0.5 * len(groups)
+    assert sorted(r["doc_id"] for r in out.where("piece = 0").collect()) == want
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).where("n <> end OR n > 2048")
     assert full.count() == 0
+
+
+def test_the_pipeline_repeats_itself(spark, tmp_path):
+    """Equal rows whatever the files are called and however many there are."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0").withColumn("source", F.lit("again"))).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    kept = []
+    for k, files in enumerate((1, 5)):
+        docs.repartition(files, F.rand(k)).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        rows = spark.read.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            path = f"{tmp_path}/{k}/{name}"
+            stage(spark, rows, f"{tmp_path}/{k}").write.parquet(path)
+            rows = spark.read.parquet(path)
+        kept.append(sorted(map(str, rows.collect())))
+    assert kept[0] == kept[1] and len(kept[0]) > 100
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from tessera.llm.common import scratch, shared_dir, written
+
+    at = Path(shared_dir(spark).removeprefix("file://")) / "tessera"
+    before = {p.name for p in at.glob("*")} if at.exists() else set()
+    with scratch(spark):
+        assert written(spark.range(5), "some").count() == 5
+    assert {p.name for p in at.glob("*")} == before
