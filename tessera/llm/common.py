@@ -25,7 +25,7 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python worker unfolds at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ GROUPS = 64
 #: Lengths over this share of a sequence count as large.
 LARGE = 1 / 8
 #: Pre-tokens of a generation that a worker remembers the ids of.
-MEMO = 300_000
+MEMO = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
