@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -144,11 +145,11 @@ class Scorer:
         return float(pooled @ self.model.weights + self.model.offset), tongue(votes)
 
 
-def _start(texts: list[list[str]], label: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> Model:
+def _start(texts: list[list[str]], known: dict[str, list[int]], label: np.ndarray, rng: np.random.Generator) -> Model:
     """Buckets with enough texts. The first component starts as the bucket's smoothed log odds, the first filters read it."""
     reached, positive = Counter(), Counter()
     for words, y in zip(texts, label):
-        found = {b for w in set(words) for b in buckets(w)}
+        found = {b for w in set(words) for b in known[w]}
         reached.update(found)
         if y:
             positive.update(found)
@@ -169,23 +170,29 @@ class _Adagrad:
         self.rate, self.sums = rate, {}
 
     def step(self, name, array: np.ndarray, gradient: np.ndarray, at=...) -> None:
-        total = self.sums.setdefault(name, np.full(array.shape, 1e-2))
+        if name not in self.sums:
+            self.sums[name] = np.full(array.shape, 1e-2)
+        total = self.sums[name]
         total[at] += gradient**2
         array[at] -= self.rate * gradient / np.sqrt(total[at])
 
 
-def fit_network(texts: list[list[str]], label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
-    """One text a step; of each filter only the place of its maximum gets a gradient."""
+def fit_network(texts: list[list[str]], known: dict[str, list[int]], label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
+    """One text a step; of each filter only the place of its maximum gets a gradient. ``known`` holds the words' buckets."""
     rng = np.random.default_rng(seed)
-    model = _start(texts, label, weight, rng)
+    model = _start(texts, known, label, rng)
     memo: dict[str, list[int]] = {}
     reach = max(WIDTHS) - 1
     inside = []
     for words in texts:
-        rows = [memo.setdefault(w, [model.rows[b] for b in buckets(w) if b in model.rows]) for w in words] or [[]]
-        filled = [k for k, part in enumerate(rows) if part]
-        counts = [len(rows[k]) for k in filled]
-        inside.append((rows, np.array([r for part in rows for r in part], np.int64), np.array(filled, np.int64), np.cumsum([0, *counts[:-1]])))
+        for w in set(words):
+            if w not in memo:
+                memo[w] = [model.rows[b] for b in known[w] if b in model.rows]
+        rows = [memo[w] for w in words] or [[]]
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        filled = np.flatnonzero(counts)
+        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(counts.sum()))
+        inside.append((rows, flat, filled, np.cumsum(counts[filled]) - counts[filled]))
     ada = _Adagrad(0.05)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(texts)):
@@ -264,13 +271,14 @@ def fit(rows: pd.DataFrame) -> Model:
     label, weight = rows.label.to_numpy().astype(np.int64), rows.weight.to_numpy()
     same: dict[str, str] = {}
     texts = [[same.setdefault(w, w) for w in words_of(t)] for t in rows.text]
+    known = {w: buckets(w) for w in same}
     even = np.sqrt(weight / weight.mean()) if len(weight) else weight
     logit, language, half = np.zeros(len(rows)), np.zeros(len(rows), np.int64), np.arange(len(rows)) % 2
     for k in (0, 1):
         there, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
-        network = fit_network([texts[i] for i in other], label[other], even[other])
+        network = fit_network([texts[i] for i in other], known, label[other], even[other])
         logit[there], language[there] = logits(network, [rows.text[i] for i in there])
-    model = fit_network(texts, label, even)
+    model = fit_network(texts, known, label, even)
     calibrate(model, logit, language, label, weight)
     return model
 
