@@ -229,13 +229,17 @@ def json_ld(html: Column) -> Column:
 
 def checks(fetches: DataFrame) -> DataFrame:
     """site, check_id, status, earned: every check of every site, from one row per site of its responses."""
-    wide = fetches.groupBy("site").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("status"))).alias(f"{k}_status") for k in ("html", "search_probe", "robots", "md", "llms")],
-        *[F.max(F.when(F.col("kind") == k, F.coalesce("body", F.lit("")))).alias(f"{k}_body") for k in ("html", "search_probe", "md", "llms")],
-        *[F.max(F.when(F.col("kind") == k, F.to_json("headers"))).alias(f"{k}_headers") for k in ("html", "search_probe", "md", "llms")],
-        F.max("url").alias("url"),
+    kinds = ("html", "search_probe", "robots", "md", "llms")
+    # of several responses of a kind one is read whole: one that succeeded, if any did
+    response = F.struct(
+        F.coalesce(F.col("status").between(200, 299), F.lit(False)).alias("reached"), "status",
+        F.coalesce("body", F.lit("")).alias("body"), F.to_json("headers").alias("headers"),
+    )
+    wide = fetches.groupBy("site").agg(*[F.max(F.when(F.col("kind") == k, response)).alias(k) for k in kinds], F.max("url").alias("url"))
+    headers = lambda k: F.coalesce(F.from_json(f"{k}.headers", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    wide = wide.select(
+        "site", "url", *[F.col(f"{k}.status").alias(f"{k}_status") for k in kinds], *[F.col(f"{k}.body").alias(f"{k}_body") for k in kinds], *[headers(k).alias(f"{k}_headers") for k in kinds],
     )
-    wide = wide.withColumns({f"{k}_headers": F.coalesce(F.from_json(f"{k}_headers", "map<string,string>"), F.create_map().cast("map<string,string>")) for k in ("html", "search_probe", "md", "llms")})
     files = fetches.where("kind = 'robots' AND status BETWEEN 200 AND 299").where(~F.coalesce("body", F.lit("")).rlike(r"(?i)^\s*<(?:!doctype|html)")).select("site", "body")
     access = bot_access(robots_rules(files), files.select("site", F.lit("/").alias("path")))
     blocked = access.where("purpose = 'search' AND NOT allowed").groupBy("site").agg(F.count(F.lit(1)).alias("blocked"))

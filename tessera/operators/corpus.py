@@ -151,8 +151,21 @@ def ranked_with_ties(df: DataFrame, col: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    both = ranked_with_ties(ranked_with_ties(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a), b)
-    return both.agg(F.count(F.lit(1)).alias("n"), rounded(F.corr(f"{a}_rank", f"{b}_rank"), 4).alias("rho"))
+    """n and rho of the rows that have both, from counts by pair of values: rows are read once, and only counts are ranked."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"))
+
+    def ranks(col: str) -> DataFrame:
+        counts = pairs.groupBy(col).agg(F.sum("_n").alias("_of"))
+        upto = F.sum("_of").over(W.orderBy(col))
+        return counts.select(col, (upto - (F.col("_of") - 1) / 2.0).alias(f"_{col}"))
+
+    n, x, y = F.col("_n"), F.col(f"_{a}"), F.col(f"_{b}")
+    of = pairs.join(ranks(a), a).join(ranks(b), b).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"), *[F.sum(n * v).alias(name) for name, v in (("x", x), ("y", y), ("xy", x * y), ("xx", x * x), ("yy", y * y))]
+    )
+    spread = lambda v: F.col("n") * F.col(v + v) - F.col(v) * F.col(v)
+    rho = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(spread("x") * spread("y")))
+    return of.select("n", rounded(rho, 4).alias("rho"))
 
 
 def typicality(vectors: DataFrame, queries: DataFrame, k: int = 25, sample: int = 4096, seed: int = 17) -> DataFrame:

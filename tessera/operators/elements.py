@@ -242,14 +242,14 @@ def collisions(e: DataFrame) -> DataFrame:
 
 
 def chip_hues(e: DataFrame) -> DataFrame:
-    """page_id, chips and hue clusters: hues in order start a new cluster over 30 degrees from the one before."""
-    rows = facts(e)
-    chip = rows.where((F.col("radius") >= F.col("height") / 3) & (F.col("height") <= 40) & F.col("n_words").between(1, 3) & (chroma(oklab(F.col("bg"))) >= 0.04))
-    hues = chip.groupBy("page_id").agg(F.count(F.lit(1)).alias("chips"), F.array_sort(F.collect_list(hue(oklab(F.col("bg"))))).alias("h"))
-    start = F.struct(F.lit(-1000.0).alias("last"), F.lit(0).alias("n"))
-    fold = lambda a, x: F.when(x - a["last"] > 30, F.struct(x.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
-    out = hues.select("page_id", "chips", F.aggregate("h", start, fold)["n"].alias("clusters"))
-    return out.withColumn("triggered", (F.col("chips") >= 6) & (F.col("clusters") >= 4))
+    """page_id, chips and hue clusters: in page order, a hue over 30 degrees around the circle from all clusters' first hues starts one."""
+    small = F.col("height").between(16, 40) & F.col("width").between(30, 220) & F.col("n_words").between(1, 3)
+    chip = facts(e).where(small & (F.col("radius") >= 4) & ~F.col("tag").isin("NAV", "HEADER", "FOOTER", "UL", "OL") & (chroma(oklab(F.col("bg"))) >= 0.04))
+    seen = F.array_sort(F.collect_list(F.struct("ord", hue(oklab(F.col("bg"))).alias("hue"))))
+    hues = chip.groupBy("page_id").agg(F.count(F.lit(1)).alias("chips"), F.transform(seen, lambda x: x["hue"]).alias("h"))
+    apart = lambda a, b: F.least(F.abs(a - b) % 360, 360 - F.abs(a - b) % 360) > 30
+    starts = F.aggregate("h", F.array().cast("array<double>"), lambda found, x: F.when(F.forall(found, lambda c: apart(c, x)), F.concat(found, F.array(x))).otherwise(found))
+    return hues.select("page_id", "chips", F.size(starts).alias("clusters")).withColumn("triggered", (F.col("chips") >= 6) & (F.col("clusters") >= 4))
 
 
 def craft_score(checks: DataFrame) -> DataFrame:

@@ -124,11 +124,10 @@ def compared(scans: DataFrame, rules: Column, most_delta: int = 0) -> DataFrame:
 
 def leaderboard(sites: DataFrame) -> DataFrame:
     """Averages and tier counts by builder, by category and over all, in one pass."""
-    sites.createOrReplaceTempView("_leaderboard_sites")
     return sites.sparkSession.sql("""
         SELECT builder, category, count(*) AS sites, count(score) AS scored, sum(score) AS points, count_if(tier = 'Clean') AS clean,
                count_if(tier = 'Mild') AS mild, count_if(tier = 'Heavy') AS heavy
-        FROM _leaderboard_sites GROUP BY GROUPING SETS ((builder), (category), ())""")
+        FROM {sites} GROUP BY GROUPING SETS ((builder), (category), ())""", sites=sites)
 
 
 def ranked_sites(sites: DataFrame) -> DataFrame:

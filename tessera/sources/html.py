@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions.regex import Pattern as P
 from tessera.functions.regex import quoted
 
-MOST_LINKS, MOST_ATTRIBUTES, MOST_TEXT = 300, 300, 200_000
+MOST_LINKS, MOST_ATTRIBUTES = 300, 300
 CODE = ["script", "style", "noscript"]
 #: Entities that are resolved, in this order.
 ENTITIES = [("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&#39;|&apos;", "'")]
+#: How the parts of a page are told apart.
 HEADING = P(r"<h[1-3][^>]*>([\s\S]*?)<\/h[1-3]>", True)
 PARAGRAPH = P(r"<p[^>]*>([\s\S]*?)<\/p>", True)
 LINK = P(r"""<a\b[^>]*\bhref\s*=\s*["']([^"']+)["'][^>]*>([\s\S]*?)<\/a>""", True)

@@ -157,3 +157,51 @@ def test_watch_list(spark):
     assert hit("watch_looks", "neobrutalist_hard_shadow") == ["neobrutalist_hard_shadow"] and hit("watch_looks", "unbranded_chat_bubble") == ["unbranded_chat_bubble"]
     assert hit("page_looks", "template_page_order") == ["template_page_order"]
     assert [r["page_id"] for r in run(spark, "accent_words")] == ["hero_accent_word"]
+
+
+def test_spearman_counts_ties_as_ranks_of_rows(spark):
+    import pandas as pd
+
+    from tessera.operators.corpus import spearman
+
+    rows = [(k % 7, (k * k) % 11) for k in range(60)] + [(None, 1), (2, None)]
+    frame = pd.DataFrame(rows, columns=["a", "b"]).dropna()
+    got = spearman(spark.createDataFrame(rows, "a long, b long"), "a", "b").first()
+    assert got["n"] == 60 and abs(got["rho"] - frame["a"].rank().corr(frame["b"].rank())) < 1e-4
+    none = spearman(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), "a", "b").first()
+    assert (none["n"], none["rho"]) == (2, None)
+
+
+def test_a_response_is_read_whole(spark):
+    from tessera.operators import aeo
+
+    rows = [
+        ("s", "html", "http://s/", 200, {"content-type": "text/html"}, "<html><body>" + "short words here " * 80 + "</body></html>", None, 100),
+        ("s", "html", "http://s/", 503, {"x-robots-tag": "noindex"}, "zzz" * 1000, None, 0),
+    ]
+    fetches = spark.createDataFrame(rows, "site string, kind string, url string, status int, headers map<string,string>, body string, error string, rendered_words int")
+    by = {r["check_id"]: r["status"] for r in aeo.checks(fetches).collect()}
+    assert by["html.reachable"] == "pass"
+
+
+def test_hues_near_red_are_one_cluster(spark):
+    from tessera.operators import elements
+
+    def chips(colours):
+        return [
+            (1, k, 0, k, "SPAN", "chip", f"rgb({r},{g},{b})") for k, (r, g, b) in enumerate(colours)
+        ]
+
+    def clusters(colours):
+        e = spark.createDataFrame(chips(colours), "page_id string, node_id int, parent_id int, ord int, tag string, text string, bg string".replace("page_id string", "page_id int"))
+        e = e.select(
+            F.col("page_id").cast("string").alias("page_id"), "node_id", "parent_id", "ord", "tag", F.lit("").alias("id"), F.lit("").alias("class_name"), "text", F.col("text").alias("direct_text"), F.lit(None).cast("string").alias("href"),
+            F.lit(None).cast("string").alias("role"), F.create_map().cast("map<string,string>").alias("attrs"),
+            F.expr("struct(0d AS top, 0d AS left, 60d AS width, 24d AS height, 60d AS right, 24d AS bottom)").alias("rect"),
+            F.create_map(F.lit("backgroundColor"), F.col("bg"), F.lit("borderRadius"), F.lit("12px")).alias("style"),
+        )
+        return elements.chip_hues(e).first()["clusters"]
+
+    # two pinks and reds on both sides of hue 0, then four hues that are far apart
+    assert clusters([(230, 60, 110), (230, 60, 90), (230, 60, 130)] * 2) == 1
+    assert clusters([(220, 40, 40), (200, 180, 30), (40, 160, 60), (40, 80, 220), (220, 40, 40), (40, 80, 220)]) == 4
