@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -168,32 +168,69 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return of.select("n", rounded(rho, 4).alias("rho"))
 
 
-def typicality(vectors: DataFrame, queries: DataFrame, k: int = 25, sample: int = 4096, seed: int = 17) -> DataFrame:
-    """vec_id, distance: mean distance to the k nearest of a bounded set of references, all columns z-scaled.
+def scaling(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample deviation of every component over all vectors; a constant component has deviation 1.
 
-    The references are the ``sample`` vectors with the smallest id hashes: the operator
-    compares against a reference set, whose size is a parameter and bounds the broadcast.
-    A vector is never its own neighbour.
+    Summed around a first mean, so that large offsets cost no digits. One row a component comes to the driver.
     """
-    refs = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).toPandas()
-    x = np.stack(refs["embedding"].to_numpy()).astype(np.float64) if len(refs) else np.zeros((0, 1))
-    mean, sd = (x.mean(0), x.std(0, ddof=1) if len(x) > 1 else np.ones(x.shape[1])) if len(x) else (0, 1)
-    sd = np.where(sd == 0, 1.0, sd)
-    shared = vectors.sparkSession.sparkContext.broadcast((refs["vec_id"].to_numpy(), (x - mean) / sd, mean, sd))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, r, m, s = shared.value
-        for b in batches:
-            if not len(b) or not len(r):
-                continue
-            q = (np.stack(b["embedding"].to_numpy()).astype(np.float64) - m) / s
-            dist = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (r**2).sum(1)[None] - 2 * q @ r.T, 0))
-            dist[b["vec_id"].to_numpy()[:, None] == ids[None]] = np.inf
-            near = np.sort(np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)[:, :k], axis=1)
-            fine = np.isfinite(near)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "distance": np.floor(np.where(fine, near, 0).sum(1) / np.maximum(fine.sum(1), 1) * 1000 + 0.5) / 1000})
-
-    return queries.select("vec_id", "embedding").mapInPandas(run, "vec_id long, distance double")
+    parts = vectors.select(F.posexplode("embedding").alias("at", "x")).select("at", F.col("x").cast("double").alias("x"))
+    rows = sorted(parts.groupBy("at").agg(F.avg("x"), F.stddev_samp("x")).collect())
+    mean, sd = (np.array([np.nan if r[k] is None else r[k] for r in rows], float) for k in (1, 2))
+    return mean, np.where(np.isnan(sd) | (sd == 0), 1.0, sd)
+
+
+def typicality(vectors: DataFrame, queries: DataFrame, k: int = 25, block: int = 8192) -> DataFrame:
+    """vec_id, distance: mean distance to the k nearest of all ``vectors``, every component z-scaled over all of them.
+
+    Blocks of queries meet blocks of references, both of some ``block`` rows, dealt by a hash of id and
+    content. Of every meeting only the k nearest of each query go on, as one row, so a task holds two
+    blocks, and what moves is (queries + references) times the other side's blocks. A query is never its
+    own neighbour: references of the same vec_id, a key of the table, are left out. Rows with a null or
+    ragged vector take no part; where there are under two references there is nothing to compare with.
+    """
+    mean, sd = scaling(vectors)
+    sound = (F.size("embedding") == len(mean)) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    count = vectors.where(sound).count()
+    refs_in, queries_in = -(-max(count, 1) // block), -(-max(queries.where(sound).count(), 1) // block)
+
+    def dealt(rows: DataFrame, into: int, own: str, other: str, others: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(into)).cast("int")
+        some = rows.where(sound & F.lit(count >= 2)).select("vec_id", "embedding", part.alias(own))
+        return some.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def nearest(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"vec_id": [], "near": []})
+        x, y = ((np.stack(side["embedding"].to_numpy()).astype(np.float64) - mean) / sd for side in (q, r))
+        ids, length, out = r["vec_id"].to_numpy(), (y**2).sum(1), []
+        for low in range(0, len(x), 512):
+            some = x[low : low + 512]
+            dist = np.sqrt(np.maximum((some**2).sum(1)[:, None] + length - 2 * some @ y.T, 0))
+            dist[q["vec_id"].to_numpy()[low : low + 512, None] == ids] = np.inf
+            near = np.sort(np.partition(dist, min(k, len(y)) - 1, axis=1)[:, :k], axis=1)
+            out += [row[np.isfinite(row)] for row in near]
+        return pd.DataFrame({"vec_id": q["vec_id"], "near": out})
+
+    left = dealt(queries, queries_in, "q", "r", refs_in).groupBy("q", "r")
+    right = dealt(vectors, refs_in, "r", "q", queries_in).groupBy("q", "r")
+    met = left.cogroup(right).applyInPandas(nearest, "vec_id long, near array<double>")
+    best = met.groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    total = F.aggregate("near", F.lit(0.0), lambda a, x: a + x)
+    return best.where(F.size("near") > 0).select("vec_id", rounded(total / F.size("near"), 3).alias("distance"))
+
+
+def typicality_ranks(distances: DataFrame, references: DataFrame) -> DataFrame:
+    """``distances`` with percentile (share of ``references`` at least as far, 100: most typical) and atypicality (share at most as far).
+
+    Ranked by distance, from counts by value: distances have three decimals, so values are few beside rows.
+    """
+    counts = references.groupBy("distance").agg(F.count(F.lit(1)).alias("_n"), F.lit(True).alias("_ref"))
+    wanted = distances.select("distance").distinct().withColumns({"_n": F.lit(0).cast("long"), "_ref": F.lit(False)})
+    by = counts.unionByName(wanted).groupBy("distance").agg(F.sum("_n").alias("_n"))
+    upto, total = F.sum("_n").over(W.orderBy("distance")), F.sum("_n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    share = lambda n: rounded(100 * n / total).cast("int")
+    ranks = by.select("distance", share(total - upto + F.col("_n")).alias("percentile"), share(upto).alias("atypicality"))
+    return distances.join(ranks, "distance")
 
 
 def domain_split(rows: DataFrame, seed: str = "split-v1", share: float = 0.7) -> DataFrame:

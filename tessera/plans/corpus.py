@@ -71,8 +71,10 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_typicality(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector against all others, with its ranks among their distances."""
     e = table(spark, d, "embeddings")
-    return c.typicality(e, e)
+    own = c.typicality(e, e)
+    return c.typicality_ranks(own, own)
 
 
 def typicality_by_label(spark: SparkSession, d: str) -> DataFrame:

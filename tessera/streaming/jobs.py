@@ -16,6 +16,8 @@ from tessera.operators.history import REGRESSION
 
 ALERT = "domain string, scan_id long, score int, base_score int"
 LIMITED = "user_id long, event_id long, count long, limited boolean"
+#: Rows of one key that are handed on at once.
+SLICE = 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,6 +27,11 @@ def state_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessera-stream/{uuid.uuid4().hex}"
 
 
+def in_order(rows: Iterator[pd.DataFrame], *cols: str) -> pd.DataFrame:
+    """One key's rows of a micro-batch by their first two columns. A micro-batch has a bounded size (``event_stream``), and so has a key's part of it."""
+    return pd.concat([b[list(cols)] for b in rows]).sort_values(list(cols[:2]), kind="stable")
+
+
 class Watch(StatefulProcessor):
     """Of each domain the baseline and whether its regression has been reported; recovery arms the alert again."""
 
@@ -33,7 +40,7 @@ class Watch(StatefulProcessor):
         self.state = handle.getValueState("watch", StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = pd.concat(list(rows)).sort_values(["ts", "scan_id"], kind="stable")
+        now = in_order(rows, "ts", "scan_id", "score", "rank")
         got = self.state.get() if self.state.exists() else None
         out = []
         for scan_id, score, rank in zip(now["scan_id"], now["score"], now["rank"]):
@@ -64,16 +71,17 @@ class Window(StatefulProcessor):
         self.state = handle.getValueState("window", StructType([StructField("start", TimestampType()), StructField("count", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        now = in_order(rows, "ts", "event_id")
         start, count = self.state.get() if self.state.exists() else (None, 0)
-        out = []
-        for event_id, ts in zip(now["event_id"], now["ts"]):
-            if start is None or (ts - pd.Timestamp(start)).total_seconds() >= self.seconds:
-                start, count = ts.to_pydatetime(), 0
-            count += 1
-            out.append((key[0], event_id, count, count > self.most))
+        for low in range(0, len(now), SLICE):
+            some, out = now.iloc[low : low + SLICE], []
+            for event_id, ts in zip(some["event_id"], some["ts"]):
+                if start is None or (ts - pd.Timestamp(start)).total_seconds() >= self.seconds:
+                    start, count = ts.to_pydatetime(), 0
+                count += 1
+                out.append((key[0], event_id, count, count > self.most))
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "count", "limited"])
         self.state.update((start, count))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "count", "limited"])
 
     def close(self) -> None:
         pass
@@ -111,8 +119,8 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def event_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
-    """The events table as a stream of files."""
+def event_stream(spark: SparkSession, folder: str, bytes_at_once: str = "256m") -> DataFrame:
+    """The events table as a stream of files, of at most ``bytes_at_once`` in a micro-batch (a larger file is one of its own): what one key can bring at once."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_at_once).parquet(folder)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", bytes_at_once).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))

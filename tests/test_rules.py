@@ -144,6 +144,21 @@ def test_typicality(spark):
         want[r["vec_id"]] = d.mean()
     got = {r["vec_id"]: r["distance"] for r in run(spark, "knn_typicality")}
     assert all(abs(got[k] - v) < 2e-3 for k, v in want.items())
+    near, ids = np.array(list(got.values())), list(got)
+    ranks = {r["vec_id"]: (r["percentile"], r["atypicality"]) for r in run(spark, "knn_typicality")}
+    assert all(ranks[i] == (int(100 * (near >= v).mean() + 0.5), int(100 * (near <= v).mean() + 0.5)) for i, v in zip(ids, near))
+
+
+def test_typicality_over_many_blocks(spark):
+    from tessera.operators.corpus import typicality
+
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding")
+    whole, dealt = ({r["vec_id"]: r["distance"] for r in typicality(vectors, vectors, block=n).collect()} for n in (8192, 37))
+    assert whole == dealt and len(whole) == vectors.count()
+    odd = spark.createDataFrame([(-1, None), (-2, [1.0])], vectors.schema)
+    assert {r["vec_id"]: r["distance"] for r in typicality(vectors.union(odd.limit(1)), vectors.limit(3), block=50).collect()}.items() <= whole.items()
+    assert typicality(vectors.limit(1), vectors).count() == 0 and typicality(vectors.limit(0), vectors).count() == 0
+
 
 
 def test_probes(spark):
