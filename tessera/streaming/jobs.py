@@ -119,7 +119,7 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def event_stream(spark: SparkSession, folder: str, bytes_at_once: str = "256m") -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, bytes_at_once: int = 256 << 20) -> DataFrame:
     """The events table as a stream of files, of at most ``bytes_at_once`` in a micro-batch (a larger file is one of its own): what one key can bring at once."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", bytes_at_once).parquet(folder)
