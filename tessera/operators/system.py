@@ -59,6 +59,47 @@ def nearest_colours(observed: DataFrame, palette: DataFrame) -> DataFrame:
     return out.select(*observed.columns, F.col("best.path").alias("token"), rounded(d, 4).alias("distance"), F.when(d <= MATCH, "match").when(d <= NEAR, "near").when(d.isNotNull(), "off").alias("verdict"))
 
 
+def colour_checks(matches: DataFrame) -> DataFrame:
+    """matches(site, class cta|surface|heading, verdict) of observed colours: site, rule_id, status, n, off.
+
+    One call to action or surface off the palette fails, headings fail if more than half are; near
+    misses pass. Unreadable colours and sites without a palette have no verdict, and no check.
+    """
+    rule = F.when(F.col("class") == "cta", "colors.cta").when(F.col("class") == "surface", "colors.surface").when(F.col("class") == "heading", "colors.headings")
+    by = matches.where("verdict IS NOT NULL").groupBy("site", rule.alias("rule_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "off").alias("off"))
+    fine = (F.col("off") == 0) | ((F.col("rule_id") == "colors.headings") & (2 * F.col("off") <= F.col("n")))
+    return by.where("rule_id IS NOT NULL").select("site", "rule_id", F.when(fine, "pass").otherwise("fail").alias("status"), "n", "off")
+
+
+def style_check(declared: DataFrame, observed: DataFrame) -> DataFrame:
+    """declared and observed(site, family, size, height, spacing): typography.styles by site, failed if over half the observed match no declared style.
+
+    A field that either side leaves open matches; styles without a size don't count as declared,
+    and a site without any is skipped. A site's declared styles, a few dozen, are gathered into its row.
+    """
+    known = declared.where("size IS NOT NULL").groupBy("site").agg(F.collect_list(F.struct("family", "size", "height", "spacing")).alias("declared"))
+    near = lambda s, c, by: F.coalesce(F.abs(F.col(c) - s[c]) <= by, F.lit(True))
+    same = lambda s: F.coalesce(F.lower(F.col("family")) == F.lower(s["family"]), F.lit(True)) & near(s, "size", 0.5) & near(s, "height", 0.05) & near(s, "spacing", 0.25)
+    rows = observed.join(known, "site", "left").select("site", F.exists("declared", same).alias("fits"))
+    by = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("fits")).alias("off"), F.count("fits").alias("judged"))
+    status = F.when(F.col("judged") == 0, "skip").when(2 * F.col("off") > F.col("n"), "fail").otherwise("pass")
+    return by.select("site", F.lit("typography.styles").alias("rule_id"), status.alias("status"), "n", "off")
+
+
+def waived(findings: DataFrame, palette: DataFrame, fonts: DataFrame) -> DataFrame:
+    """findings(site, rule_id, weight, colour, family): the score before and after findings are waived whose colour or family the site's tokens declare.
+
+    A colour counts as declared within a near miss of a token; families are compared without case.
+    """
+    declared = fonts.select("site", F.lower("value").alias("low")).distinct().withColumn("known", F.lit(True))
+    rows = nearest_colours(findings, palette).withColumn("low", F.lower("family")).join(declared, ["site", "low"], "left")
+    off = F.coalesce(F.col("verdict").isin("match", "near"), F.lit(False)) | F.coalesce("known", F.lit(False))
+    return rows.withColumn("off", off).groupBy("site").agg(
+        F.sum("weight").alias("before"), F.sum(F.when(F.col("off"), 0).otherwise(F.col("weight"))).alias("score"), F.count_if("off").alias("waived"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("off"), F.col("rule_id")))), ",").alias("rules"),
+    )
+
+
 def on_scale(observed: DataFrame, scale: DataFrame, tolerance: float) -> DataFrame:
     """observed(key, value) with whether scale(key, step) has a step within the tolerance: a band join on cells as wide as the band."""
     cell = lambda v: F.floor(v / (2 * tolerance))

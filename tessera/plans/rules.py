@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import catalog
 from tessera.functions.regex import quoted
-from tessera.functions.text import sql_normalised, sql_rounded, sql_tier, sql_words
+from tessera.functions.text import sql_fnv1a, sql_normalised, sql_rounded, sql_tier, sql_words
 from tessera.operators import aeo, design, report, static, system, watchlist
 from tessera.operators import elements as el
 from tessera.plans.copy import P_SQL
@@ -143,8 +143,7 @@ def robots_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def user_agents(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("Mozilla/5.0 (compatible; Googlebot/2.1)",), ("Applebot-Extended/1.0",), ("GPTBot/1.1",), ("Mozilla/5.0 Firefox",)]
-    return aeo.bot_of(spark.createDataFrame(rows, "user_agent string"))
+    return aeo.bot_of(spark.createDataFrame([(a,) for a in _AGENTS], "user_agent string"))
 
 
 def preview_directives(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +208,17 @@ def class_coverage(spark: SparkSession, d: str) -> DataFrame:
     return system.class_coverage(palette_nearest(spark, d))
 
 
+def system_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of colours and text styles from what was observed."""
+    colours = system.colour_checks(palette_nearest(spark, d))
+    return colours.unionByName(system.style_check(*literal.text_styles(spark)))
+
+
+def system_waivers(spark: SparkSession, d: str) -> DataFrame:
+    tokens = tokens_resolved(spark, d)
+    return system.waived(literal.system_findings(spark), tokens.where("path LIKE 'colors.%'"), tokens.where("path LIKE '%fontFamily'"))
+
+
 def band_scale(spark: SparkSession, d: str) -> DataFrame:
     """Prices against a declared scale of whole hundreds, within two."""
     rows = table(spark, d, "part").select(F.lit("price").alias("key"), F.col("p_retailprice").cast("double").alias("value"))
@@ -304,16 +314,14 @@ def page_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("copy", i, "copy", w, s) for i, _, _, w, s, _ in catalog.COPY_RULES] + [("design", i, c, w, s) for i, c, w, s in catalog.DESIGN_RULES]
-    rows += [("craft", i, "craft", w, "active") for i, w in catalog.CRAFT_RULES] + [("aeo", i, s, w, "active") for i, w, s in catalog.AEO_RULES] + [("system", i, "system", w, "active") for i, w in catalog.SYSTEM_RULES]
-    return spark.createDataFrame(rows, "axis string, rule_id string, category string, weight int, status string")
+    return spark.createDataFrame(_CATALOGUE, "axis string, rule_id string, category string, weight int, status string")
 
 
 QUERIES = {f.__name__: f for f in (
     design_score_vectors, design_score_scans, category_rollup, overlap_dedup, unify_axes, presets, preset_filter, config_layers, config_assertions, waiver_rescore, inline_waivers,
     element_rules, element_groups, element_eyebrows, element_pills, element_nested_cards, element_collisions, element_chips, community_rules, craft_score, static_viewport, static_scaffold,
     static_controls, robots_rules, robots_match, user_agents, preview_directives, edge_access, aeo_checks, aeo_score, prompt_injection, page_readability, usage_policies, tokens_resolved,
-    tokens_diff, palette_nearest, palette_distance, class_coverage, band_scale, contrast_pairs, fonts_declared, system_score, report_github, report_gitlab, report_sarif, report_junit,
+    tokens_diff, palette_nearest, palette_distance, class_coverage, system_checks, system_waivers, band_scale, contrast_pairs, fonts_declared, system_score, report_github, report_gitlab, report_sarif, report_junit,
     report_agent, gate_exit_code, avoid_list, watch_sentences, watch_looks, page_looks, accent_words, craft_focus, craft_ctas, craft_forms, page_status, rule_catalogue,
 )}
 _DIM = "dim(rule_id, category, weight, status, ord) AS (VALUES " + ", ".join(f"('{i}', '{c}', {w}, '{s}', {k})" for k, (i, c, w, s) in enumerate(catalog.DESIGN_RULES)) + ")"
@@ -323,6 +331,41 @@ _PRESET = "kept AS (SELECT p.preset, d.rule_id, d.category, d.weight FROM dim d,
   WHEN 'minimal' THEN rule_id IN ('slop_fonts', 'purple_accent', 'gradient_text') WHEN 'editorial' THEN rule_id NOT IN ('cream_default_bg', 'editorial_cream_kit')
   WHEN 'devtool' THEN rule_id NOT IN ('display_mono_heading', 'perma_dark_mode') ELSE true END)"""
 _FIND = f"{_SIG}, fi AS (SELECT scan_id AS page_id, 'https://' || domain || '.example/' AS url, score, tier, rule_id, weight, CASE WHEN status = 'review' THEN 'review' ELSE 'fail' END AS status FROM sg JOIN dim USING (rule_id))"
+_CATALOGUE = [("copy", i, "copy", w, s) for i, _, _, w, s, _ in catalog.COPY_RULES] + [("design", i, c, w, s) for i, c, w, s in catalog.DESIGN_RULES] + [
+    (axis, i, axis, w, "active") for axis, of in (("craft", catalog.CRAFT_RULES), ("system", catalog.SYSTEM_RULES)) for i, w in of] + [("aeo", i, s, w, "active") for i, w, s in catalog.AEO_RULES]
+_AGENTS = ["Mozilla/5.0 (compatible; Googlebot/2.1)", "Applebot-Extended/1.0", "GPTBot/1.1", "Mozilla/5.0 Firefox"]
+
+
+def _visible(html: str) -> str:
+    out = f"regexp_replace({html}, '<!--[\\s\\S]*?-->', ' ', 'g')"
+    for tag in ("script", "style", "noscript", "svg", "template"):
+        out = rf"regexp_replace({out}, '(?i)<{tag}\b[^>]*>[\s\S]*?</{tag}>', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+_SEEN = f"v AS (SELECT page_id, html, {_visible('html')} AS text FROM pages)"
+_WORDS = r"len(regexp_extract_all(text, '\S+'))"
+_TOKENS = "tok(site, version, path, value) AS (VALUES " + ", ".join(
+    f"('mill', {v}, '{p}', '{x}')" for v, tokens in ((1, literal.TOKENS[0]), (2, literal.TOKENS[1])) for p, x in literal.flat(tokens)) + ")"
+_sql_rows = lambda rows: ", ".join("(" + ", ".join("NULL" if x is None else quoted(x) if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
+
+
+def _sql_lab(rgb: str) -> str:
+    """L, a, b as a list, of a list of three channels from 0 to 255."""
+    of = lambda *w: " + ".join(f"{x}::DOUBLE * l[{i}]" for i, x in enumerate(w, 1))
+    lin = f"list_transform({rgb}, lambda c: CASE WHEN c / 255.0::DOUBLE <= 0.04045 THEN c / 255.0::DOUBLE / 12.92 ELSE pow((c / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END)"
+    lms = f"list_transform([{lin}], lambda l: [cbrt({of(0.4122214708, 0.5363325363, 0.0514459929)}), cbrt({of(0.2119034982, 0.6806995451, 0.1073969566)}), cbrt({of(0.0883024619, 0.2817188376, 0.6299787005)})])"
+    return f"list_transform({lms}, lambda l: [{of(0.2104542553, 0.7936177850, -0.0040720468)}, {of(1.9779984951, -2.4285922050, 0.4505937099)}, {of(0.0259040371, 0.7827717662, -0.8086757660)}])[1]"
+
+
+_RGB = lambda c: f"CASE WHEN {c} LIKE '#%' THEN list_transform([2, 4, 6], lambda i: ('0x' || substr({c}, i, 2))::INT) WHEN {c} LIKE 'rgb%' THEN list_transform(regexp_extract_all({c}, '[0-9]+'), lambda x: x::INT) END"
+_NEAREST = f"""{_TOKENS}, seen(site, class, colour, area) AS (VALUES {_sql_rows(literal.OBSERVED_COLOURS)}),
+pal AS (SELECT site, path, {_RGB('value')} AS rgb FROM tok WHERE version = 1 AND path LIKE 'colors.%' AND value LIKE '#%' UNION ALL SELECT 'mill', 'colors.link', [124, 58, 237]),
+pl AS (SELECT site, path, {_sql_lab('rgb')} AS lab FROM pal), sr AS (SELECT *, row_number() OVER () AS i, {_RGB('colour')} AS rgb FROM seen), sl AS (SELECT *, CASE WHEN rgb IS NOT NULL THEN {_sql_lab('rgb')} END AS lab FROM sr),
+far AS (SELECT s.*, p.path AS token, list_distance(s.lab, p.lab) AS d FROM sl s LEFT JOIN pl p ON s.site = p.site AND s.lab IS NOT NULL),
+near AS (SELECT site, class, colour, area, token, {sql_rounded('d', 4)} AS distance, CASE WHEN d <= 0.02 THEN 'match' WHEN d <= 0.05 THEN 'near' WHEN d IS NOT NULL THEN 'off' END AS verdict FROM far QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, token) = 1)"""
+_FETCHES = "fetched(site, kind, status, waf, price, body) AS (VALUES " + ", ".join(
+    f"('{site}', '{kind}', {status}, '{headers.get('x-amzn-waf-action', '')}', {'crawler-price' in headers}, {quoted(body)})" for site, kind, _, status, headers, body in literal.FETCHES) + ")"
 ORACLES = {
     "category_rollup": f"""WITH {_SIG}, m AS (SELECT category, sum(weight) AS most FROM dim GROUP BY category),
 g AS (SELECT scan_id::VARCHAR AS page_id, category, count(*) AS flagged, sum(weight)::DOUBLE AS weight FROM sg JOIN dim USING (rule_id) GROUP BY ALL)
@@ -364,5 +407,69 @@ r AS (SELECT *, CASE WHEN sentences > 0 THEN {sql_rounded('in_band::DOUBLE / sen
 SELECT doc_id, sentences, in_band, ratio, marks, sentences >= 6 AND ratio >= 0.75 AND marks <= 3 AS even,
   len(list_filter(list_transform(regexp_extract_all(text, '\\S*[\\x{{370}}-\\x{{4FF}}]\\S*'), lambda t: regexp_replace(t, '^[.,;:!?"''(\\[{{]+|[.,;:!?"'')\\]}}]+$', '', 'g')),
     lambda t: len(t) >= 2 AND regexp_matches(t, '[A-Za-z]'))) AS mixed_words FROM r""",
+    "rule_catalogue": "SELECT * FROM (VALUES " + ", ".join(
+        f"('{a}', '{i}', '{c}', {w}, '{st}')" for a, i, c, w, st in _CATALOGUE
+    ) + ") t(axis, rule_id, category, weight, status)",
+    "report_gitlab": f"""WITH {_FIND}, h AS (SELECT *, lower(lpad(to_hex({sql_fnv1a("rule_id || ':' || url")}), 8, '0')) AS f FROM fi)
+SELECT page_id, rule_id, '{{"check_name":"' || rule_id || '","severity":"' || CASE WHEN status = 'review' OR weight = 0 THEN 'info' WHEN weight >= 8 THEN 'critical' WHEN weight >= 6 THEN 'major' ELSE 'minor' END
+  || '","fingerprint":"' || f || '","location":{{"path":"' || url || '","lines":{{"begin":1}}}}}}' AS item FROM h""",
+    "report_sarif": f"""WITH {_FIND}, h AS (SELECT *, lower(lpad(to_hex({sql_fnv1a("rule_id || ':' || url")}), 8, '0')) AS f FROM fi),
+r AS (SELECT page_id, string_agg('{{"ruleId":"' || rule_id || '","level":"' || CASE WHEN status = 'review' OR weight < 6 THEN 'warning' ELSE 'error' END || '","partialFingerprints":{{"primary":"' || f || '"}}}}', ',' ORDER BY rule_id) AS l FROM h GROUP BY page_id)
+SELECT page_id, '{{"version":"2.1.0","runs":[{{"results":[' || l || ']}}]}}' AS sarif FROM r""",
+    "avoid_list": f"""WITH {_FIND}, a AS (SELECT page_id, rule_id, 'avoid ' || replace(rule_id, '_', ' ') AS advice, weight FROM fi),
+o AS (SELECT page_id, list(struct_pack(id := rule_id, advice := advice, n := len(string_split(advice, ' '))) ORDER BY weight DESC, rule_id) AS l FROM a GROUP BY page_id),
+x AS (SELECT page_id, list_reduce(list_prepend(struct_pack(id := '', advice := '', n := 0), l), lambda t, i: CASE WHEN t.n + i.n <= 8 THEN struct_pack(id := '', advice := t.advice || '; ' || i.advice, n := t.n + i.n)
+  WHEN t.n + 1 <= 8 THEN struct_pack(id := '', advice := t.advice || '; ' || i.id, n := t.n + 1) ELSE t END).advice AS t FROM o)
+SELECT page_id, substr(t, 3) AS avoid FROM x""",
+    "page_status": rf"""WITH {_SEEN}, t AS (SELECT page_id, regexp_extract(html, '(?i)<title>([^<]*)</title>', 1) AS title, {_WORDS} AS n FROM v)
+SELECT page_id, CASE WHEN {" OR ".join(f"contains(title, {quoted(x)})" for x in watchlist.CHALLENGE_TITLES)} THEN 'cloudflare_challenge'
+  WHEN regexp_matches(title, '(?i)access denied|forbidden|akamai') AND n < 20 THEN 'access_blocked' WHEN n < 10 THEN 'empty_page' END AS blocked FROM t""",
+    "page_readability": rf"""WITH {_SEEN}, c AS (SELECT *, {_WORDS} AS words, list_concat(regexp_extract_all(html, '(?i)<button\b[^>]*>[\s\S]*?</button>'), regexp_extract_all(html, '(?i)<a\b[^>]*>[\s\S]*?</a>')) AS found FROM v),
+n AS (SELECT *, len(list_filter(found, lambda x: regexp_matches(x, '(?i)\b(?:aria-label(?:ledby)?|title)\s*=\s*["''][^"'']+["'']') OR {_visible('x')} <> '')) AS named FROM c),
+r AS (SELECT *, CASE WHEN len(found) > 0 THEN {sql_rounded('named::DOUBLE / len(found)', 3)} ELSE 1.0 END AS ratio FROM n)
+SELECT page_id, words, len(found) AS controls, ratio AS named_ratio, ratio >= 0.8 AND NOT regexp_matches(html, '(?i)<[^>]+class\s*=\s*["''][^"'']*price[^"'']*["''][^>]*>\s*</[^>]+>') AS healthy,
+  len(regexp_extract_all(html, '(?i)<script\b[^>]*application/ld\+json[^>]*>([\s\S]*?)</script>')) AS json_ld, words >= 15 AS covered FROM r""",
+    "tokens_resolved": f"""WITH RECURSIVE {_TOKENS}, a AS (SELECT site, path, value, 0 AS hop FROM tok WHERE version = 1
+  UNION ALL SELECT a.site, a.path, t.value, hop + 1 FROM a JOIN tok t ON t.version = 1 AND t.site = a.site AND a.value = '{{' || t.path || '}}' WHERE hop < 8),
+l AS (SELECT site, path, arg_max(value, hop) AS value FROM a GROUP BY ALL) SELECT site, path, CASE WHEN value NOT LIKE '{{%' THEN value END AS value FROM l""",
+    "tokens_diff": f"""WITH {_TOKENS}, b AS (SELECT site, path, value AS "old" FROM tok WHERE version = 1), n AS (SELECT site, path, value AS "new" FROM tok WHERE version = 2)
+SELECT site, path, "old", "new", CASE WHEN "old" IS NULL THEN 'added' WHEN "new" IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM b FULL JOIN n USING (site, path) WHERE "old" IS DISTINCT FROM "new\"""",
+    "contrast_pairs": f"""WITH p(site, fg, bg, has_image, a, b) AS (VALUES ('a', '#777777', '#ffffff', false, 119, 255), ('b', 'black', 'white', false, 0, 255),
+  ('c', '#777', 'rgb(255, 255, 255)', true, 119, 255), ('d', 'nonsense', '#fff', false, NULL, 255)),
+l AS (SELECT *, (1 + 0.05) / (CASE WHEN a = 0 THEN 0::DOUBLE ELSE pow((a / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END + 0.05) AS ratio FROM p)
+SELECT site, fg, bg, has_image, {sql_rounded('ratio', 2)} AS contrast, CASE WHEN has_image OR ratio IS NULL THEN 'unknown' WHEN ratio < 4.5 THEN 'review' ELSE 'pass' END AS status FROM l""",
+    "fonts_declared": f"""WITH {_TOKENS}, seen(site, family, n) AS (VALUES ('mill', 'Georgia, serif', 90), ('mill', '''Inter''', 10)),
+f AS (SELECT site, lower(trim(translate(string_split(family, ',')[1], '"''', ''))) AS family, n, sum(n) OVER (PARTITION BY site) AS every FROM seen)
+SELECT site, family, {sql_rounded('sum(n)::DOUBLE / any_value(every)', 3)} AS share FROM f
+WHERE NOT EXISTS (SELECT 1 FROM tok t WHERE t.version = 1 AND t.site = f.site AND t.path LIKE '%fontFamily' AND lower(t.value) = f.family) GROUP BY site, family""",
+    "palette_nearest": f"WITH {_NEAREST} SELECT site, class, colour, area, token, distance, verdict FROM near",
+    "palette_distance": f"""WITH {_NEAREST} SELECT site, {sql_rounded('avg(distance)', 4)} AS mean_distance, {sql_rounded('avg((distance <= 0.05)::INT)', 3)} AS near_share FROM near WHERE distance IS NOT NULL GROUP BY site""",
+    "class_coverage": f"""WITH {_NEAREST}, m AS (SELECT *, CASE verdict WHEN 'match' THEN 1.0::DOUBLE WHEN 'near' THEN 0.5 ELSE 0 END AS hit FROM near)
+SELECT site, class, {sql_rounded('avg(hit)', 3)} AS by_count, {sql_rounded('sum(hit * area) / greatest(sum(area), 1e-9)', 3)} AS by_area FROM m GROUP BY site, class""",
+    "system_checks": f"""WITH {_NEAREST}, c AS (SELECT site, class, count(*) AS n, count(*) FILTER (verdict = 'off') AS off FROM near WHERE distance IS NOT NULL GROUP BY ALL),
+k AS (SELECT site, CASE class WHEN 'cta' THEN 'colors.cta' WHEN 'surface' THEN 'colors.surface' ELSE 'colors.headings' END AS rule_id, CASE WHEN class = 'heading' AND 2 * off <= n OR off = 0 THEN 'pass' ELSE 'fail' END AS status, n, off FROM c),
+d(site, fam, size, height, spacing) AS (VALUES {_sql_rows(literal.DECLARED_STYLES)}), o(site, ord, fam, size, height, spacing) AS (VALUES {_sql_rows(literal.OBSERVED_STYLES)}),
+e AS (SELECT site, EXISTS (SELECT 1 FROM d WHERE d.site = o.site AND d.size IS NOT NULL AND coalesce(o.fam = d.fam, true) AND coalesce(abs(o.size - d.size) <= 0.5, true)
+  AND coalesce(abs(o.height - d.height) <= 0.05, true) AND coalesce(abs(o.spacing - d.spacing) <= 0.25, true)) AS fits FROM o),
+t AS (SELECT site, count(*) AS n, count(*) FILTER (NOT fits) AS off FROM e GROUP BY site)
+SELECT * FROM k UNION ALL SELECT site, 'typography.styles', CASE WHEN 2 * off > n THEN 'fail' ELSE 'pass' END, n, off FROM t WHERE site IN (SELECT site FROM d WHERE size IS NOT NULL)
+UNION ALL SELECT site, 'typography.styles', 'skip', n, 0 FROM t WHERE site NOT IN (SELECT site FROM d WHERE size IS NOT NULL)""",
+    "system_waivers": f"""WITH {_NEAREST}, f(site, rule_id, weight, colour, family) AS (VALUES {_sql_rows(literal.SYSTEM_FINDINGS)}),
+w AS (SELECT f.*, EXISTS (SELECT 1 FROM near n WHERE n.site = f.site AND n.colour = f.colour AND n.distance <= 0.05) OR EXISTS (SELECT 1 FROM tok t WHERE t.version = 1 AND t.site = f.site AND t.path LIKE '%fontFamily' AND lower(t.value) = lower(f.family)) AS waived FROM f)
+SELECT site, sum(weight)::BIGINT AS before, coalesce(sum(weight) FILTER (NOT waived), 0)::BIGINT AS score, count(*) FILTER (waived) AS waived, coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (waived), '') AS rules FROM w GROUP BY site""",
+    "system_score": f"""WITH dim(rule_id, weight) AS (VALUES {", ".join(f"('{i}', {w})" for i, w in catalog.SYSTEM_RULES)}),
+c(site, rule_id, status) AS (VALUES ('mill', 'fonts.declared', 'fail'), ('mill', 'colors.cta', 'pass'), ('mill', 'radii.scale', 'pass'), ('mill', 'spacing.scale', 'skip'), ('none', 'fonts.declared', 'skip')),
+s AS (SELECT site, coalesce(sum(weight) FILTER (status IN ('pass', 'fail')), 0)::BIGINT AS judged, coalesce(sum(weight) FILTER (status = 'pass'), 0)::BIGINT AS passed FROM c JOIN dim USING (rule_id) GROUP BY site),
+r AS (SELECT *, CASE WHEN judged > 0 THEN {sql_rounded('passed::DOUBLE / judged', 3)} ELSE 1.0 END AS score FROM s)
+SELECT *, CASE WHEN score >= 0.8 THEN 'Aligned' WHEN score >= 0.5 THEN 'Drifting' ELSE 'Off-system' END AS tier FROM r""",
+    "user_agents": f"""WITH bot(bot, purpose) AS (VALUES {", ".join(f"('{n}', '{p}')" for n, p, *_, only in catalog.BOTS if not only)}),
+a(user_agent) AS (VALUES {", ".join(f"('{u}')" for u in _AGENTS)})
+SELECT user_agent, arg_max(bot, length(bot)) AS bot, arg_max(purpose, length(bot)) AS purpose FROM a LEFT JOIN bot ON contains(lower(user_agent), lower(bot)) GROUP BY user_agent""",
+    "edge_access": f"""WITH {_FETCHES}, f AS (SELECT p.*, h.body AS baseline FROM fetched p JOIN fetched h USING (site) WHERE p.kind = 'search_probe' AND h.kind = 'html'),
+o AS (SELECT site, status AS http_status, CASE WHEN status = 202 AND waf = 'challenge' THEN 'challenge' WHEN status = 405 AND waf = 'captcha' THEN 'captcha' WHEN regexp_matches(body, {quoted(aeo.CHALLENGE)}) THEN 'challenge'
+  WHEN status = 402 AND price THEN 'paid' WHEN status IN (401, 403, 451) THEN 'blocked' WHEN status = 429 OR status >= 500 THEN 'inconclusive'
+  WHEN status BETWEEN 200 AND 299 AND length(baseline) >= 200 AND length(body) < 0.2 * length(baseline) AND regexp_matches(body, {quoted(aeo.DENIED)}) THEN 'divergent-2xx'
+  WHEN status BETWEEN 200 AND 299 THEN 'ok' ELSE 'inconclusive' END AS outcome FROM f)
+SELECT site, http_status, outcome, CASE outcome WHEN 'ok' THEN 'pass' WHEN 'paid' THEN 'warn' WHEN 'inconclusive' THEN 'unknown' ELSE 'fail' END AS status FROM o""",
     "gate_exit_code": f"WITH {SCANS_SQL} SELECT CASE WHEN count(*) FILTER (tier = 'Heavy' OR score > 90) > 0 THEN 1 ELSE 0 END AS exit_code, count(*) FILTER (tier = 'Heavy' OR score > 90) AS failed, 0::BIGINT AS unscored FROM scans",
 }
