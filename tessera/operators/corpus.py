@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import catalog
+from tessera.functions.regex import Pattern
 from tessera.functions.text import fnv1a, rounded
 
 TERM = "[a-z]{3,}(?:-[a-z]{2,})*"
@@ -134,6 +135,52 @@ def likelihood_ratios(signals: DataFrame, positive: Column) -> DataFrame:
     )
 
 
+def promotion(ratios: DataFrame, rates: DataFrame) -> DataFrame:
+    """``likelihood_ratios`` with rates(rule_id, before, after): the share of false alarms before and after a change; why a rule can't be promoted.
+
+    Joined from the left: a rule without rates is judged by its ratio and interval alone.
+    """
+    rows = ratios.select("rule_id", "lr", "lower").join(rates, "rule_id", "left")
+    reasons = F.array_compact(F.array(
+        F.when(F.coalesce(F.col("lr") < 3, F.lit(True)), "ratio below 3"), F.when(F.col("lower") < 1.5, "interval below 1.5"), F.when(F.col("after") > F.col("before"), "more false alarms"),
+    ))
+    return rows.select("rule_id", "lr", "lower", (F.size(reasons) == 0).alias("eligible"), F.array_join(reasons, ", ").alias("reasons"))
+
+
+def both_ends(odds: DataFrame, most: int = 20) -> DataFrame:
+    """The ``most`` terms of either sign whose z is farthest from zero, numbered; each task keeps only its first."""
+    up = odds.where("z > 0").orderBy(F.desc("z"), "term").limit(most).withColumn("side", F.lit(1))
+    down = odds.where("z < 0").orderBy("z", "term").limit(most).withColumn("side", F.lit(0))
+    place = F.row_number().over(W.partitionBy("side").orderBy(F.desc(F.abs("z")), "term"))
+    return up.unionByName(down).withColumn("place", place).select("side", "place", "term", "z")
+
+
+#: What counts as an anchor in time or number.
+ANCHORS = {
+    "years": Pattern(r"\b(?:19[7-9]\d|20[0-3]\d)\b"),
+    "iso_dates": Pattern(r"\b20\d\d-(?:0[1-9]|1[0-2])(?:-[0-3]\d)?\b"),
+    "currencies": Pattern(r"(?:[$€£¥]\s?\d[\d,]*(?:\.\d+)?|\b\d[\d,]*(?:\.\d+)?\s*(?:USD|EUR|GBP|JPY)\b)", ignore_case=True),
+    "units": Pattern(r"\b\d+(?:\.\d+)?\s*(?:ms|ns|us|µs|s|sec|min|hr|kb|mb|gb|tb|mib|gib|hz|khz|mhz|ghz|px|rem|mm|cm|g|kg|bps|kbps|mbps|gbps|rps|qps|%)\b", ignore_case=True),
+    "versions": Pattern(r"\bv?\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?\b"),
+}
+
+
+def specificity(docs: DataFrame) -> DataFrame:
+    """doc_id, words, anchors of each kind, per_100 words and an index from 0 to 1 that nears 1 at six of a hundred. Texts without a digit aren't searched."""
+    text = F.coalesce("text", F.lit(""))
+    found = {k: F.when(text.rlike("[0-9]"), p.count(text)).otherwise(0) for k, p in ANCHORS.items()}
+    rows = docs.select("doc_id", F.regexp_count(text, F.lit(r"\S+")).alias("words"), *[n.alias(k) for k, n in found.items()])
+    total = sum((F.col(k) for k in ANCHORS), F.lit(0))
+    per = F.when(F.col("words") > 0, rounded(total * 100.0 / F.col("words"), 3)).otherwise(F.lit(0.0))
+    return rows.withColumn("per_100", per).withColumn("index", rounded(1 - F.exp(-F.col("per_100") / 3.0), 4))
+
+
+def held_out_guard(rows: DataFrame) -> DataFrame:
+    """``rows``, failing as soon as one with split ``held_out`` is read: fitted figures must not see those."""
+    seen = F.assert_true(F.coalesce(F.col("split") != "held_out", F.lit(True)), F.concat(F.lit("held-out domain among rows to fit: "), F.coalesce("domain", F.lit("null"))))
+    return rows.where(seen.isNull())
+
+
 def order_threshold(scores: DataFrame, alpha: float) -> DataFrame:
     """The ceil((1 - alpha) n)-th smallest score, found in counts by value: no task sorts all scores."""
     counts = scores.where("score IS NOT NULL").groupBy("score").agg(F.count(F.lit(1)).alias("n"))

@@ -216,3 +216,35 @@ def category_rollup(signals: DataFrame) -> DataFrame:
 
 def first_place(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+#: What ``only`` and ``skip`` may name beside rules.
+AXES = ["design", "copy", "aeo", "craft", "system", "provenance"]
+
+
+def asked_for(rule: Column, axis: Column, only: list[str] = [], skip: list[str] = []) -> Column:  # noqa: B006
+    """Whether a rule runs: ``skip`` wins; axes and rules named by ``only`` are each a filter, and a rule or its axis passes both."""
+    named = rule.isin(only) | axis.isin(only) if only else F.lit(True)
+    return named & ~(rule.isin(skip) | axis.isin(skip)) if skip else named
+
+
+def preset_coverage(requests: DataFrame) -> DataFrame:
+    """requests(preset, axes): the axes that a preset applies to and those it leaves alone. Presets are about design; ``full`` and unknown ones change nothing."""
+    axes = F.array_distinct(F.filter(F.coalesce("axes", F.array().cast("array<string>")), lambda a: a != ""))
+    axes = F.when(F.size(axes) == 0, F.array(F.lit("design"))).otherwise(axes)
+    plain = ~F.coalesce(F.col("preset"), F.lit("full")).isin([p for p in {p for p, _, _ in catalog.PRESETS} if p != "full"])
+    applied = F.when(plain, axes).otherwise(F.array_intersect(axes, F.array(F.lit("design"))))
+    return requests.select("preset", F.array_join(applied, ",").alias("applied"), F.array_join(F.array_except(axes, applied), ",").alias("not_applied"))
+
+
+#: The signs of a default kit, and how many make one.
+KIT, KIT_LEAST = ["cream_ground", "hero_accent_word", "numbered_labels", "mono_labels", "pill_buttons"], 4
+
+
+def kit_match(pages: DataFrame, editorial: Column | None = None) -> DataFrame:
+    """``pages`` with hits, matched and signs of the default kit, from a boolean column a sign; null is no sign. A cream ground isn't one under the editorial preset."""
+    signs = {k: F.coalesce(F.col(k), F.lit(False)) for k in KIT}
+    if editorial is not None:
+        signs["cream_ground"] = signs["cream_ground"] & ~F.coalesce(editorial, F.lit(False))
+    hits = sum((c.cast("int") for c in signs.values()), F.lit(0))
+    return pages.withColumns({"hits": hits, "matched": hits >= KIT_LEAST, "signs": F.array_join(F.array_compact(F.array(*[F.when(c, k) for k, c in signs.items()])), ",")})

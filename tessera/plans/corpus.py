@@ -12,7 +12,7 @@ from tessera.functions.regex import quoted
 from tessera.functions.text import SQL_FUNCTION_WORDS, fnv1a, sql_fnv1a, sql_rounded, sql_words, tier, verdict, words
 from tessera.operators import corpus as c
 from tessera.plans.history import FIRST
-from tessera.sources.tables import SCAN_RULES, SCANS_SQL, SQL_FLAGGED, flagged, scans, table
+from tessera.sources.tables import SCAN_RULES, SCANS_SQL, SQL_FLAGGED, flagged, scans, spread, table
 
 DRIFT_TERMS = ["the", "of", "and", "with", "this", "from", "that", "is", "les", "und"]
 
@@ -61,6 +61,21 @@ def watch_list(spark: SparkSession, d: str) -> DataFrame:
     return c.watch_list(_signals(spark, d).where("hit").select("rule_id", "domain"), likelihood_ratio(spark, d))
 
 
+def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Rules with the shares of false alarms in even and odd scans as those before and after."""
+    mild = _signals(spark, d).where("score < 28")
+    share = lambda odd: F.avg(F.when(F.col("scan_id") % 2 == odd, F.col("hit").cast("int")))
+    return c.promotion(likelihood_ratio(spark, d), mild.groupBy("rule_id").agg(share(0).alias("before"), share(1).alias("after")))
+
+
+def logodds_ends(spark: SparkSession, d: str) -> DataFrame:
+    return c.both_ends(logodds_terms(spark, d))
+
+
+def specificity(spark: SparkSession, d: str) -> DataFrame:
+    return c.specificity(spread(table(spark, d, "documents")))
+
+
 def order_threshold(spark: SparkSession, d: str) -> DataFrame:
     return c.order_threshold(scans(spark, d), 0.05)
 
@@ -113,7 +128,7 @@ def bench_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    logodds_unigram, logodds_terms, logodds_ngram, excess_vocab, vocab_drift, likelihood_ratio, co_occurrence, watch_list, order_threshold, spearman, knn_typicality,
+    logodds_unigram, logodds_terms, logodds_ngram, excess_vocab, vocab_drift, likelihood_ratio, promotion_gate, logodds_ends, specificity, co_occurrence, watch_list, order_threshold, spearman, knn_typicality,
     typicality_by_label, domain_split, verdict_fnv, clopper_pearson, confusion_matrix, bench_pairs, bench_report,
 )}
 _L = "lb AS (SELECT doc_id, source, lower(coalesce(text, '')) AS low, quality AS side FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1))"
@@ -156,6 +171,13 @@ u AS (SELECT period, term, count(*) AS n FROM d, (SELECT unnest([{', '.join(map(
 s AS (SELECT term, coalesce(max(n::DOUBLE / docs) FILTER (period = 0), 0.0) AS b, coalesce(max(n::DOUBLE / docs) FILTER (period = 1), 0.0) AS a FROM u JOIN z USING (period) GROUP BY term)
 SELECT term, {sql_rounded('b', 4)} AS before, {sql_rounded('a', 4)} AS after, {sql_rounded('a - b', 4)} AS change FROM s""",
     "likelihood_ratio": f"WITH {_LR} SELECT * FROM lr",
+    "promotion_gate": f"""WITH {_LR}, f AS (SELECT rule_id, avg(hit::INT) FILTER (scan_id % 2 = 0) AS before, avg(hit::INT) FILTER (scan_id % 2 = 1) AS after FROM sg WHERE score < 28 GROUP BY rule_id),
+w AS (SELECT rule_id, lr, lower, list_filter([CASE WHEN coalesce(lr < 3, true) THEN 'ratio below 3' END, CASE WHEN lower < 1.5 THEN 'interval below 1.5' END, CASE WHEN after > before THEN 'more false alarms' END], lambda x: x IS NOT NULL) AS why
+  FROM lr LEFT JOIN f USING (rule_id)) SELECT rule_id, lr, lower, len(why) = 0 AS eligible, array_to_string(why, ', ') AS reasons FROM w""",
+    "logodds_ends": f"""WITH {_ODDS.replace('WHERE dl / sqrt(var) >= 3 AND sites >= 3', '')}, s AS (SELECT (z > 0)::INT AS side, term, z FROM lo WHERE z <> 0)
+SELECT side, row_number() OVER (PARTITION BY side ORDER BY abs(z) DESC, term) AS place, term, z FROM s QUALIFY place <= 20""",
+    "specificity": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS words, {", ".join(f"{p.sql_count('text')} AS {k}" for k, p in c.ANCHORS.items())} FROM d),
+p AS (SELECT *, CASE WHEN words > 0 THEN {sql_rounded(f"({' + '.join(c.ANCHORS)}) * 100.0::DOUBLE / words", 3)} ELSE 0.0 END AS per_100 FROM n) SELECT *, {sql_rounded('1 - exp(-per_100 / 3.0)', 4)} AS index FROM p""",
     "co_occurrence": f"""WITH {_LR} SELECT scan_id, count(*) AS tells, {sql_rounded('sum(clipped_log)', 4)} AS log_odds, count(*) >= 2 AS confident FROM sg JOIN lr USING (rule_id) WHERE hit AND lr >= 0.98 GROUP BY scan_id""",
     "watch_list": f"WITH {_LR}, s AS (SELECT rule_id, count(DISTINCT domain) AS domains FROM sg WHERE hit GROUP BY rule_id) SELECT rule_id, domains, lr, domains >= 2 AND coalesce(lr, 0) >= 3 AS admitted FROM s JOIN lr USING (rule_id)",
     "order_threshold": f"WITH {SCANS_SQL}, r AS (SELECT score, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM scans) SELECT n, score AS threshold FROM r WHERE i = ceil(n * (1 - 0.05::DOUBLE))",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -313,6 +315,24 @@ def page_status(spark: SparkSession, d: str) -> DataFrame:
     return watchlist.page_status(p.select("page_id", "title", n.alias("visible"), n.alias("with_evidence")))
 
 
+def only_skip(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that run when whole axes or single rules are asked for."""
+    rows = rule_catalogue(spark, d)
+    asked = {"copy_but_one": (["copy"], ["em_dash_overload"]), "two_rules": (["slop_fonts", "md.twin"], []), "no_design": ([], ["design"]), "skip_wins": (["craft"], ["craft", "zoom_disabled"])}
+    each = [rows.where(design.asked_for(F.col("rule_id"), F.col("axis"), *lists)).select(F.lit(k).alias("asked"), "axis", "rule_id") for k, lists in asked.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def preset_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return design.preset_coverage(spark.createDataFrame(_COVERED, "preset string, axes array<string>"))
+
+
+def default_kit(spark: SparkSession, d: str) -> DataFrame:
+    """Signs read off the flags of scans; every third is under the editorial preset."""
+    signs = {k: F.col("k").bitwiseAND(F.lit(1 << i)) != 0 for i, k in enumerate(design.KIT)}
+    return design.kit_match(scans(spark, d).withColumns(signs), F.col("scan_id") % 3 == 0).select("scan_id", "hits", "matched", "signs")
+
+
 def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(_CATALOGUE, "axis string, rule_id string, category string, weight int, status string")
 
@@ -322,7 +342,7 @@ QUERIES = {f.__name__: f for f in (
     element_rules, element_groups, element_eyebrows, element_pills, element_nested_cards, element_collisions, element_chips, community_rules, craft_score, static_viewport, static_scaffold,
     static_controls, robots_rules, robots_match, user_agents, preview_directives, edge_access, aeo_checks, aeo_score, prompt_injection, page_readability, usage_policies, tokens_resolved,
     tokens_diff, palette_nearest, palette_distance, class_coverage, system_checks, system_waivers, band_scale, contrast_pairs, fonts_declared, system_score, report_github, report_gitlab, report_sarif, report_junit,
-    report_agent, gate_exit_code, avoid_list, watch_sentences, watch_looks, page_looks, accent_words, craft_focus, craft_ctas, craft_forms, page_status, rule_catalogue,
+    report_agent, gate_exit_code, avoid_list, watch_sentences, watch_looks, page_looks, accent_words, craft_focus, craft_ctas, craft_forms, page_status, rule_catalogue, only_skip, preset_coverage, default_kit,
 )}
 _DIM = "dim(rule_id, category, weight, status, ord) AS (VALUES " + ", ".join(f"('{i}', '{c}', {w}, '{s}', {k})" for k, (i, c, w, s) in enumerate(catalog.DESIGN_RULES)) + ")"
 _SIG = f"{SCANS_SQL}, {_DIM}, sg AS (SELECT scan_id, score, tier, domain, unnest({SQL_FLAGGED}) AS rule_id FROM scans)"
@@ -333,6 +353,7 @@ _PRESET = "kept AS (SELECT p.preset, d.rule_id, d.category, d.weight FROM dim d,
 _FIND = f"{_SIG}, fi AS (SELECT scan_id AS page_id, 'https://' || domain || '.example/' AS url, score, tier, rule_id, weight, CASE WHEN status = 'review' THEN 'review' ELSE 'fail' END AS status FROM sg JOIN dim USING (rule_id))"
 _CATALOGUE = [("copy", i, "copy", w, s) for i, _, _, w, s, _ in catalog.COPY_RULES] + [("design", i, c, w, s) for i, c, w, s in catalog.DESIGN_RULES] + [
     (axis, i, axis, w, "active") for axis, of in (("craft", catalog.CRAFT_RULES), ("system", catalog.SYSTEM_RULES)) for i, w in of] + [("aeo", i, s, w, "active") for i, w, s in catalog.AEO_RULES]
+_COVERED = [("full", ["design", "copy"]), ("strict", ["design", "copy", "aeo"]), ("minimal", ["copy", "copy"]), ("editorial", []), ("nonsense", ["aeo"]), (None, None)]
 _AGENTS = ["Mozilla/5.0 (compatible; Googlebot/2.1)", "Applebot-Extended/1.0", "GPTBot/1.1", "Mozilla/5.0 Firefox"]
 
 
@@ -410,6 +431,15 @@ SELECT doc_id, sentences, in_band, ratio, marks, sentences >= 6 AND ratio >= 0.7
     "rule_catalogue": "SELECT * FROM (VALUES " + ", ".join(
         f"('{a}', '{i}', '{c}', {w}, '{st}')" for a, i, c, w, st in _CATALOGUE
     ) + ") t(axis, rule_id, category, weight, status)",
+    "only_skip": "WITH c(axis, rule_id) AS (VALUES " + ", ".join(f"('{a}', '{i}')" for a, i, *_ in _CATALOGUE) + """) SELECT 'copy_but_one' AS asked, axis, rule_id FROM c WHERE axis = 'copy' AND rule_id <> 'em_dash_overload'
+UNION ALL SELECT 'two_rules', axis, rule_id FROM c WHERE rule_id IN ('slop_fonts', 'md.twin') UNION ALL SELECT 'no_design', axis, rule_id FROM c WHERE axis <> 'design'""",
+    "preset_coverage": f"""WITH r(preset, axes) AS (VALUES {", ".join("(" + ("NULL" if p is None else f"'{p}'") + ", " + ("NULL" if a is None else f"{a}::VARCHAR[]") + ")" for p, a in _COVERED)}),
+u AS (SELECT preset, CASE WHEN coalesce(len(axes), 0) = 0 THEN ['design'] ELSE axes END AS axes, coalesce(preset IN ('strict', 'marketing', 'minimal', 'editorial', 'devtool'), false) AS narrow FROM r),
+x AS (SELECT preset, narrow, unnest(axes) AS axis FROM u) SELECT preset, coalesce(string_agg(DISTINCT axis, ',' ORDER BY axis DESC) FILTER (NOT narrow OR axis = 'design'), '') AS applied,
+  coalesce(string_agg(DISTINCT axis, ',' ORDER BY axis DESC) FILTER (narrow AND axis <> 'design'), '') AS not_applied FROM x GROUP BY preset""",
+    "default_kit": f"""WITH {SCANS_SQL}, b AS (SELECT scan_id, [{", ".join(f"(k & {1 << i}) <> 0" + (" AND scan_id % 3 <> 0" if i == 0 else "") for i in range(len(design.KIT)))}] AS f FROM scans),
+s AS (SELECT scan_id, list_filter([{", ".join(f"CASE WHEN f[{i}] THEN '{k}' END" for i, k in enumerate(design.KIT, 1))}], lambda x: x IS NOT NULL) AS l FROM b)
+SELECT scan_id, len(l) AS hits, len(l) >= 4 AS matched, array_to_string(l, ',') AS signs FROM s""",
     "report_gitlab": f"""WITH {_FIND}, h AS (SELECT *, lower(lpad(to_hex({sql_fnv1a("rule_id || ':' || url")}), 8, '0')) AS f FROM fi)
 SELECT page_id, rule_id, '{{"check_name":"' || rule_id || '","severity":"' || CASE WHEN status = 'review' OR weight = 0 THEN 'info' WHEN weight >= 8 THEN 'critical' WHEN weight >= 6 THEN 'major' ELSE 'minor' END
   || '","fingerprint":"' || f || '","location":{{"path":"' || url || '","lines":{{"begin":1}}}}}}' AS item FROM h""",

@@ -220,3 +220,12 @@ def test_hues_near_red_are_one_cluster(spark):
     # two pinks and reds on both sides of hue 0, then four hues that are far apart
     assert clusters([(230, 60, 110), (230, 60, 90), (230, 60, 130)] * 2) == 1
     assert clusters([(220, 40, 40), (200, 180, 30), (40, 160, 60), (40, 80, 220), (220, 40, 40), (40, 80, 220)]) == 4
+
+
+def test_held_out_rows_stop_a_fit(spark):
+    from tessera.operators.corpus import held_out_guard
+
+    rows = spark.createDataFrame([("a", "dev"), ("b", None)], "domain string, split string")
+    assert held_out_guard(rows).count() == 2
+    with pytest.raises(Exception, match="held-out domain"):
+        held_out_guard(rows.union(spark.createDataFrame([("c", "held_out")], rows.schema))).collect()
