@@ -63,14 +63,13 @@ def ngrams(text: Column, most: int = 3) -> Column:
     words = F.filter(raw, lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
 
-    def joined(ws: Column, n: int) -> Callable[[Column], Column]:
-        return lambda i: F.array_join(F.slice(ws, i, n), " ")
-
     def of(ws: Column) -> Column:
-        parts = [F.filter(ws, lambda w: ~F.array_contains(stop, w))]
+        parts, last = [F.filter(ws, lambda w: ~F.array_contains(stop, w))], ws
         for n in range(2, most + 1):
-            at = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(at, joined(ws, n)))
+            # each sequence of n - 1 words with the word that follows it; the last one has none
+            some = F.slice(last, F.lit(1), F.greatest(F.size(last) - 1, F.lit(0)))
+            last = F.zip_with(some, F.slice(ws, F.lit(n), F.size(ws)), lambda a, w: F.concat(a, F.lit(" "), w))
+            parts.append(last)
         return F.concat(*parts)
 
     return F.element_at(F.transform(F.array(words), of), 1)
@@ -79,10 +78,8 @@ def ngrams(text: Column, most: int = 3) -> Column:
 def monroe(docs: DataFrame, side: Column, least: float = 0.05, min_count: int = 2, most: int = 3) -> DataFrame:
     """Log odds of words and short word sequences, with a variance of two terms."""
     rows = docs.select("text", side.alias("side")).where("side IN (0, 1)")
-    counts = term_counts(rows, ngrams(F.coalesce("text", F.lit("")), most), "side")
-    by = counts.groupBy("term").agg(
-        F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("y0")
-    )
+    terms = rows.select("side", F.explode(ngrams(F.coalesce("text", F.lit("")), most)).alias("term"))
+    by = terms.groupBy("term").agg(F.count_if(F.col("side") == 1).alias("y1"), F.count_if(F.col("side") == 0).alias("y0"))
     total = by.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.count(F.lit(1)).cast("double").alias("a0"))
     both = by.where(F.col("y1") + F.col("y0") >= min_count).join(F.broadcast(total))
     both = both.withColumn("aw", F.greatest(F.lit(least), F.col("a0") * (F.col("y1") + F.col("y0")) / (F.col("n1") + F.col("n0"))))

@@ -19,7 +19,7 @@ DRIFT_TERMS = ["the", "of", "and", "with", "this", "from", "that", "is", "les",
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    return table(spark, d, "documents").select("doc_id", "source", "text").join(labels, "doc_id")
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text")).join(labels, "doc_id")
 
 
 def logodds_unigram(spark: SparkSession, d: str) -> DataFrame:
