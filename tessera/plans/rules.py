@@ -212,7 +212,8 @@ def class_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def system_checks(spark: SparkSession, d: str) -> DataFrame:
     """Checks of colours and text styles from what was observed."""
-    colours = system.colour_checks(palette_nearest(spark, d))
+    palette = tokens_resolved(spark, d).where("path LIKE 'colors.%'")
+    colours = system.colour_checks(system.nearest_colours(literal.observed_colours(spark, literal.OFF_SURFACES), palette))
     return colours.unionByName(system.style_check(*literal.text_styles(spark)))
 
 
@@ -380,7 +381,8 @@ def _sql_lab(rgb: str) -> str:
 
 
 _RGB = lambda c: f"CASE WHEN {c} LIKE '#%' THEN list_transform([2, 4, 6], lambda i: ('0x' || substr({c}, i, 2))::INT) WHEN {c} LIKE 'rgb%' THEN list_transform(regexp_extract_all({c}, '[0-9]+'), lambda x: x::INT) END"
-_NEAREST = f"""{_TOKENS}, seen(site, class, colour, area) AS (VALUES {_sql_rows(literal.OBSERVED_COLOURS)}),
+_SEEN_COLOURS = _sql_rows(literal.OBSERVED_COLOURS)
+_NEAREST = f"""{_TOKENS}, seen(site, class, colour, area) AS (VALUES {_SEEN_COLOURS}),
 pal AS (SELECT site, path, {_RGB('value')} AS rgb FROM tok WHERE version = 1 AND path LIKE 'colors.%' AND value LIKE '#%' UNION ALL SELECT 'mill', 'colors.link', [124, 58, 237]),
 pl AS (SELECT site, path, {_sql_lab('rgb')} AS lab FROM pal), sr AS (SELECT *, row_number() OVER () AS i, {_RGB('colour')} AS rgb FROM seen), sl AS (SELECT *, CASE WHEN rgb IS NOT NULL THEN {_sql_lab('rgb')} END AS lab FROM sr),
 far AS (SELECT s.*, p.path AS token, list_distance(s.lab, p.lab) AS d FROM sl s LEFT JOIN pl p ON s.site = p.site AND s.lab IS NOT NULL),
@@ -476,7 +478,7 @@ WHERE NOT EXISTS (SELECT 1 FROM tok t WHERE t.version = 1 AND t.site = f.site AN
     "palette_distance": f"""WITH {_NEAREST} SELECT site, {sql_rounded('avg(distance)', 4)} AS mean_distance, {sql_rounded('avg((distance <= 0.05)::INT)', 3)} AS near_share FROM near WHERE distance IS NOT NULL GROUP BY site""",
     "class_coverage": f"""WITH {_NEAREST}, m AS (SELECT *, CASE verdict WHEN 'match' THEN 1.0::DOUBLE WHEN 'near' THEN 0.5 ELSE 0 END AS hit FROM near)
 SELECT site, class, {sql_rounded('avg(hit)', 3)} AS by_count, {sql_rounded('sum(hit * area) / greatest(sum(area), 1e-9)', 3)} AS by_area FROM m GROUP BY site, class""",
-    "system_checks": f"""WITH {_NEAREST}, c AS (SELECT site, class, count(*) AS n, count(*) FILTER (verdict = 'off') AS off FROM near WHERE distance IS NOT NULL GROUP BY ALL),
+    "system_checks": f"""WITH {_NEAREST.replace(_SEEN_COLOURS, _SEEN_COLOURS + ", " + _sql_rows(literal.OFF_SURFACES))}, c AS (SELECT site, class, count(*) AS n, count(*) FILTER (verdict = 'off') AS off FROM near WHERE distance IS NOT NULL GROUP BY ALL),
 k AS (SELECT site, CASE class WHEN 'cta' THEN 'colors.cta' WHEN 'surface' THEN 'colors.surface' ELSE 'colors.headings' END AS rule_id, CASE WHEN class = 'heading' AND 2 * off <= n OR off = 0 THEN 'pass' ELSE 'fail' END AS status, n, off FROM c),
 d(site, fam, size, height, spacing) AS (VALUES {_sql_rows(literal.DECLARED_STYLES)}), o(site, ord, fam, size, height, spacing) AS (VALUES {_sql_rows(literal.OBSERVED_STYLES)}),
 e AS (SELECT site, EXISTS (SELECT 1 FROM d WHERE d.site = o.site AND d.size IS NOT NULL AND coalesce(o.fam = d.fam, true) AND coalesce(abs(o.size - d.size) <= 0.5, true)

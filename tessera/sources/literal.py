@@ -235,8 +235,8 @@ def token_specs(spark: SparkSession) -> DataFrame:
 
 OBSERVED_COLOURS = [
     ("mill", "cta", "rgb(124, 58, 237)", 900.0), ("mill", "cta", "#7d3cee", 400.0), ("mill", "heading", "#131313", 300.0), ("mill", "heading", "#ff0000", 100.0), ("mill", "surface", "not a colour", 50.0),
-    ("mill", "surface", "#ffeedd", 70.0),
 ]
+OFF_SURFACES = [("mill", "surface", "#ffeedd", 70.0)]
 #: (site, family, size, line height, letter spacing); what a token leaves open is null.
 DECLARED_STYLES = [("mill", "georgia", 16.0, 1.5, None), ("mill", "inter", 32.0, None, -0.5), ("open", "georgia", None, 1.5, None), ("tight", None, 14.0, None, None)]
 OBSERVED_STYLES = [
@@ -250,8 +250,8 @@ SYSTEM_FINDINGS = [
 ]
 
 
-def observed_colours(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(OBSERVED_COLOURS, "site string, class string, colour string, area double")
+def observed_colours(spark: SparkSession, more: list[tuple] = []) -> DataFrame:  # noqa: B006
+    return spark.createDataFrame(OBSERVED_COLOURS + more, "site string, class string, colour string, area double")
 
 
 def text_styles(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
