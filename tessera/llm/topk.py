@@ -1,20 +1,20 @@
-"""Exact top-k by inner product without random access.
+"""Exact top-k by inner product from sorted lists, without random access.
 
 Queries are broadcast in waves of a checked size; vectors are read where they lie, in
-blocks. Within a block every component has a list sorted by value. A query reads lists
-one after the other, those of its largest components first, each from its better end.
-What it has read gives every vector a lower and an upper bound of its score: lists not
-read add at most what their ends allow, and at most the product of what is left of
-both norms. Vectors whose upper bound is below the k-th best lower bound, or below the
-k-th best score of the blocks before, are out. When outsiders can't qualify, the few
-that are left get their final scores. The tasks' lists of k are merged.
+blocks. Within a block every component has a list of its values in order. A query reads
+the lists from their better ends, some entries of each at a time; where a list has come
+to bounds what stands further down. So each vector has an upper bound of its score
+(what was read of it, and for other components where their lists have come to) and a
+lower one (the lists' worse ends instead). Vectors whose upper bound is below the k-th
+best lower bound, or below the k-th best score of the blocks before, are out. When
+outsiders can't qualify, reading stops, and the few that are left get their final
+scores. The tasks' lists of k are merged.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import new_path, written
 
 K = 10
 SCALE = 1024
 EVERY = 100
-#: Vectors and components of a block at most, vectors that a task reads, about, and lists between two looks at the bounds.
-BLOCK, COMPONENTS, STRIPE, STEP = 4096, 1 << 21, 1 << 15, 4
+#: Vectors and components of a block at most, vectors that a task reads, about, and steps that a whole list is read in.
+BLOCK, COMPONENTS, STRIPE, STEPS = 4096, 1 << 21, 1 << 15, 16
 #: Bytes of the queries that are broadcast at once.
 WAVE = 16 << 20
 #: A block is done when so many times k vectors are left.
@@ -54,8 +54,7 @@ class SortedLists:
         self.vectors, self.ids = vectors, ids
         self.order = np.argsort(vectors.T, axis=1, kind="stable")
         self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64)
-        self.squares = self.values**2
-        self.norms = np.einsum("ij,ij->j", *[vectors.T.astype(np.float64)] * 2)
+        self.longest = float(np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
 
     def scores(self, who: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Exact inner products, held within 64 bits."""
@@ -69,31 +68,36 @@ class SortedLists:
         """ids and scores of the k best, highest first, ties to the smaller id; the query's own id takes no part.
 
         Vectors that can't reach ``bar``, the k-th best score known from elsewhere, may be
-        left out. Also the share of the lists that was read, and that of the vectors that
-        were left then.
+        left out. Also the share of the lists' entries that was read, and that of the
+        vectors that were left then.
         """
         n, d = len(self.ids), len(query)
         q = query.astype(np.float64)
-        alive = np.flatnonzero(self.ids != own)
-        lists = np.argsort(-np.abs(q), kind="stable")
-        best, worst = np.maximum(self.values[:, -1] * q, self.values[:, 0] * q), np.minimum(self.values[:, -1] * q, self.values[:, 0] * q)
-        spare = 1 + 1e-9 * np.sqrt((q**2).sum()) * np.sqrt(self.norms.max(initial=0))  # for rounding
-        part, rest, read = np.zeros(n), self.norms.copy(), 0
-        while read < d and len(alive) > LEFT * k:
-            for i in lists[read : read + STEP]:
-                down = slice(None, None, -1 if q[i] > 0 else 1)
-                entries = self.order[i][down]
-                part[entries] += self.values[i][down] * q[i]
-                rest[entries] -= self.squares[i][down]
-            read = min(read + STEP, d)
-            left = lists[read:]
-            reach = np.sqrt(np.maximum(rest[alive], 0) * (q[left] ** 2).sum())
-            lower = part[alive] + np.maximum(-reach, worst[left].sum())
-            bar = max(bar, np.partition(lower, len(lower) - k)[len(lower) - k] - spare)
-            alive = alive[part[alive] + np.minimum(reach, best[left].sum()) + spare >= bar]
+        worst = np.minimum(self.values[:, -1] * q, self.values[:, 0] * q)
+        spare = 1 + 1e-9 * np.sqrt((q**2).sum()) * self.longest  # for rounding
+        part, seen = np.zeros(n), np.zeros((n, d))
+        depth, reached, fell = np.zeros(d, np.int64), np.maximum(self.values[:, -1] * q, self.values[:, 0] * q), np.full(d, np.inf)
+        other = self.ids != own
+        alive, step = np.flatnonzero(other), max(LEFT * k, -(-n // STEPS))
+        while len(alive) > LEFT * k and (depth < n).any():
+            # half of the lists that aren't read whole: those that fell most at their last step
+            unread = np.flatnonzero(depth < n)
+            for i in unread[np.argsort(-fell[unread], kind="stable")][: max(1, d // 2)]:
+                a, b = depth[i], min(n, depth[i] + step)
+                at = slice(n - b, n - a) if q[i] > 0 else slice(a, b)
+                entries, values = self.order[i, at], self.values[i, at] * q[i]
+                part[entries] += values
+                seen[entries, i] = 1
+                now = values[0 if q[i] > 0 else -1] if b < n else worst[i]
+                depth[i], fell[i], reached[i] = b, reached[i] - now, now
+            bounds = part[:, None] + np.array([reached.sum(), worst.sum()]) - seen @ np.stack([reached, worst], axis=1)
+            lower = bounds[other, 1]
+            if len(lower) >= k:
+                bar = max(bar, np.partition(lower, len(lower) - k)[len(lower) - k] - spare)
+            alive = np.flatnonzero(other & (bounds[:, 0] + spare >= bar))
         score = self.scores(alive, query)
         first = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][first], score[first], read / max(d, 1), len(alive) / max(n, 1)
+        return self.ids[alive][first], score[first], float(depth.sum()) / max(n * d, 1), len(alive) / max(n, 1)
 
 
 class Answers:
@@ -170,18 +174,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     asked = written(queries.select("vec_id", "v", "d", F.xxhash64("v").alias("row")).distinct().withColumn("size", 8 * F.col("d") + 24), "queries")
     total = asked.agg(F.sum("size")).first()[0] or 0
     waves = 1 if total <= wave else math.ceil(2 * total / wave)
-    number = lambda: F.pmod(F.xxhash64("vec_id", "row"), F.lit(waves))
+    number = lambda: F.pmod(F.xxhash64("vec_id", "row"), F.lit(waves)).cast("int")
     while (asked.groupBy(number().alias("w")).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] or 0) > wave:
         if waves > total:
             raise ValueError("a wave must hold a query")
         waves *= 2
-    found = []
+    # a folder of each wave's queries, and one of its answers: no wave reads what others read
+    asking, found = new_path(spark, "asking"), new_path(spark, "answers")
+    asked.withColumn("wave", number()).repartition("wave").write.partitionBy("wave").parquet(asking)
     for w in range(waves):
-        part = asked.where(number() == w).select("vec_id", "row", "v", "d").toPandas()
+        part = spark.read.schema("vec_id long, v array<long>, d int, row long, wave int").parquet(asking).where(F.col("wave") == w).select("vec_id", "row", "v", "d").toPandas()
         by = {int(d): (g["vec_id"].to_numpy(), g["row"].to_numpy(), np.stack(g["v"].to_numpy()).astype(np.int64)) for d, g in part.groupby("d")}
         shared = spark.sparkContext.broadcast(by)
-        found.append(written(answer(rows, shared, k, block), "answers"))
+        answer(rows, shared, k, block).write.parquet(f"{found}/wave={w}")
         shared.destroy()
     best = W.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    merged = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    merged = spark.read.schema(f"{FOUND}, wave int").parquet(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return merged.select("query_id", "rank", "vec_id", "score", "read_share", "alive_share")
