@@ -29,7 +29,7 @@ K = 10
 SCALE = 1024
 EVERY = 100
 #: Vectors and components of a block at most, vectors that a task reads, about, and steps that a whole list is read in.
-BLOCK, COMPONENTS, STRIPE, STEPS = 4096, 1 << 21, 1 << 15, 16
+BLOCK, COMPONENTS, STRIPE, STEPS = 4096, 1 << 21, 1 << 15, 8
 #: Bytes of the queries that are broadcast at once.
 WAVE = 16 << 20
 #: A block is done when so many times k vectors are left.
@@ -73,28 +73,36 @@ class SortedLists:
         """
         n, d = len(self.ids), len(query)
         q = query.astype(np.float64)
-        worst = np.minimum(self.values[:, -1] * q, self.values[:, 0] * q)
+        worst, step = np.minimum(self.values[:, -1] * q, self.values[:, 0] * q), max(LEFT * k, -(-n // STEPS))
         spare = 1 + 1e-9 * np.sqrt((q**2).sum()) * self.longest  # for rounding
-        part, seen = np.zeros(n), np.zeros((n, d))
+        # a vector that no list has shown may still reach the bar until lists have come so far: they are read that far at once
+        stops = np.minimum(np.arange(STEPS + 1) * step, n - 1)
+        unseen = (np.where(q[:, None] > 0, self.values[:, n - 1 - stops], self.values[:, stops]) * q[:, None]).sum(axis=0)
+        first = np.flatnonzero(unseen + spare < bar)
+        goal = max(1, int(stops[first[0]])) if len(first) else min(n, step)
+        lower, seen = np.full(n, worst.sum()), np.zeros((d, n), np.float32)
         depth, reached, fell = np.zeros(d, np.int64), np.maximum(self.values[:, -1] * q, self.values[:, 0] * q), np.full(d, np.inf)
         other = self.ids != own
-        alive, step = np.flatnonzero(other), max(LEFT * k, -(-n // STEPS))
-        while len(alive) > LEFT * k and (depth < n).any():
-            # half of the lists that aren't read whole: those that fell most at their last step
-            unread = np.flatnonzero(depth < n)
-            for i in unread[np.argsort(-fell[unread], kind="stable")][: max(1, d // 2)]:
-                a, b = depth[i], min(n, depth[i] + step)
+        alive, lists = np.flatnonzero(other), np.arange(d)
+        while len(alive) > LEFT * k and len(lists):
+            for i in lists.tolist():
+                a, b = int(depth[i]), goal if goal else min(n, int(depth[i]) + step)
                 at = slice(n - b, n - a) if q[i] > 0 else slice(a, b)
                 entries, values = self.order[i, at], self.values[i, at] * q[i]
-                part[entries] += values
-                seen[entries, i] = 1
-                now = values[0 if q[i] > 0 else -1] if b < n else worst[i]
+                lower[entries] += values - worst[i]
+                seen[i, entries] = 1
+                now = values[0 if q[i] > 0 else -1] if b < n and len(values) else worst[i] if b == n else reached[i]
                 depth[i], fell[i], reached[i] = b, reached[i] - now, now
-            bounds = part[:, None] + np.array([reached.sum(), worst.sum()]) - seen @ np.stack([reached, worst], axis=1)
-            lower = bounds[other, 1]
-            if len(lower) >= k:
-                bar = max(bar, np.partition(lower, len(lower) - k)[len(lower) - k] - spare)
-            alive = np.flatnonzero(other & (bounds[:, 0] + spare >= bar))
+            goal = 0
+            if other.sum() >= k:
+                bar = max(bar, np.partition(lower[other], -k)[-k] - spare)
+            # what a component may add over the worst, where it wasn't seen
+            over = reached - worst
+            rounding = 1e-5 * np.abs(over).sum()
+            alive = np.flatnonzero(other & (lower + (over.sum() + rounding + spare) - over.astype(np.float32) @ seen >= bar))
+            # next, half of the lists that aren't read whole: those that fell most at their last step
+            lists = np.flatnonzero(depth < n)
+            lists = lists[np.argsort(-fell[lists], kind="stable")][: max(1, d // 2)]
         score = self.scores(alive, query)
         first = np.lexsort((self.ids[alive], -score))[:k]
         return self.ids[alive][first], score[first], float(depth.sum()) / max(n * d, 1), len(alive) / max(n, 1)
