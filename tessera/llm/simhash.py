@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +32,14 @@ BITS = 64
 SEED = 42
 #: Fingerprints of a shard, about; those of a shard of more than SHARD are dealt anew, by two blocks.
 TREE, SHARD = 4096, 65536
-#: Bytes of the trees that are broadcast at once, and of one node.
-WAVE, NODE = 32 << 20, 13
+#: Bytes of the trees of a wave, which are broadcast together, and of one node; waves that run at once. On executors with memory to spare a
+#: wave of some hundred MB means fewer of them.
+WAVE, NODE, AT_ONCE = 32 << 20, 13, 2
+#: Bytes of fingerprints in a row of packed trees, about, and files of a wave at most.
+CHUNK, CHUNKS = 4 << 20, 64
 TREES = "shard long, wave int, n int, fps binary, parents binary, distances binary"
+PACKED_WAVE = "shards binary, sizes binary, fps binary, parents binary, distances binary"
+PACKED = f"wave int, {PACKED_WAVE}"
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -260,16 +265,46 @@ def search(asking: DataFrame, forest: Broadcast, radius: int, batch: int = 16384
     return asking.mapInPandas(run, "u long, v long")
 
 
+def packed(grown: DataFrame) -> DataFrame:
+    """The trees (wave, shard, fps, parents, distances) of each wave, chunk by chunk as arrays: a row holds ``CHUNK`` bytes of trees, about."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for row in b.itertuples(index=False):
+                wave = held.setdefault(row.wave, [])
+                wave.append(row)
+                if sum(len(r.fps) for r in wave) >= CHUNK:
+                    yield _chunk(held.pop(row.wave))
+        for rows in held.values():
+            yield _chunk(rows)
+
+    return grown.repartition("wave", F.pmod(F.xxhash64("shard"), F.lit(CHUNKS))).mapInPandas(run, PACKED)
+
+
+def _chunk(rows: list) -> pd.DataFrame:
+    joined = {c: [b"".join(getattr(r, c) for r in rows)] for c in ("fps", "parents", "distances")}
+    numbers = {c: [np.array([getattr(r, c) for r in rows], "<i8").tobytes()] for c in ("shard", "n")}
+    return pd.DataFrame({"wave": [rows[0].wave], "shards": numbers["shard"], "sizes": numbers["n"], **joined})
+
+
 def forest_of(rows: DataFrame) -> Forest:
-    """The trees of one wave, on the driver: their bytes are checked by the caller."""
-    return Forest([
-        (r["shard"], np.frombuffer(r["fps"], "<u8"), np.frombuffer(r["parents"], "<i4").astype(np.int64), np.frombuffer(r["distances"], "u1").astype(np.int64))
-        for r in rows.select("shard", "fps", "parents", "distances").toLocalIterator()
-    ])
+    """The trees of one wave, put together on the driver out of arrays of many trees: their bytes are checked by the caller."""
+    trees = []
+    for r in rows.select("shards", "sizes", "fps", "parents", "distances").toLocalIterator():
+        cuts = np.cumsum(np.frombuffer(r["sizes"], "<i8"))[:-1]
+        parts = (np.split(np.frombuffer(r[c], t), cuts) for c, t in (("fps", "<u8"), ("parents", "<i4"), ("distances", "u1")))
+        trees += [(shard, fps, parents.astype(np.int64), distances.astype(np.int64)) for shard, fps, parents, distances in zip(np.frombuffer(r["shards"], "<i8").tolist(), *parts)]
+    return Forest(trees)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE, most: int = SHARD, wave: int = WAVE) -> DataFrame:
-    """u and v: links that join the distinct fingerprints ``fp`` as all pairs within the radius would."""
+    """u and v: links that join the distinct fingerprints ``fp`` as all pairs within the radius would.
+
+    Trees, what asks them and what is found lie in folders by wave: a wave reads its own
+    rows only, and the result is one folder, however many waves there are. Two waves run
+    at once, so that one's trees are read while another searches.
+    """
     spark = distinct.sparkSession
     dealt = shards(distinct, radius, tree, most)
     total = (radius + 1) * distinct.count() * NODE
@@ -283,17 +318,24 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE, most: int
         waves *= 2
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     asking = dealt.select("fp", "shard", every.alias("asked")).select("fp", _tree("asked").alias("tree")).withColumn("wave", _wave(waves))
-    if waves > 1:
-        # so that each wave reads its own rows only
-        path = new_path(spark, "asking")
-        asking.repartition("wave", F.pmod(F.xxhash64("fp"), F.lit(64))).write.partitionBy("wave").parquet(path)
-        asking = spark.read.schema(asking.schema).parquet(path)
-    found = []
-    for k in range(waves):
-        forest = spark.sparkContext.broadcast(forest_of(grown.where(F.col("wave") == k)))
-        found.append(written(search(asking.where(F.col("wave") == k).select("fp", "tree"), forest, radius), "links"))
+    forests, questions, found = (new_path(spark, label) for label in ("forests", "asking", "links"))
+    packed(grown).write.partitionBy("wave").parquet(forests)
+    asking.repartition("wave", F.pmod(F.xxhash64("fp"), F.lit(CHUNKS))).write.partitionBy("wave").parquet(questions)
+
+    def one(k: int) -> None:
+        # the folder itself, so that planning a wave doesn't list the others
+        at = f"/wave={k}"
+        forest = spark.sparkContext.broadcast(forest_of(spark.read.schema(PACKED_WAVE).parquet(forests + at)))
+        search(spark.read.schema("fp long, tree long").parquet(questions + at), forest, radius).write.parquet(found + at)
         forest.destroy()
-    return reduce(DataFrame.unionByName, found)
+
+    there = sorted(r["wave"] for r in grown.select("wave").distinct().toLocalIterator())
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(one), k) for k in there]:
+            done.result()
+    if not there:
+        return spark.createDataFrame([], "u long, v long")
+    return spark.read.schema("u long, v long, wave int").parquet(found).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
