@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path, written
+from tessera.llm.common import SLICE, new_path, written
 
 VERSION = b"WARC/1.1\r\n"
 #: Fixed value: an empty gzip member. Each record is followed by one; its last byte is
@@ -32,8 +32,8 @@ MAGIC = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
 SALVAGED = f"path string, kind string, start long, stop long, inner_start long, inner_stop long, {RECORD}, payload binary"
 VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
-#: Records of an archive at most.
-RECORDS = 10_000
+#: Bytes of an archive, about: the member that would pass them begins the next one, so that only a member that is larger alone makes a larger archive.
+ARCHIVE = 64 << 20
 
 
 def base32_sha1(col: Column) -> Column:
@@ -89,15 +89,27 @@ def _base32(data: bytes) -> bytes:
     return base64.b32encode(hashlib.sha1(data).digest())
 
 
-def members(plan: DataFrame) -> DataFrame:
-    """One column ``member``: each row of the plan as a gzip member."""
+def members(plan: DataFrame, most: int = ARCHIVE) -> DataFrame:
+    """Each row of the plan as a gzip member, and which of its task's archives, of ``most`` bytes, holds it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive, held = 0, 0
         for b in batches:
             rows = zip(*(b[c].astype(object).where(b[c].notna(), None) for c in ("page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to")))
-            yield pd.DataFrame({"member": [gzip.compress(_record(*_ints(r)), 6, mtime=0) for r in rows]})
-
-    return plan.mapInPandas(run, "member binary")
+            made, where, size = [], [], 0
+            for r in rows:
+                made.append(gzip.compress(_record(*_ints(r)), 6, mtime=0))
+                if held and held + len(made[-1]) + len(EMPTY_MEMBER) > most:
+                    archive, held = archive + 1, 0
+                held += len(made[-1]) + len(EMPTY_MEMBER)
+                size += len(made[-1])
+                where.append(archive)
+                if size >= SLICE:
+                    yield pd.DataFrame({"member": made, "archive": where})
+                    made, where, size = [], [], 0
+            yield pd.DataFrame({"member": made, "archive": where})
+
+    return plan.mapInPandas(run, "member binary, archive int")
 
 
 def _ints(row: tuple) -> tuple:
@@ -105,10 +117,10 @@ def _ints(row: tuple) -> tuple:
     return (None if page_id is None else int(page_id), url, html, size, digest, kind, None if refers_to is None else int(refers_to))
 
 
-def write_archives(plan: DataFrame, path: str) -> None:
-    """Archives of gzip members under ``path``, of ``RECORDS`` at most, through Spark's own writer."""
-    rows = members(plan).select(F.concat("member", F.lit(EMPTY_MEMBER[:-1])).cast("string").alias("value"))
-    rows.write.option("lineSep", EMPTY_MEMBER[-1:].decode("ascii")).option("maxRecordsPerFile", RECORDS).text(path)
+def write_archives(plan: DataFrame, path: str, most: int = ARCHIVE) -> None:
+    """Archives of gzip members under ``path``, of ``most`` bytes, through Spark's own writer."""
+    rows = members(plan, most).select(F.concat("member", F.lit(EMPTY_MEMBER[:-1])).cast("string").alias("value"), "archive")
+    rows.write.partitionBy("archive").option("lineSep", EMPTY_MEMBER[-1:].decode("ascii")).text(path)
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
@@ -229,8 +241,9 @@ def _number(name: str) -> int | None:
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all archives under ``path``: kind is record or gap, start and stop are bytes of the file, the inner ones bytes of what the member there holds.
 
-    A file is read by one task; keep archives at the usual sizes (up to 2 GB). Records whose payload
-    doesn't match its digest are gaps. No files, no rows.
+    A file is read whole by one task: archives written here are of ``ARCHIVE`` bytes. Spark
+    refuses files over 2 GB, so an archive of others that is larger stops the job. Records
+    whose payload doesn't match its digest are gaps. No files, no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +270,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         rows = []
                 yield _frame(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, SALVAGED)
 
 
@@ -267,16 +280,17 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in ("start", "stop", "inner_start", "inner_stop", "page_id", "payload_bytes", "refers_to")})
 
 
-def archive_round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def archive_round_trip(pages: DataFrame, least: int = LEAST_REVISIT, most: int = ARCHIVE) -> DataFrame:
     """Write ``pages`` as archives, read them back, and return the records that were read, payloads left out.
 
     The bytes that could not be read, none unless storage is damaged, are logged as JSON
     in a folder beside the archives, named like theirs with ``-gaps``. A null html is an
     empty payload, a null url an empty target. A null page_id stays null. Repeated rows
-    are written each. No pages, no rows. Other columns are not looked at.
+    are written each. A page is one member whatever its length; one that is over 2 GB
+    compressed stops the job. No pages, no rows. Other columns are not looked at.
     """
     path = new_path(pages.sparkSession, "warc")
-    write_archives(record_plan(pages, least), path)
+    write_archives(record_plan(pages, least), path, most)
     read = written(read_archives(pages.sparkSession, path, payloads=False), "warc-read")
     read.where("kind = 'gap'").write.json(f"{path}-gaps")
     return read.where("kind = 'record'")
