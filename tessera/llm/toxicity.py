@@ -2,8 +2,8 @@
 
 A word is the sum of the embeddings of itself and its beginnings, each in the
 bucket of its hash. Filters of several widths slide over a text, their maxima
-over the whole text enter a logistic unit. All is trained in numpy on the
-driver, from a bounded sample. Thresholds are calibrated by language, guessed
+over the whole text enter a logistic unit. All of it starts at random and is trained
+in numpy on the driver, in batches, from a bounded sample. Thresholds are calibrated by language, guessed
 from a text's own function words, and moved to 0.5.
 """
 
@@ -32,9 +32,12 @@ SIZE = 6
 WIDTHS = (1, 2, 3)
 FILTERS = 6
 #: A bucket is trained if so many sampled texts reach it; others are zero.
-SEEN = 3
+SEEN = 10
 BEGINNINGS = range(3, 10)
-EPOCHS = 5
+#: Passes over the sample, texts of a step, step width, and the share of pooled features left out of a step.
+EPOCHS, BATCH, RATE, DROPPED = 6, 8, 0.05, 0.2
+#: What a number's squared gradients sum to before the first: buckets that few texts move stay near where they began.
+START = 1e-2
 #: Words of a text scored at once, and words a worker remembers.
 SEGMENT, MEMO = 16384, 150_000
 #: Function words that tell languages apart.
@@ -145,24 +148,38 @@ class Scorer:
         return float(pooled @ self.model.weights + self.model.offset), tongue(votes)
 
 
-def _start(texts: list[list[str]], known: dict[str, list[int]], label: np.ndarray, rng: np.random.Generator) -> Model:
-    """Buckets with enough texts. The first component starts as the bucket's smoothed log odds, the first filters read it."""
-    reached, positive = Counter(), Counter()
-    for words, y in zip(texts, label):
-        found = {b for w in set(words) for b in known[w]}
-        reached.update(found)
-        if y:
-            positive.update(found)
-    rows = {b: k for k, b in enumerate(sorted(b for b, n in reached.items() if n >= SEEN))}
-    rate = float(label.mean()) if len(label) else 0.5
-    embeddings = rng.normal(0, 0.05, (len(rows), SIZE))
-    for b, k in rows.items():
-        a, n = positive[b], reached[b]
-        embeddings[k, 0] = np.log((a + 3 * rate) / (n - a + 3 * (1 - rate)) * (1 - rate) / rate) / 4
-    filters = [rng.normal(0, 0.1, (w, SIZE, FILTERS)) for w in WIDTHS]
-    for f in filters:
-        f[:, 0, : FILTERS // 2] += 1 / np.sqrt(len(f))
-    return Model(rows, embeddings, filters, [np.full(FILTERS, 0.1) for _ in WIDTHS], np.full(len(WIDTHS) * FILTERS, 0.2))
+class Sample:
+    """Texts as numbers of words, every word's buckets, and the distinct buckets of every text."""
+
+    def __init__(self, texts: list[str]):
+        number = {"": 0}
+        self.texts = [np.array([number.setdefault(w, len(number)) for w in words_of(t)] or [0], np.int64) for t in texts]
+        lists = [[], *(buckets(w) for w in list(number)[1:])]
+        self.counts = np.array([len(x) for x in lists], np.int64)
+        self.buckets = np.fromiter(chain.from_iterable(lists), np.int64, int(self.counts.sum()))
+        self.reached = [np.unique(self.buckets[_spread(self.counts, np.unique(t))[0]]) for t in self.texts]
+        votes = np.zeros((len(number), len(FUNCTION_WORDS)), np.int64)
+        for word, tongues in _TONGUE.items():
+            if word in number:
+                votes[number[word], tongues] = 1
+        self.languages = np.array([tongue(votes[t].sum(0)) for t in self.texts], np.int64)
+
+
+def _spread(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the entries of these words stand in lists of so many entries each, laid end to end; and how many each has."""
+    n = counts[words]
+    first = (np.cumsum(counts) - counts)[words]
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
+
+
+def _start(sample: Sample, chosen: np.ndarray, rng: np.random.Generator) -> Model:
+    """A network before training: a row for every bucket that enough of the chosen texts reach, and random numbers everywhere."""
+    found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(sample.reached[i] for i in chosen)]), return_counts=True)
+    rows = {b: k for k, b in enumerate(found[n >= SEEN].tolist())}
+    filters = [rng.normal(0, 1 / np.sqrt(w * SIZE), (w, SIZE, FILTERS)) for w in WIDTHS]
+    # half of the filters speak for either label
+    signs = np.tile(np.where(np.arange(FILTERS) % 2, -1.0, 1.0), len(WIDTHS))
+    return Model(rows, rng.normal(0, 0.1, (len(rows), SIZE)), filters, [np.zeros(FILTERS) for _ in WIDTHS], signs * 0.3)
 
 
 class _Adagrad:
@@ -171,66 +188,105 @@ class _Adagrad:
 
     def step(self, name, array: np.ndarray, gradient: np.ndarray, at=...) -> None:
         if name not in self.sums:
-            self.sums[name] = np.full(array.shape, 1e-2)
+            self.sums[name] = np.full(array.shape, START)
         total = self.sums[name]
         total[at] += gradient**2
         array[at] -= self.rate * gradient / np.sqrt(total[at])
 
 
-def fit_network(texts: list[list[str]], known: dict[str, list[int]], label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
-    """One text a step; of each filter only the place of its maximum gets a gradient. ``known`` holds the words' buckets."""
+class _Batch:
+    """Texts side by side, with places that hold no word after each: which words they have, and the rows of each."""
+
+    def __init__(self, texts: list[np.ndarray], rows: np.ndarray, counts: np.ndarray):
+        gap = np.zeros(max(WIDTHS) - 1, np.int64)
+        self.sizes = np.array([len(t) for t in texts])
+        self.starts = np.cumsum(self.sizes + len(gap)) - self.sizes - len(gap)
+        #: By place its word, 0 for none.
+        words, self.places = np.unique(np.concatenate([x for t in texts for x in (t, gap)]), return_inverse=True)
+        at, self.counts = _spread(counts, words)
+        self.rows = rows[at]
+        self.filled = np.flatnonzero(self.counts)
+        self.begin = (np.cumsum(self.counts) - self.counts)[self.filled]
+        self.owner = np.repeat(np.arange(len(words)), self.counts)
+
+    def embedded(self, table: np.ndarray) -> np.ndarray:
+        words = np.zeros((len(self.counts), SIZE))
+        if len(self.filled):
+            words[self.filled] = np.add.reduceat(table[self.rows], self.begin, axis=0)
+        return words
+
+
+def _peaks(model: Model, batch: _Batch, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each text and filter the maximum over the text, with the filter's offset, and the place of it."""
+    tops, peaks = [], []
+    for f, o in zip(model.filters, model.offsets):
+        z = sum(x[j : len(x) - len(f) + 1 + j] @ f[j] for j in range(len(f)))
+        top = np.stack([a + z[a : a + m].argmax(0) for a, m in zip(batch.starts.tolist(), batch.sizes.tolist())])
+        tops.append(top)
+        peaks.append(np.take_along_axis(z, top, 0) + o)
+    return np.maximum(np.concatenate(peaks, axis=1), 0), tops
+
+
+def _step(model: Model, ada: _Adagrad, batch: _Batch, label: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+    words = batch.embedded(model.embeddings)
+    pooled, tops = _peaks(model, batch, words[batch.places])
+    keep = (rng.random(pooled.shape) > DROPPED) / (1 - DROPPED)
+    p = 1 / (1 + np.exp(-np.clip((pooled * keep) @ model.weights + model.offset, -30, 30)))
+    error = (p - label) * weight / len(batch.sizes)
+    back = error[:, None] * model.weights * keep * (pooled > 0)
+    ada.step("w", model.weights, error @ (pooled * keep) + 1e-4 * model.weights)
+    bias = np.array([model.offset])
+    ada.step("b", bias, np.array([error.sum()]))
+    model.offset = float(bias[0])
+    moved = np.zeros_like(words)
+    for k, (f, o, top) in enumerate(zip(model.filters, model.offsets, tops)):
+        g = back[:, k * FILTERS : (k + 1) * FILTERS]
+        df = np.empty_like(f)
+        for j in range(len(f)):
+            own = batch.places[top + j]
+            df[j] = np.einsum("nf,nfs->sf", g, words[own])
+            np.add.at(moved, own.ravel(), (g[:, :, None] * f[j].T[None]).reshape(-1, SIZE))
+        ada.step(("f", k), f, df)
+        ada.step(("o", k), o, g.sum(0))
+    touched = np.abs(moved).sum(1)[batch.owner] > 0
+    rows, where = np.unique(batch.rows[touched], return_inverse=True)
+    gradient = np.zeros((len(rows), SIZE))
+    np.add.at(gradient, where, moved[batch.owner[touched]])
+    ada.step("e", model.embeddings, gradient, rows)
+
+
+def _batches(sample: Sample, chosen: np.ndarray, model: Model) -> Iterator[tuple[np.ndarray, _Batch]]:
+    """Batches of the chosen texts, and which they are. Each has texts of all lengths."""
+    known = np.array(list(model.rows), np.int64)
+    place = np.searchsorted(known, sample.buckets)
+    kept = known[np.minimum(place, len(known) - 1)] == sample.buckets if len(known) else np.zeros(len(place), bool)
+    counts = np.bincount(np.repeat(np.arange(len(sample.counts)), sample.counts)[kept], minlength=len(sample.counts))
+    order = np.array(sorted(chosen.tolist(), key=lambda i: len(sample.texts[i])), np.int64)
+    number = -(-len(order) // BATCH)
+    for k in range(number):
+        yield order[k::number], _Batch([sample.texts[i] for i in order[k::number]], place[kept], counts)
+
+
+def fit_network(sample: Sample, chosen: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int = 7) -> Model:
+    """Gradient steps on batches of the chosen texts; of each filter only the place of its maximum in each text gets a gradient. Labels and weights are of the whole sample."""
     rng = np.random.default_rng(seed)
-    model = _start(texts, known, label, rng)
-    memo: dict[str, list[int]] = {}
-    reach = max(WIDTHS) - 1
-    inside = []
-    for words in texts:
-        for w in set(words):
-            if w not in memo:
-                memo[w] = [model.rows[b] for b in known[w] if b in model.rows]
-        rows = [memo[w] for w in words] or [[]]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        filled = np.flatnonzero(counts)
-        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(counts.sum()))
-        inside.append((rows, flat, filled, np.cumsum(counts[filled]) - counts[filled]))
-    ada = _Adagrad(0.05)
+    model = _start(sample, chosen, rng)
+    batches, ada = list(_batches(sample, rng.permutation(chosen), model)), _Adagrad(RATE)
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(texts)):
-            rows, flat, filled, begin = inside[i]
-            x = np.zeros((len(rows) + reach, SIZE))
-            if len(filled):
-                x[filled] = np.add.reduceat(model.embeddings[flat], begin, axis=0)
-            n, tops, peaks = len(rows), [], []
-            for f, o in zip(model.filters, model.offsets):
-                z = sum(x[j : j + n] @ f[j] for j in range(len(f)))
-                top = z.argmax(0)
-                tops.append(top)
-                peaks.append(z[top, np.arange(FILTERS)] + o)
-            pooled = np.maximum(np.concatenate(peaks), 0)
-            keep = rng.random(len(pooled)) > 0.2  # dropout
-            p = 1 / (1 + np.exp(-np.clip(pooled * keep / 0.8 @ model.weights + model.offset, -30, 30)))
-            error = (p - label[i]) * weight[i]
-            back = error * model.weights * keep / 0.8 * (pooled > 0)
-            ada.step("w", model.weights, error * pooled * keep / 0.8 + 1e-4 * model.weights)
-            model.offset -= 0.02 * error
-            dx: dict[int, np.ndarray] = {}
-            for k, (f, o, top) in enumerate(zip(model.filters, model.offsets, tops)):
-                g = back[k * FILTERS : (k + 1) * FILTERS]
-                if not g.any():
-                    continue
-                df = np.zeros_like(f)
-                for c in np.flatnonzero(g):
-                    for j in range(len(f)):
-                        df[j, :, c] = g[c] * x[top[c] + j]
-                        dx[top[c] + j] = dx.get(top[c] + j, 0) + g[c] * f[j, :, c]
-                ada.step(("f", k), f, df)
-                ada.step(("o", k), o, g)
-            for at, g in dx.items():
-                if at < len(rows) and rows[at]:
-                    ada.step("e", model.embeddings, np.repeat(g[None], len(rows[at]), 0), np.array(rows[at]))
+        for k in rng.permutation(len(batches)):
+            part, batch = batches[k]
+            _step(model, ada, batch, label[part], weight[part], rng)
     return model
 
 
+def sampled_logits(sample: Sample, chosen: np.ndarray, model: Model) -> np.ndarray:
+    """The logit of every chosen text."""
+    out = np.zeros(len(sample.texts))
+    for part, batch in _batches(sample, chosen, model):
+        out[part] = _peaks(model, batch, batch.embedded(model.embeddings)[batch.places])[0] @ model.weights + model.offset
+    return out[chosen]
+
+
 def logits(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The logit and the guessed language of every text."""
     scorer = Scorer(model)
@@ -269,17 +325,14 @@ def fit(rows: pd.DataFrame) -> Model:
     """The network is trained on all rows, and calibrated on all by the logits that networks trained on the other half give. Labels: 1 is toxic."""
     rows = rows.sample(frac=1, random_state=3).reset_index(drop=True)
     label, weight = rows.label.to_numpy().astype(np.int64), rows.weight.to_numpy()
-    same: dict[str, str] = {}
-    texts = [[same.setdefault(w, w) for w in words_of(t)] for t in rows.text]
-    known = {w: buckets(w) for w in same}
+    sample, every = Sample(rows.text.tolist()), np.arange(len(rows))
     even = np.sqrt(weight / weight.mean()) if len(weight) else weight
-    logit, language, half = np.zeros(len(rows)), np.zeros(len(rows), np.int64), np.arange(len(rows)) % 2
+    logit = np.zeros(len(rows))
     for k in (0, 1):
-        there, other = np.flatnonzero(half == k), np.flatnonzero(half != k)
-        network = fit_network([texts[i] for i in other], known, label[other], even[other])
-        logit[there], language[there] = logits(network, [rows.text[i] for i in there])
-    model = fit_network(texts, known, label, even)
-    calibrate(model, logit, language, label, weight)
+        there = every[every % 2 == k]
+        logit[there] = sampled_logits(sample, there, fit_network(sample, every[every % 2 != k], label, even))
+    model = fit_network(sample, every, label, even)
+    calibrate(model, logit, sample.languages, label, weight)
     return model
 
 
