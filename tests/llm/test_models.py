@@ -107,6 +107,24 @@ def test_held_out_rows(spark, query, label, folder, least):
     assert min((y == 1).sum(), (y == 0).sum()) >= 10 and p[y == 1].mean() >= least and 1 - p[y == 0].mean() >= least and auc(y, got["score"].to_numpy()) >= 0.95
 
 
+def test_toxicity_is_learned_by_training(spark):
+    """Without a training step the same network, calibrated alike, tells nothing apart."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    held = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"), toxicity.PARTS, toxicity.PART) & F.col("text").isNotNull()).select("text", "toxic").toPandas()
+    rows = toxicity.labelled_sample(docs.select("doc_id", "text"), labels, "toxic", [0, 1], toxicity.PARTS, toxicity.PART, toxicity.ROWS)
+
+    def found(epochs: int) -> tuple[float, float]:
+        with mock.patch.object(toxicity, "EPOCHS", epochs):
+            model = toxicity.fit(rows)
+        p = np.array([model.probability(*x) for x in zip(*toxicity.logits(model, held.text.tolist()))])
+        y = held.toxic.to_numpy()
+        return ((p[y == 1] >= 0.5).mean() + (p[y == 0] < 0.5).mean()) / 2, auc(y, p)
+
+    (untrained, chance), (trained, good) = found(0), found(toxicity.EPOCHS)
+    assert untrained < 0.7 and chance < 0.75 and trained > 0.93 and good > 0.97
+
+
 def test_packing_comes_from_configurations(spark):
     """Most pieces are in full sequences whose places hold pieces of their own group, and there are no more sequences than best fit alone needs."""
     parts = packing.pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), tokenizer_path())
