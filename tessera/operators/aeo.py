@@ -14,6 +14,7 @@ from tessera.functions import catalog
 from tessera.functions.regex import total
 from tessera.functions.text import rounded
 
+#: What tells a challenge page and a denial.
 CHALLENGE = r"(?i)<title>\s*Just a moment\.\.\.\s*</title>"
 DENIED = r"(?i)access denied|forbidden|captcha|challenge"
 

@@ -30,9 +30,9 @@ _c = _Columns()
 _ONE_OF = "|".join(sorted(c.BUZZWORDS, key=len, reverse=True))
 #: A buzzword, and itself again after single separators: counting consumes separators, so of such a chain every second counts.
 BUZZ = rf"(?<![a-zA-Z-])({_ONE_OF})(?:[^a-zA-Z-]\1(?![a-zA-Z-]))*(?![a-zA-Z-])"
-_LEADS = "".join(f"\\x{{{x:X}}}" for x in c.EMOJI_LEADS)
+_LEADS = "".join(f"\\x{{{ord(x):X}}}" for x in c.EMOJI_LEADS)
 LEAD = rf"^\s*[{_LEADS}]"
-MORE_LEADS = rf"^\s*[{_LEADS}{''.join(f'\\x{{{x:X}}}' for x in c.MORE_EMOJI_LEADS)}]"
+MORE_LEADS = rf"^\s*[{_LEADS}{''.join(f'\\x{{{ord(x):X}}}' for x in c.MORE_EMOJI_LEADS)}]"
 URL = r"(?i)https?:\/\/\S+"
 FLAG = r"\x{1F3F4}[\x{E0020}-\x{E007E}]+\x{E007F}"
 #: Pictographs and their modifiers, by ranges of code points.
