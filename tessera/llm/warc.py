@@ -34,6 +34,8 @@ SALVAGED = f"path string, kind string, start long, stop long, inner_start long,
 VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
 #: Bytes of an archive, about: the member that would pass them begins the next one, so that only a member that is larger alone makes a larger archive.
 ARCHIVE = 64 << 20
+#: Bytes of an archive that are unpacked at once.
+STEP = 16 << 10
 
 
 def base32_sha1(col: Column) -> Column:
@@ -125,10 +127,13 @@ def write_archives(plan: DataFrame, path: str, most: int = ARCHIVE) -> None:
 
 def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What the gzip member at ``at`` holds, as far as it can be read, how far that is, and whether it is whole."""
-    d = zlib.decompressobj(31)
+    d, parts, view, pos = zlib.decompressobj(31), [], memoryview(data), at
     try:
-        out = d.decompress(memoryview(data)[at:])
-        return out, len(data) - len(d.unused_data), d.eof
+        # in steps, as what a step holds beyond the member's end is copied
+        while not d.eof and pos < len(data):
+            parts.append(d.decompress(view[pos : pos + STEP]))
+            pos += STEP
+        return b"".join(parts), min(pos, len(data)) - len(d.unused_data), d.eof
     except zlib.error:
         pass
     # again in small steps, the last of them byte by byte, to keep all that comes out before the damage
