@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.regex import Pattern as P
@@ -132,3 +133,62 @@ SQL_CANONICAL = (
     "(SELECT lower(h) || substr(b, len(h) + 1) FROM (SELECT b, regexp_extract(b, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*)', 1) AS h FROM "
     "(SELECT regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '') AS b)))"
 )
+
+
+#: Links of these schemes lead to no page.
+NO_PAGE = r"(?i)^(?:mailto:|javascript:|tel:|data:)"
+SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
+
+
+def _path(path: Column) -> Column:
+    """A path without dot segments."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        # the first segment is what stands before the first slash: it stays
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def _encoded(url: Column) -> Column:
+    """Blanks and letters beyond ASCII percent-encoded."""
+    strange = F.array_distinct(F.regexp_extract_all(url, F.lit(r"[^\x21-\x7E]"), F.lit(0)))
+    return F.aggregate(strange, url, lambda u, c: F.replace(u, c, F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))))
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """An absolute address for a link on the page ``base`` (RFC 3986); null where the link leads to no page."""
+    link = F.trim(href)
+    scheme, origin = F.regexp_extract(base, SCHEME, 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(F.when(path == "", "/").otherwise(path), "^(.*/)", 1)
+    whole = (
+        F.when(link.rlike(SCHEME), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(origin, path, link)).otherwise(F.concat(origin, folder, link))
+    )
+    head, rest = F.regexp_extract(whole, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(whole, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*[^?#]*(.*)$", 1)
+    own = F.regexp_extract(whole, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    full = F.concat(F.lower(head), _path(F.when(own == "", "/").otherwise(own)), rest)
+    return F.when((link != "") & ~link.startswith("#") & ~link.rlike(NO_PAGE), _encoded(F.when(head == "", whole).otherwise(full)))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """page_id, ord, href, url: every link of every page, as written and as an absolute address; links to no page are left out."""
+    rows = pages.select("page_id", F.col("url").alias("page"), F.posexplode(links(without_code(F.coalesce("html", F.lit(""))))).alias("ord", "l"))
+    return rows.select("page_id", "ord", "l.href", resolve(F.col("page"), F.col("l.href")).alias("url")).where("url IS NOT NULL")
+
+
+def sitemap_frontier(maps: DataFrame, most: int = 2) -> DataFrame:
+    """maps(site, url, root, xml): site, ord, url of the pages that root maps and the first ``most`` maps that each names list.
+
+    A map that is named, but isn't there, lists nothing. Maps meet by address: lists never move whole.
+    """
+    is_map = r"(?i)\.xml(?:$|\?)"
+    listed = maps.select("site", "url", "root", F.posexplode(sitemap_urls(F.col("xml"))).alias("at", "loc")).withColumn("map", F.col("loc").rlike(is_map))
+    named = F.row_number().over(W.partitionBy("site").orderBy("url", "at"))
+    nested = listed.where(F.col("root") & F.col("map")).withColumn("nth", named).where(F.col("nth") <= most).select("site", F.col("loc").alias("url"), "nth")
+    inner = listed.where(~F.col("root") & ~F.col("map")).join(nested.groupBy("site", "url").agg(F.min("nth").alias("nth")), ["site", "url"])
+    both = listed.where(F.col("root") & ~F.col("map")).select("site", F.lit(0).alias("nth"), "at", "loc").unionByName(inner.select("site", "nth", "at", "loc"))
+    return both.withColumn("ord", F.row_number().over(W.partitionBy("site").orderBy("nth", "at", "loc"))).select("site", "ord", F.col("loc").alias("url"))
