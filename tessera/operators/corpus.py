@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import catalog
+from tessera.functions.prefix import running
 from tessera.functions.regex import Pattern
 from tessera.functions.text import fnv1a, rounded
 
@@ -180,36 +181,63 @@ def held_out_guard(rows: DataFrame) -> DataFrame:
 
 def order_threshold(scores: DataFrame, alpha: float) -> DataFrame:
     """The ceil((1 - alpha) n)-th smallest score, found in counts by value: no task sorts all scores."""
-    counts = scores.where("score IS NOT NULL").groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.select("score", F.sum("n").over(W.orderBy("score")).alias("upto"), F.sum("n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
-    rank = F.ceil(F.col("n") * F.lit(1 - alpha))
-    return upto.where(F.col("upto") >= rank).groupBy("n").agg(F.min("score").alias("threshold"))
+    counts = scores.where("score IS NOT NULL").groupBy("score").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    upto = running(counts, "_all", "score", "_n", "upto")
+    rank = F.ceil(F.col("upto_of") * F.lit(1 - alpha))
+    return upto.where(F.col("upto") >= rank).groupBy(F.col("upto_of").alias("n")).agg(F.min("score").alias("threshold"))
 
 
 def ranked_with_ties(df: DataFrame, col: str) -> DataFrame:
     """``df`` with ``<col>_rank``: average ranks, from counts by value."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.orderBy(col))
-    ranks = counts.select(col, (upto - (F.col("_n") - 1) / 2.0).alias(f"{col}_rank"))
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    ranks = running(counts, "_all", col, "_n", "_upto").select(col, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"{col}_rank"))
     return df.join(ranks, col)
 
 
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n and rho of the rows that have both, from counts by pair of values: rows are read once, and only counts are ranked."""
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"))
-
-    def ranks(col: str) -> DataFrame:
-        counts = pairs.groupBy(col).agg(F.sum("_n").alias("_of"))
-        upto = F.sum("_of").over(W.orderBy(col))
-        return counts.select(col, (upto - (F.col("_of") - 1) / 2.0).alias(f"_{col}"))
+def rank_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """pair, n and rho of each pair of columns, of the rows that have both.
 
-    n, x, y = F.col("_n"), F.col(f"_{a}"), F.col(f"_{b}")
-    of = pairs.join(ranks(a), a).join(ranks(b), b).agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("n"), *[F.sum(n * v).alias(name) for name, v in (("x", x), ("y", y), ("xy", x * y), ("xx", x * x), ("yy", y * y))]
+    Rows are read once, in long form: counts by pair of values, then by value, are ranked, all pairs together.
+    """
+    each = F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
+    long = df.select(F.explode(each).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
+
+    # both sides of all pairs are ranked at once
+    sides = long.select(F.explode(F.array(*[F.struct(F.concat("pair", F.lit(f"|{c}")).alias("side"), F.col(c).alias("v"), F.col("_n").alias("n")) for c in "xy"])).alias("s"))
+    counts = sides.groupBy("s.side", "s.v").agg(F.sum("s.n").alias("_of"))
+    ranks = running(counts, "side", "v", "_of", "_upto").select("side", "v", (F.col("_upto") - (F.col("_of") - 1) / 2.0).alias("r"))
+    ranked = lambda c: ranks.where(F.col("side").endswith(f"|{c}")).select(F.expr("left(side, length(side) - 2)").alias("pair"), F.col("v").alias(c), F.col("r").alias(f"_{c}"))
+    n, x, y = F.col("_n"), F.col("_x"), F.col("_y")
+    of = long.join(ranked("x"), ["pair", "x"]).join(ranked("y"), ["pair", "y"]).groupBy("pair").agg(
+        F.sum(n).alias("n"), *[F.sum(n * v).alias(name) for name, v in (("x", x), ("y", y), ("xy", x * y), ("xx", x * x), ("yy", y * y))]
     )
     spread = lambda v: F.col("n") * F.col(v + v) - F.col(v) * F.col(v)
     rho = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(spread("x") * spread("y")))
-    return of.select("n", rounded(rho, 4).alias("rho"))
+    return of.select("pair", "n", rounded(rho, 4).alias("rho"))
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n and rho of the rows that have both; one row, of 0 and null if none has."""
+    found = rank_correlations(df, [(a, b)])
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("rho").alias("rho"))
+
+
+#: What is set against what in the report on covariates.
+COVARIATES = [("design", "specificity"), ("copy", "specificity"), ("design", "colourfulness"), ("design", "edge_density"), ("design", "whitespace")]
+
+
+def covariate_correlations(records: DataFrame) -> DataFrame:
+    """pair, n and rho of the five pairs that scores are checked by. Scores that are missing count as 0, a rho that isn't defined is 0."""
+    found = rank_correlations(records.na.fill(0, [c for c in ("design", "copy") if c in records.columns]), COVARIATES)
+    return found.withColumn("rho", F.coalesce("rho", F.lit(0.0)))
+
+
+def covariate_means(records: DataFrame) -> DataFrame:
+    """A row per stratum (a where it is missing): how many records, and their mean scores, anchors per 100 words and specificity."""
+    mean = lambda c, places: rounded(F.avg(F.coalesce(F.col(c), F.lit(0))), places).alias(f"mean_{c}")
+    return records.groupBy(F.coalesce("stratum", F.lit("a")).alias("stratum")).agg(
+        F.count(F.lit(1)).alias("records"), mean("design", 2), mean("copy", 2), mean("per_100", 3), mean("specificity", 4),
+    )
 
 
 def scaling(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -271,9 +299,9 @@ def typicality_ranks(distances: DataFrame, references: DataFrame) -> DataFrame:
     counts = references.groupBy("distance").agg(F.count(F.lit(1)).alias("_n"), F.lit(True).alias("_ref"))
     wanted = distances.select("distance").distinct().withColumns({"_n": F.lit(0).cast("long"), "_ref": F.lit(False)})
     by = counts.unionByName(wanted).groupBy("distance").agg(F.sum("_n").alias("_n"))
-    upto, total = F.sum("_n").over(W.orderBy("distance")), F.sum("_n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    upto, total = F.col("_upto"), F.col("_upto_of")
     share = lambda n: rounded(100 * n / total).cast("int")
-    ranks = by.select("distance", share(total - upto + F.col("_n")).alias("percentile"), share(upto).alias("atypicality"))
+    ranks = running(by.withColumn("_all", F.lit(0)), "_all", "distance", "_n", "_upto").select("distance", share(total - upto + F.col("_n")).alias("percentile"), share(upto).alias("atypicality"))
     return distances.join(ranks, "distance")
 
 
@@ -369,3 +397,22 @@ def paired(off: DataFrame, on: DataFrame) -> DataFrame:
         "brief_id", "off_score", "on_score", (F.col("on_score") - F.col("off_score")).alias("delta"),
         F.array_join(F.array_sort(F.array_except("on_rules", "off_rules")), ",").alias("added"), F.array_join(F.array_sort(F.array_except("off_rules", "on_rules")), ",").alias("removed"),
     )
+
+
+def paired_rates(off: DataFrame, on: DataFrame) -> DataFrame:
+    """A row per rule that either side of a brief fired: hits and rates without and with the skill, their difference and its 95 % interval.
+
+    The interval is that of paired shares: only briefs on which the sides differ widen it. Briefs that one side lacks don't count.
+    """
+    b = on.select("brief_id", F.array_distinct("rules").alias("on_rules"))
+    both = off.select("brief_id", F.array_distinct("rules").alias("off_rules")).join(b, "brief_id")
+    total = both.agg(F.count(F.lit(1)).alias("briefs"))
+    sides = both.select(F.explode(F.array_union("off_rules", "on_rules")).alias("rule_id"), "off_rules", "on_rules").select(
+        "rule_id", F.expr("array_contains(off_rules, rule_id)").alias("off"), F.expr("array_contains(on_rules, rule_id)").alias("on"))
+    by = sides.groupBy("rule_id").agg(F.count_if("off").alias("off_hits"), F.count_if("on").alias("on_hits"), F.count_if(F.expr("off AND NOT on")).alias("removed"), F.count_if(F.expr("on AND NOT off")).alias("added"))
+    # one row
+    rows = by.crossJoin(F.broadcast(total))
+    n, away = F.col("briefs"), (F.col("added") - F.col("removed")) / F.col("briefs")
+    half = 1.959963984540054 * F.sqrt(F.greatest(F.col("added") + F.col("removed") - F.col("briefs") * away * away, F.lit(0.0))) / n
+    return rows.select("rule_id", "off_hits", "on_hits", "removed", "added", "briefs", rounded(F.col("off_hits") / n, 3).alias("off_rate"), rounded(F.col("on_hits") / n, 3).alias("on_rate"),
+                       rounded(away, 3).alias("delta_rate"), rounded(away - half, 3).alias("lower"), rounded(away + half, 3).alias("upper"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import catalog
 from tessera.functions.regex import quoted
-from tessera.functions.text import SQL_FUNCTION_WORDS, fnv1a, sql_fnv1a, sql_rounded, sql_words, tier, verdict, words
+from tessera.functions.text import SQL_FUNCTION_WORDS, fnv1a, rounded, sql_fnv1a, sql_rounded, sql_words, tier, verdict, words
 from tessera.operators import corpus as c
 from tessera.plans.history import FIRST
 from tessera.sources.tables import SCAN_RULES, SCANS_SQL, SQL_FLAGGED, flagged, scans, spread, table
@@ -40,6 +40,21 @@ def excess_vocab(spark: SparkSession, d: str) -> DataFrame:
     return c.excess_vocabulary(docs, logodds_unigram(spark, d), words(F.coalesce("text", F.lit(""))))
 
 
+def _by_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text", "lang"))
+    return docs.where("lang IS NOT NULL").withColumn("side", F.when(F.col("lang") == "fr", 1).otherwise(0))
+
+
+def logodds_french(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that French documents use more than others."""
+    return c.log_odds(_by_language(spark, d), F.col("side"), F.col("source"))
+
+
+def excess_vocab_french(spark: SparkSession, d: str) -> DataFrame:
+    """How much every document uses them."""
+    return c.excess_vocabulary(table(spark, d, "documents").select("doc_id", "text"), logodds_french(spark, d), words(F.coalesce("text", F.lit(""))))
+
+
 def vocab_drift(spark: SparkSession, d: str) -> DataFrame:
     return c.vocabulary_drift(table(spark, d, "documents").select("doc_id", "text"), (F.col("doc_id") % 2).cast("int"), DRIFT_TERMS)
 
@@ -127,9 +142,33 @@ def bench_report(spark: SparkSession, d: str) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.sum("delta").alias("delta_sum"), F.median("delta").alias("delta_median"), F.count_if(F.col("delta") < 0).alias("better"))
 
 
+def bench_rule_rates(spark: SparkSession, d: str) -> DataFrame:
+    some = scans(spark, d).select(F.floor(F.col("scan_id") / 2).alias("brief_id"), (F.col("scan_id") % 2).alias("on"), flagged(F.col("k")).alias("rules"))
+    return c.paired_rates(some.where("on = 0").drop("on"), some.where("on = 1").drop("on"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Covariates read off the documents: specificity of the text, and numbers that its letters and its id give."""
+    text = F.coalesce("text", F.lit(""))
+    docs = spread(table(spark, d, "documents"))
+    own = docs.select(
+        "doc_id", F.col("source").alias("stratum"), F.col("doc_id") * 37 % 61, F.col("doc_id") * 17 % 23, (F.col("n_chars") % 97).alias("colourfulness"),
+        F.regexp_count(text, F.lit("[.,]")).alias("edge_density"), rounded(F.regexp_count(text, F.lit(" ")) / F.greatest(F.length(text), F.lit(1)), 4).alias("whitespace"),
+    ).toDF("doc_id", "stratum", "design", "copy", "colourfulness", "edge_density", "whitespace")
+    return own.join(c.specificity(docs).select("doc_id", "per_100", F.col("index").alias("specificity")), "doc_id")
+
+
+def covariate_correlations(spark: SparkSession, d: str) -> DataFrame:
+    return c.covariate_correlations(_records(spark, d))
+
+
+def covariate_means(spark: SparkSession, d: str) -> DataFrame:
+    return c.covariate_means(_records(spark, d))
+
+
 QUERIES = {f.__name__: f for f in (
-    logodds_unigram, logodds_terms, logodds_ngram, excess_vocab, vocab_drift, likelihood_ratio, promotion_gate, logodds_ends, specificity, co_occurrence, watch_list, order_threshold, spearman, knn_typicality,
-    typicality_by_label, domain_split, verdict_fnv, clopper_pearson, confusion_matrix, bench_pairs, bench_report,
+    logodds_unigram, logodds_terms, logodds_ngram, excess_vocab, logodds_french, excess_vocab_french, vocab_drift, likelihood_ratio, promotion_gate, logodds_ends, specificity, co_occurrence, watch_list, order_threshold, spearman, knn_typicality,
+    typicality_by_label, domain_split, verdict_fnv, clopper_pearson, confusion_matrix, bench_pairs, bench_report, bench_rule_rates, covariate_correlations, covariate_means,
 )}
 _L = "lb AS (SELECT doc_id, source, lower(coalesce(text, '')) AS low, quality AS side FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1))"
 _ODDS = f"""{_L}, t AS (SELECT side, source, unnest(list_filter(regexp_extract_all(low, '{c.TERM}'), lambda x: NOT list_contains({SQL_FUNCTION_WORDS}, x))) AS term FROM lb),
@@ -149,6 +188,11 @@ lr AS (SELECT rule_id, tp, p, fp, n, CASE WHEN fine THEN {sql_rounded('r', 3)} E
   CASE WHEN fine THEN {sql_rounded('exp(ln(r) + 1.96 * se)', 3)} END AS upper, CASE WHEN fine THEN {sql_rounded(f'least({math.log(10)!r}, greatest(-{math.log(10)!r}, ln(r)))', 4)} END AS clipped_log,
   CASE WHEN fine THEN {sql_rounded('r', 3)} >= 3 AND {sql_rounded('exp(ln(r) - 1.96 * se)', 3)} >= 1.5 ELSE false END AS promotable FROM u)"""
 _VERDICTS = {k: "([" + ", ".join(map(quoted, v)) + "])" for k, v in catalog.VERDICTS.items()}
+_RECORDS = f"""d AS (SELECT doc_id, source, n_chars, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS words, {" + ".join(p.sql_count('text') for p in c.ANCHORS.values())} AS found FROM d),
+q AS (SELECT *, CASE WHEN words > 0 THEN {sql_rounded("found * 100.0::DOUBLE / words", 3)} ELSE 0.0 END AS per_100 FROM n),
+r AS (SELECT source AS stratum, doc_id * 37 % 61 AS design, doc_id * 17 % 23 AS copy, n_chars % 97 AS colourfulness, len(regexp_extract_all(text, '[.,]')) AS edge_density,
+  {sql_rounded("len(regexp_extract_all(text, ' '))::DOUBLE / greatest(length(text), 1)", 4)} AS whitespace, per_100, {sql_rounded('1 - exp(-per_100 / 3.0)', 4)} AS specificity FROM q)"""
 ORACLES = {
     "logodds_unigram": f"WITH {_ODDS} SELECT * FROM lo",
     "logodds_terms": f"WITH {_ODDS.replace('WHERE dl / sqrt(var) >= 3 AND sites >= 3', '')} SELECT * FROM lo",
@@ -198,4 +242,21 @@ SELECT a.brief_id, a.score AS off_score, b.score AS on_score, b.score - a.score
   array_to_string(list_sort(list_filter(a.rules, lambda x: NOT list_contains(b.rules, x))), ',') AS removed FROM s a JOIN s b USING (brief_id) WHERE a.side = 0 AND b.side = 1""",
     "bench_report": f"""WITH {SCANS_SQL}, p AS (SELECT b.score - a.score AS delta FROM scans a JOIN scans b ON b.scan_id = a.scan_id + 1 AND a.scan_id % 2 = 0)
 SELECT count(*) AS pairs, sum(delta)::BIGINT AS delta_sum, quantile_cont(delta, 0.5)::DOUBLE AS delta_median, count(*) FILTER (delta < 0) AS better FROM p""",
+    "bench_rule_rates": f"""WITH {SCANS_SQL}, s AS (SELECT scan_id // 2 AS brief_id, scan_id % 2 AS side, {SQL_FLAGGED} AS rules FROM scans),
+b AS (SELECT brief_id, a.rules AS ro, z.rules AS rn FROM s a JOIN s z USING (brief_id) WHERE a.side = 0 AND z.side = 1), n AS (SELECT count(*) AS briefs FROM b),
+e AS (SELECT ro, rn, unnest(list_distinct(list_concat(ro, rn))) AS rule_id FROM b),
+g AS (SELECT rule_id, count(*) FILTER (list_contains(ro, rule_id)) AS off_hits, count(*) FILTER (list_contains(rn, rule_id)) AS on_hits,
+  count(*) FILTER (list_contains(ro, rule_id) AND NOT list_contains(rn, rule_id)) AS removed, count(*) FILTER (list_contains(rn, rule_id) AND NOT list_contains(ro, rule_id)) AS added FROM e GROUP BY rule_id),
+h AS (SELECT *, (added - removed)::DOUBLE / briefs AS away FROM g, n),
+k AS (SELECT *, 1.959963984540054::DOUBLE * sqrt(greatest(added + removed - briefs * away * away, 0)) / briefs AS half FROM h)
+SELECT rule_id, off_hits, on_hits, removed, added, briefs, {sql_rounded('off_hits::DOUBLE / briefs', 3)} AS off_rate, {sql_rounded('on_hits::DOUBLE / briefs', 3)} AS on_rate,
+  {sql_rounded('away', 3)} AS delta_rate, {sql_rounded('away - half', 3)} AS lower, {sql_rounded('away + half', 3)} AS upper FROM k""",
+    "covariate_correlations": f"""WITH {_RECORDS}, p AS ({" UNION ALL ".join(f"SELECT '{a}_vs_{b}' AS pair, {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM r" for a, b in c.COVARIATES)}),
+k AS (SELECT pair, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2.0::DOUBLE AS ry
+  FROM p WHERE x IS NOT NULL AND y IS NOT NULL)
+SELECT pair, count(*) AS n, coalesce({sql_rounded('CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE corr(rx, ry) END', 4)}, 0) AS rho FROM k GROUP BY pair""",
+    "covariate_means": f"""WITH {_RECORDS} SELECT coalesce(stratum, 'a') AS stratum, count(*) AS records, {sql_rounded('avg(design)', 2)} AS mean_design, {sql_rounded('avg(copy)', 2)} AS mean_copy,
+  {sql_rounded('avg(per_100)', 3)} AS mean_per_100, {sql_rounded('avg(specificity)', 4)} AS mean_specificity FROM r GROUP BY 1""",
 }
+_FRENCH = "lb AS (SELECT doc_id, source, lower(coalesce(text, '')) AS low, CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS side FROM documents WHERE lang IS NOT NULL)"
+ORACLES |= {"logodds_french": ORACLES["logodds_unigram"].replace(_L, _FRENCH), "excess_vocab_french": ORACLES["excess_vocab"].replace(_L, _FRENCH)}
