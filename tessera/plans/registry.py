@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("copy", "history", "board", "site", "corpus", "rules", "markup", "spans", "streams")
+MODULES = ("copy", "history", "board", "site", "corpus", "rules", "markup", "spans", "store", "streams")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,9 +31,16 @@ def stream_first(spark: SparkSession, d: str) -> DataFrame:
     return jobs.finished(jobs.first_contributions(jobs.event_stream(spark, d))).select("user_id")
 
 
-QUERIES = {f.__name__: f for f in (stream_watch, stream_rate, stream_daily, stream_first)}
+def stream_timeline(spark: SparkSession, d: str) -> DataFrame:
+    score = F.least(F.lit(100), F.floor("value")).cast("int")
+    rows = jobs.event_stream(spark, d).select(F.concat(F.lit("site"), "user_id").alias("domain"), "ts", F.col("event_id").alias("scan_id"), score.alias("score"))
+    return jobs.newest_timelines(jobs.finished(jobs.timelines(rows, 50)))
+
+
+QUERIES = {f.__name__: f for f in (stream_watch, stream_rate, stream_daily, stream_first, stream_timeline)}
 ORACLES = {
     "stream_watch": history.ORACLES["watch_alerts"],
+    "stream_timeline": history.ORACLES["timeline_cap"],
     "stream_first": "SELECT DISTINCT user_id FROM events",
     "stream_daily": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS route, count(*) AS requests, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL""",

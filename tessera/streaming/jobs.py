@@ -15,6 +15,7 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, S
 from tessera.operators.history import REGRESSION
 
 ALERT = "domain string, scan_id long, score int, base_score int"
+TIMELINES = "domain string, version long, ord int, scan_id long, score int"
 LIMITED = "user_id long, event_id long, count long, limited boolean"
 #: Rows of one key that are handed on at once.
 SLICE = 10_000
@@ -22,8 +23,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def state_dir(spark: SparkSession) -> str:
-    """A new folder for a stream's state, under the one that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
+    """A new folder for a stream's state, under the one that executors share. Only a session on one machine gets one of its own where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="tessera-stream-")
     return f"{base.rstrip('/')}/tessera-stream/{uuid.uuid4().hex}"
 
 
@@ -87,6 +91,52 @@ class Window(StatefulProcessor):
         pass
 
 
+class Timeline(StatefulProcessor):
+    """Of each domain the last entries by event time, however late they arrive.
+
+    The list is kept in order and cut to ``most``: an entry older than all of a full list
+    is out, as it would be if all had come in order. Each micro-batch that changes a list
+    gives it whole, with a number that grows: the highest is what holds.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getListState("entries", StructType([StructField("ts", TimestampType()), StructField("scan_id", LongType()), StructField("score", IntegerType())]))
+        self.version = handle.getValueState("version", StructType([StructField("n", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = {e[1]: (pd.Timestamp(e[0]), e[1], e[2]) for e in self.entries.get()} if self.entries.exists() else {}
+        before = dict(held)
+        for b in rows:
+            for ts, scan_id, score in zip(b["ts"], b["scan_id"], b["score"]):
+                entry = (pd.Timestamp(ts), int(scan_id), None if pd.isna(score) else int(score))
+                held[entry[1]] = min(entry, held.get(entry[1], entry), key=lambda e: e[0])
+            held = {e[1]: e for e in sorted(held.values(), key=lambda e: (e[0], e[1]), reverse=True)[: self.most]}
+        if held == before:
+            return
+        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        self.entries.put([(e[0].to_pydatetime(), e[1], e[2]) for e in held.values()])
+        self.version.update((version,))
+        out = [(key[0], version, n, e[1], e[2]) for n, e in enumerate(held.values(), 1)]
+        yield pd.DataFrame(out, columns=["domain", "version", "ord", "scan_id", "score"]).astype({"score": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def timelines(scans: DataFrame, most: int) -> DataFrame:
+    """scans(domain, ts, scan_id, score), a stream: the timeline of each domain that a micro-batch changed."""
+    return scans.groupBy("domain").transformWithStateInPandas(Timeline(most), TIMELINES, "append", "None")
+
+
+def newest_timelines(changes: DataFrame) -> DataFrame:
+    """The timelines that hold: of each domain those of its highest version."""
+    last = changes.groupBy("domain").agg(F.max("version").alias("version"))
+    return changes.join(last, ["domain", "version"]).drop("version")
+
+
 def alerts(scans: DataFrame) -> DataFrame:
     """scans(domain, ts, scan_id, score, rank), a stream: one row when a domain turns worse than its baseline."""
     return scans.groupBy("domain").transformWithStateInPandas(Watch(), ALERT, "append", "None")
