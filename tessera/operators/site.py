@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import catalog
 from tessera.functions.text import rounded, tier
-from tessera.operators.copyrules import context
-from tessera.operators.copyscore import scored
+from tessera.operators.copyrules import context, evidence
+from tessera.operators.copyscore import gates, scored
 from tessera.sources.html import canonical_url, copy_input, host
 
 SAMPLE, MOST_SAMPLE, LEAST_WORDS, QUALIFY_WORDS, QUALIFY_PAGES = 5, 15, 50, 150, 5
@@ -50,34 +51,53 @@ def key(chunk: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(chunk), r"\s+", " "))
 
 
+def _hashes(pages: DataFrame) -> Column:
+    """The distinct hashes of a page's chunks that are long enough to be told apart."""
+    all_ = F.flatten(F.concat(F.array(chunks(F.col("text"))), F.transform("headings", chunks), F.transform("paragraphs", chunks)))
+    return F.array_distinct(F.transform(F.filter(F.transform(all_, key), lambda k: F.length(k) >= LEAST_KEY), lambda k: F.xxhash64(k)))
+
+
 def shared_chunks(pages: DataFrame) -> DataFrame:
-    """site, pages, shared: the chunks on more than half of a site's other pages.
+    """site, _page (hash of a page's content), shared: the hashes of its chunks that are on more than half of the site's other pages.
 
-    A page's chunks are told apart within its row before they move, so a chunk that is
-    everywhere is counted by partial aggregates. ``shared`` is at most about twice a
-    page long, as each of its chunks is on half of the pages.
+    Hashes move, pages don't. A page's chunks are told apart within its row, so a chunk
+    that is everywhere is counted by partial aggregates; a page's list holds no more than
+    its own chunks.
     """
-    all_ = F.flatten(F.concat(F.array(chunks(F.col("text"))), F.transform("headings", chunks), F.transform("paragraphs", chunks)))
-    keys = F.array_distinct(F.filter(F.transform(all_, key), lambda k: F.length(k) >= LEAST_KEY))
+    hashed = pages.select("site", _content().alias("_page"), _hashes(pages).alias("hashes"))
     size = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    seen = pages.select("site", F.explode(keys).alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("on"))
-    often = seen.join(size, "site").where((F.col("on") - 1) / F.greatest(F.lit(1), F.col("pages") - 1) > SHARED)
-    return size.join(often.groupBy("site").agg(F.collect_list("key").alias("shared")), "site", "left")
+    seen = hashed.select("site", F.explode("hashes").alias("hash")).groupBy("site", "hash").agg(F.count(F.lit(1)).alias("on"))
+    often = seen.join(size, "site").where((F.col("on") - 1) / F.greatest(F.lit(1), F.col("pages") - 1) > SHARED).select("site", "hash")
+    own = hashed.select("site", "_page", F.explode("hashes").alias("hash")).join(often, ["site", "hash"], "left_semi")
+    return own.groupBy("site", "_page").agg(F.collect_set("hash").alias("shared"))
+
+
+def _content() -> Column:
+    return F.xxhash64("text", "headings", "paragraphs")
 
 
 def stripped(pages: DataFrame) -> DataFrame:
     """``pages`` with boilerplate taken out of text, headings and paragraphs; ``stripped`` counts the text's lost chunks."""
-    both = pages.join(shared_chunks(pages), "site").withColumn("shared", F.coalesce("shared", F.array().cast("array<string>")))
-    keep = lambda cs: F.filter(cs, lambda c: ~F.array_contains(F.col("shared"), key(c)))
+    size = pages.groupBy("site").agg(F.count(F.lit(1)).alias("_pages"))
+    both = pages.withColumn("_page", _content()).join(shared_chunks(pages), ["site", "_page"], "left").join(size, "site")
+    both = both.withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
+    keep = lambda cs: F.filter(cs, lambda c: ~F.array_contains(F.col("shared"), F.xxhash64(key(c))))
     prose = lambda items: F.filter(F.transform(items, lambda x: F.array_join(keep(chunks(x)), "\n\n")), lambda x: x != "")
-    one = F.col("pages") < 2
+    one = F.col("_pages") < 2
     out = both.withColumn("_kept", keep(chunks(F.col("text"))))
     return out.withColumns({
         "stripped": F.when(one, 0).otherwise(F.size(chunks(F.col("text"))) - F.size("_kept")),
         "headings": F.when(one, F.col("headings")).otherwise(prose(F.col("headings"))),
         "paragraphs": F.when(one, F.col("paragraphs")).otherwise(prose(F.col("paragraphs"))),
         "text": F.when(one, F.col("text")).otherwise(F.array_join("_kept", "\n\n")),
-    }).drop("_kept", "shared", "pages")
+    }).drop("_kept", "shared", "_pages", "_page")
+
+
+def artifact_findings(pages: DataFrame) -> DataFrame:
+    """site, url, rule_id: what the rules that need no statistics find on whole pages, before boilerplate is taken out."""
+    rows = evidence(gates(context(pages), "lang"))
+    fired = F.array_compact(F.array(*[F.when(F.col(f"{name}.triggered"), name) for name, statistical, *_ in catalog.COPY_RULES if not statistical]))
+    return rows.select("site", "url", F.explode(fired).alias("rule_id"))
 
 
 def html_sites(pages: DataFrame) -> DataFrame:

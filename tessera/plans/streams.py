@@ -37,9 +37,16 @@ def stream_timeline(spark: SparkSession, d: str) -> DataFrame:
     return jobs.newest_timelines(jobs.finished(jobs.timelines(rows, 50)))
 
 
-QUERIES = {f.__name__: f for f in (stream_watch, stream_rate, stream_daily, stream_first, stream_timeline)}
+def stream_breaker(spark: SparkSession, d: str) -> DataFrame:
+    ok = F.get_json_object("props", "$.k").cast("int") % 2 == 0
+    rows = jobs.event_stream(spark, d).select(F.concat(F.lit("site"), "user_id").alias("domain"), "ts", F.col("event_id").alias("scan_id"), ok.alias("ok"))
+    return jobs.finished(jobs.breakers(rows))
+
+
+QUERIES = {f.__name__: f for f in (stream_watch, stream_rate, stream_daily, stream_first, stream_timeline, stream_breaker)}
 ORACLES = {
     "stream_watch": history.ORACLES["watch_alerts"],
+    "stream_breaker": history.ORACLES["webhook_breaker"],
     "stream_timeline": history.ORACLES["timeline_cap"],
     "stream_first": "SELECT DISTINCT user_id FROM events",
     "stream_daily": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS route, count(*) AS requests, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events

@@ -126,6 +126,37 @@ class Timeline(StatefulProcessor):
         pass
 
 
+class Breaker(StatefulProcessor):
+    """Failures in a row of each key; the one that makes ``most`` switches it off for good. A success begins again."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("breaker", StructType([StructField("failures", IntegerType()), StructField("off", BooleanType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        failures, off = self.state.get() if self.state.exists() else (0, False)
+        if off:
+            return
+        now = in_order(rows, "ts", "scan_id", "ok")
+        for ts, ok in zip(now["ts"], now["ok"]):
+            failures = 0 if ok else failures + 1
+            if failures == self.most:
+                off = True
+                yield pd.DataFrame({"domain": [key[0]], "disabled_at": [ts]})
+                break
+        self.state.update((failures, off))
+
+    def close(self) -> None:
+        pass
+
+
+def breakers(deliveries: DataFrame, most: int = 5) -> DataFrame:
+    """deliveries(domain, ts, scan_id, ok), a stream: each domain once, when the last of ``most`` failures in a row switches it off."""
+    return deliveries.groupBy("domain").transformWithStateInPandas(Breaker(most), "domain string, disabled_at timestamp", "append", "None")
+
+
 def timelines(scans: DataFrame, most: int) -> DataFrame:
     """scans(domain, ts, scan_id, score), a stream: the timeline of each domain that a micro-batch changed."""
     return scans.groupBy("domain").transformWithStateInPandas(Timeline(most), TIMELINES, "append", "None")

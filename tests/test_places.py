@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import spans
 from tessera.functions.prefix import running
 from tessera.functions.text import normalised
-from tessera.operators import markup
+from tessera.operators import markup, site
 from tessera.sources import dom
 from tessera.sources.html import page_links, resolve, sitemap_frontier
 
@@ -179,6 +179,17 @@ def test_links_and_site_maps(spark):
     assert sorted(tuple(r) for r in got) == [("s", 1, "p1"), ("s", 2, "p2"), ("s", 3, "q1"), ("s", 4, "q&2")]
 
 
+def test_artifacts_are_found_before_boilerplate_goes(spark):
+    """A notice on every page is boilerplate, and still a finding; hashes leave out what strings would."""
+    notice = "As an AI language model, I cannot fulfill this request."
+    texts = [f"Page {k} tells of mill number {k} and its wheel. {notice}" for k in range(6)]
+    pages = site.html_sites(spark.createDataFrame([(k, f"http://a.example/{k}", f"<html lang='en'><h1>Mill {k}</h1><p>{t}</p></html>") for k, t in enumerate(texts)], "page_id long, url string, html string"))
+    cut = site.stripped(pages).collect()
+    assert all(r["stripped"] == 1 and notice not in r["text"] and f"mill number {r['page_id']}" in r["text"] for r in cut)
+    found = site.artifact_findings(pages)
+    assert {r["url"] for r in found.where("rule_id = 'chatbot_reply_residue'").collect()} == {f"http://a.example/{k}" for k in range(6)}
+
+
 def test_running_sums(spark):
     rng = random.Random(8)
     rows = [(g, k, rng.randint(1, 9)) for g in "ab" for k in rng.sample(range(-500, 500), 300)] + [("a", None, 5), ("c", 1, 1)]

@@ -92,3 +92,19 @@ def test_late_rows_and_a_restart_give_the_batch_timeline(spark, tmp_path):
     columns = ["domain", "ord", "scan_id", "score"]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
     assert got.count() == 60
+
+
+def test_breaker_over_a_restart(spark, tmp_path):
+    """Failures are counted over micro-batches and runs; what is off stays off."""
+    rng = random.Random(9)
+    rows = [(f"d{k % 4}", at(k), k, rng.random() < (0.5 if k % 4 else 0.1)) for k in range(300)]
+    schema = "domain string, ts timestamp, scan_id long, ok boolean"
+    source, state, out = (f"{tmp_path}/{x}" for x in ("in", "state", "out"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS)
+    for part in (rows[:3], rows[3:40], rows[40:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.breakers(stream).writeStream.outputMode("append").option("checkpointLocation", state).format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("domain string, disabled_at timestamp").parquet(out)
+    want = history.circuit_breaker(spark.createDataFrame(rows, schema))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() >= 1
