@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.functions.regex import quoted
-from tessera.operators import markup
+from tessera.operators import markup, ruleset
 from tessera.sources import dom
 from tessera.sources.html import ENTITIES
 from tessera.sources.tables import spread, table
@@ -19,6 +20,25 @@ def page_structure(spark: SparkSession, d: str) -> DataFrame:
     return markup.structure(dom.elements(spread(table(spark, d, "pages"))))
 
 
+#: Rules as someone would write them.
+RULESET = [
+    '{"id": "long_paragraphs", "label": "Long paragraphs", "short": "Long", "weight": 3, "category": "copy", "detect": {"scope": {"selector": "p"}, "when": [{"text": {"minLen": 200}}], "trigger": {"minCount": 2}}}',
+    '{"id": "short_links", "label": "Short link texts", "short": "Links", "weight": 2, "detect": {"scope": {"selector": "a"}, "when": [{"text": {"maxLen": 3, "matches": "^[a-z]", "flags": "i"}}], "trigger": {"minRatio": 0.4}}}',
+    '{"id": "plain_ads", "label": "Ads without figures", "short": "Ads", "weight": 1, "detect": {"scope": {"selector": "div.ad, aside"}, "when": [{"text": {"notMatches": "[0-9]"}}, {"text": {"minLen": 20}}]}}',
+    '{"id": "painted", "label": "Purple text", "short": "Purple", "weight": 4, "category": "colors", "detect": {"when": [{"semantic": "purple"}]}}',
+]
+
+
+def page_ruleset(spark: SparkSession, d: str) -> DataFrame:
+    found = ruleset.applied(dom.elements(spread(table(spark, d, "pages"))), ruleset.parsed(RULESET))
+    return found.withColumn("samples", F.array_join("samples", "|"))
+
+
+def page_assertions(spark: SparkSession, d: str) -> DataFrame:
+    found = ruleset.applied(dom.elements(spread(table(spark, d, "pages"))), ruleset.parsed(RULESET))
+    return ruleset.rule_assertions(found, {"long_paragraphs": "error", "short_links": "warn", "plain_ads": "off"})
+
+
 def _list(words: list[str]) -> str:
     return "[" + ", ".join(map(quoted, words)) + "]"
 
@@ -59,18 +79,30 @@ el AS (SELECT page_id, i, node, tag, parent, depth, rest, coalesce(size, 0) AS i
 
 _HEADINGS = "(" + ", ".join(map(quoted, markup.HEADINGS)) + ")"
 _ATTR = lambda n: rf"""regexp_extract(rest, '(?i)(?:^|\s){n}\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 1)"""
-QUERIES = {f.__name__: f for f in (element_tree, page_structure)}
+#: The whole text of every element.
+_TEXTS = r"""tx AS (SELECT page_id, unnest(range(1, len(texts) + 1)) AS k, unnest(texts) AS x FROM tok),
+ev AS (SELECT st.page_id, st.i, st.stack FROM st),
+fu AS (SELECT el.page_id, el.node, string_agg(tx.x, ' ' ORDER BY tx.k) AS text FROM el
+  JOIN ev ON ev.page_id = el.page_id AND ev.i >= el.i AND list_contains(list_transform(ev.stack, lambda s: s.n), el.node) JOIN tx ON tx.page_id = ev.page_id AND tx.k = ev.i + 1 AND tx.x <> '' GROUP BY ALL),
+"""
+_RULED = f"""{TREE}, {_TEXTS} f AS (SELECT el.page_id, node, tag, trim(coalesce(text, '')) AS t, string_split_regex({_ATTR('class')}, '\\s+') AS cls FROM el LEFT JOIN fu USING (page_id, node)),
+h AS (SELECT page_id, node, t, 'long_paragraphs' AS rule_id, length(t) >= 200 AS hit FROM f WHERE tag = 'p'
+  UNION ALL SELECT page_id, node, t, 'short_links', length(t) <= 3 AND regexp_matches(t, '(?i)^[a-z]') FROM f WHERE tag = 'a'
+  UNION ALL SELECT page_id, node, t, 'plain_ads', NOT regexp_matches(t, '[0-9]') AND length(t) >= 20 FROM f WHERE (tag = 'div' AND list_contains(cls, 'ad')) OR tag = 'aside'
+  UNION ALL SELECT page_id, node, t, 'painted', false FROM f),
+g AS (SELECT page_id, rule_id, count(*) AS total, count(*) FILTER (hit) AS hits FROM h GROUP BY ALL),
+m AS (SELECT page_id, rule_id, string_agg(substr(t, 1, 40), '|' ORDER BY node) AS samples FROM (SELECT * FROM h WHERE hit AND t <> '' QUALIFY row_number() OVER (PARTITION BY page_id, rule_id ORDER BY node) <= 3) GROUP BY ALL),
+k AS (SELECT * FROM (SELECT DISTINCT page_id FROM f), (VALUES ('long_paragraphs', 3.0::DOUBLE), ('short_links', 2.0), ('plain_ads', 1.0), ('painted', 4.0)) v(rule_id, weight)),
+o AS (SELECT page_id, rule_id, weight, coalesce(total, 0) AS total, coalesce(hits, 0) AS hits, coalesce(samples, '') AS samples,
+  CASE rule_id WHEN 'long_paragraphs' THEN coalesce(hits, 0) >= 2 WHEN 'short_links' THEN coalesce(hits / total >= 0.4, false) ELSE coalesce(hits, 0) >= 1 END AS triggered FROM k LEFT JOIN g USING (page_id, rule_id) LEFT JOIN m USING (page_id, rule_id))"""
+QUERIES = {f.__name__: f for f in (element_tree, page_structure, page_ruleset, page_assertions)}
 ORACLES = {
     "element_tree": f"""WITH {TREE},
 g AS (SELECT page_id, count(*) AS elements, max(depth) AS deepest, string_agg(concat_ws(':', node, tag, coalesce(parent, -1), depth, inside), ',' ORDER BY node) AS lines FROM el GROUP BY page_id)
 SELECT page_id, coalesce(elements, 0)::BIGINT AS elements, coalesce(deepest, -1)::BIGINT AS deepest, sha256(coalesce(lines, '')) AS tree,
   sha256(array_to_string(list_filter(texts, lambda x: x <> ''), ' ')) AS text_sha256 FROM tok LEFT JOIN g USING (page_id)""",
     "page_structure": rf"""WITH {TREE},
-tx AS (SELECT page_id, unnest(range(1, len(texts) + 1)) AS k, unnest(texts) AS x FROM tok),
-ev AS (SELECT st.page_id, st.i, st.stack FROM st),
-fu AS (SELECT el.page_id, el.node, string_agg(tx.x, ' ' ORDER BY tx.k) AS text FROM el
-  JOIN ev ON ev.page_id = el.page_id AND ev.i >= el.i AND list_contains(list_transform(ev.stack, lambda s: s.n), el.node) JOIN tx ON tx.page_id = ev.page_id AND tx.k = ev.i + 1 AND tx.x <> '' GROUP BY ALL),
-f AS (SELECT el.*, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words, {_ATTR('class')} AS cls,
+{_TEXTS}f AS (SELECT el.*, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words, {_ATTR('class')} AS cls,
   coalesce(nullif({_ATTR('href')}, ''), {_ATTR('src')}) AS href, regexp_extract(coalesce(text, ''), {quoted(markup.STEP)}, 1) AS step FROM el LEFT JOIN fu USING (page_id, node)),
 b AS (SELECT page_id, parent, count(*) FILTER (tag = 'p') AS paragraphs, count(*) FILTER (tag = 'li') AS items, count(*) FILTER (tag = 'a') AS anchors, count(*) FILTER (tag = 'details') AS details,
   count(*) FILTER (tag = 'img') AS images, count(DISTINCT CASE WHEN tag = 'img' THEN href END) AS sources, count(DISTINCT CASE WHEN step IN ('1', '2', '3') THEN step END) AS steps,
@@ -82,4 +114,6 @@ p AS (SELECT page_id, sum(children)::BIGINT AS elements, sum(leaves)::BIGINT AS
   sum(sparkles)::BIGINT AS sparkles, sum(leads)::BIGINT AS bold_leads, coalesce(max(longest), 0) AS longest_paragraph, sum(headings)::BIGINT AS headings, sum(h1)::BIGINT AS h1, sum(details)::BIGINT AS details, sum(faqs)::BIGINT AS faqs,
   max(cards) AS cards, count(*) FILTER (steps = 3 AND numbered <= 6) AS step_rows, count(*) FILTER (images BETWEEN 4 AND 12 AND sources < images) AS logo_rows FROM b GROUP BY page_id)
 SELECT *, details >= 3 OR faqs >= 1 AS faq_accordion, step_rows >= 1 AS numbered_steps, logo_rows >= 1 AS fake_logo_bar, sparkles >= 1 AS ai_sparkle_badges, cards >= 3 AS card_row, bare_links >= 1 AS dead_links, h1 <> 1 AS h1_not_single FROM p""",
+    "page_ruleset": f"WITH {_RULED} SELECT * FROM o",
+    "page_assertions": f"WITH {_RULED} SELECT page_id, rule_id AS key, CASE rule_id WHEN 'long_paragraphs' THEN 'failure' ELSE 'warning' END AS kind FROM o WHERE triggered AND rule_id IN ('long_paragraphs', 'short_links')",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import json
 import random
 import re
 from html.parser import HTMLParser
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import spans
 from tessera.functions.prefix import running
 from tessera.functions.text import normalised
-from tessera.operators import markup, site
+from tessera.operators import markup, ruleset, site
 from tessera.sources import dom
 from tessera.sources.html import page_links, resolve, sitemap_frontier
 
@@ -179,6 +180,34 @@ def test_links_and_site_maps(spark):
     assert sorted(tuple(r) for r in got) == [("s", 1, "p1"), ("s", 2, "p2"), ("s", 3, "q1"), ("s", 4, "q&2")]
 
 
+def test_rule_sets_are_checked_and_run(spark):
+    good = {"id": "r", "label": "R", "short": "r", "weight": 1, "detect": {"when": [{"text": {"minLen": 2}}]}}
+    assert ruleset.faults(good) == []
+    wrong = [
+        ("x", "object"), ({**good, "id": "A b"}, "id"), ({**good, "label": ""}, "label"), ({**good, "weight": 41}, "weight"), ({**good, "weight": True}, "weight"), ({**good, "category": "x"}, "category"), ({**good, "detect": None}, "detect"),
+        ({**good, "detect": {"when": []}}, "when"), ({**good, "detect": {"when": [{}]}}, "when[0]"), ({**good, "detect": {"when": [{"text": {"matches": "("}}]}}, "matches"), ({**good, "detect": {"when": [{"semantic": "pink"}]}}, "semantic"),
+        ({**good, "detect": {**good["detect"], "trigger": {"x": 1}}}, "trigger"), ({**good, "detect": {**good["detect"], "scope": {"selector": "a > b"}}}, "selector"),
+    ]
+    assert all(any(word in f for f in ruleset.faults(rule)) for rule, word in wrong)
+    with pytest.raises(ValueError):
+        ruleset.parsed([json.dumps(good), json.dumps(good)])
+    with pytest.raises(ValueError):
+        ruleset.parsed([json.dumps({**good, "weight": -1})])
+    page = "<div class='ad x' style='color:#7c3aed;padding:12.5px;font-family:\"Inter\", serif'>Buy now</div><p style='color: #111'>abc</p><p>de</p><b></b>"
+    e = dom.elements(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))
+    cases = {
+        "a": ({"when": [{"semantic": "purple"}]}, 1), "b": ({"when": [{"style": "padding", "gte": 12, "lte": 13}]}, 1), "c": ({"when": [{"style": "padding", "gte": 13}]}, 0), "d": ({"when": [{"semantic": "slopFont", "style": "fontFamily"}]}, 1),
+        "e": ({"when": [{"style": "color", "oneOf": ["#111", "#222"]}, {"text": {"maxLen": 3}}]}, 1), "f": ({"scope": {"selector": ".ad.x"}, "when": [{"text": {"matches": "BUY", "flags": "i"}}]}, 1),
+        "g": ({"scope": {"selector": "p, b"}, "when": [{"text": {"notMatches": "c"}}]}, 2), "h": ({"when": [{"style": "color", "equals": "#111"}]}, 1), "i": ({"when": [{"style": "color", "includes": "7c3"}]}, 1), "j": ({"when": [{"semantic": "dark"}]}, 1),
+    }
+    rules = [{**good, "id": k, "detect": {**d, "trigger": {"minRatio": 0.5}}} for k, (d, _) in cases.items()]
+    got = {r["rule_id"]: r for r in ruleset.applied(e, ruleset.parsed(map(json.dumps, rules))).collect()}
+    assert {k: r["hits"] for k, r in got.items()} == {k: n for k, (_, n) in cases.items()}
+    assert got["g"]["total"] == 3 and got["g"]["triggered"] and got["g"]["samples"] == ["de"] and not got["a"]["triggered"]
+    kinds = ruleset.rule_assertions(ruleset.applied(e, rules), {"f": "error", "g": "warn", "a": "error", "b": "off"}).collect()
+    assert {(r["key"], r["kind"]) for r in kinds} == {("f", "failure"), ("g", "warning")}
+
+
 def test_artifacts_are_found_before_boilerplate_goes(spark):
     """A notice on every page is boilerplate, and still a finding; hashes leave out what strings would."""
     notice = "As an AI language model, I cannot fulfill this request."
