@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import exact_dedup, mixing, packing, pii, quality, simhash, toxicity, topk, warc
+from tessera.llm import exact_dedup, mixing, packing, pii, quality, simhash, topk, warc
 from tessera.llm.queries import QUERIES, tokenizer_path
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
