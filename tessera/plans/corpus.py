@@ -11,7 +11,6 @@ from tessera.functions import catalog
 from tessera.functions.regex import quoted
 from tessera.functions.text import SQL_FUNCTION_WORDS, fnv1a, rounded, sql_fnv1a, sql_rounded, sql_words, tier, verdict, words
 from tessera.operators import corpus as c
-from tessera.plans.history import FIRST
 from tessera.sources.tables import SCAN_RULES, SCANS_SQL, SQL_FLAGGED, flagged, scans, spread, table
 
 DRIFT_TERMS = ["the", "of", "and", "with", "this", "from", "that", "is", "les", "und"]

@@ -15,7 +15,7 @@ from tessera.functions.regex import Pattern, quoted
 from tessera.functions.spans import SAMPLES, merged, quotes, samples, without
 from tessera.functions.text import sql_words, words
 from tessera.plans.copy import P_SQL
-from tessera.sources.html import LINK, NO_PAGE, SCHEME, host, page_links, resolve, sitemap_frontier
+from tessera.sources.html import LINK, NO_PAGE, SCHEME, page_links, resolve, sitemap_frontier
 from tessera.sources.tables import spread, table
 
 RULES: dict[str, Pattern] = {"nominalisation": c.NOMINALISATION, "abbreviation": c.ABBREVIATION, "tricolon": c.TRICOLON[0], "tricolon_end": c.TRICOLON[1]}
