@@ -13,6 +13,7 @@ from tessera.functions.text import (
 from tessera.operators.copyrules import context, evidence
 from tessera.operators.copyscore import gates, scored
 from tessera.sources.html import (
+    KEPT, MOST_ATTRIBUTES, PAIR, TAG,
     HEADING, LANGUAGE, LINK, PARAGRAPH, attributes, copy_input, host, sql_strip_html, sql_without_code, strip_html,
 )
 from tessera.sources.literal import copy_cases
@@ -281,6 +282,12 @@ SELECT page_id, nullif(regexp_extract(bare, {quoted(LANGUAGE._plain(LANGUAGE.sou
     lambda v: len(v) BETWEEN 4 AND 500))) AS attributes FROM p""",
     "html_links": f"""WITH {P_SQL}, l AS (SELECT page_id, {LINK.sql_all('bare', 1)} AS h, {LINK.sql_all('bare', 2)} AS t FROM p)
 SELECT page_id, i - 1 AS ord, trim(h[i]) AS href, substr({sql_strip_html('t[i]')}, 1, 100) AS text FROM (SELECT *, unnest(range(1, least(300, len(h)) + 1)) AS i FROM l)""",
+    "html_attributes": f"""WITH t AS (SELECT page_id, {TAG.sql_all('html', 1)} AS ts, {TAG.sql_all('html', 2)} AS rs FROM pages),
+u AS (SELECT page_id, unnest(range(1, len(ts) + 1)) AS i, ts, rs FROM t),
+v AS (SELECT page_id, i, lower(ts[i]) AS tag, regexp_extract_all(rs[i], {quoted(PAIR)}, 1) AS ks, regexp_extract_all(rs[i], {quoted(PAIR)}, 2) AS vs FROM u WHERE rs[i] LIKE '%=%'),
+w AS (SELECT page_id, i, tag, unnest(range(1, len(ks) + 1)) AS j, ks, vs FROM v),
+x AS (SELECT page_id, tag, lower(ks[j]) AS attr, vs[j] AS value, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS place FROM w WHERE regexp_matches(ks[j], {quoted(KEPT)}) AND length(vs[j]) BETWEEN 4 AND 500)
+SELECT page_id, tag, attr, count(*) AS n, min(value) AS first_value, max(value) AS last_value FROM x WHERE place <= {MOST_ATTRIBUTES} GROUP BY page_id, tag, attr""",
     "utm_links": f"""SELECT page_id, {_GET('utm_source')} AS utm_source, {_GET('page')} AS page,
   coalesce(lower({_GET('utm_source')}) IN ('chatgpt.com', 'openai', 'copilot.com'), false) OR coalesce(lower({_GET('referrer')}) = 'grok.com', false) AS from_assistant FROM pages""",
 }
