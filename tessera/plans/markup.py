@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.regex import quoted
-from tessera.operators import markup, ruleset
+from tessera.operators import design, markup, ruleset
 from tessera.sources import dom
 from tessera.sources.html import ENTITIES
 from tessera.sources.tables import spread, table
@@ -39,6 +39,12 @@ def page_assertions(spark: SparkSession, d: str) -> DataFrame:
     return ruleset.rule_assertions(found, {"long_paragraphs": "error", "short_links": "warn", "plain_ads": "off"})
 
 
+def page_waivers(spark: SparkSession, d: str) -> DataFrame:
+    """Waivers that pages would carry if their ads' comments and boxes named rules."""
+    html = F.replace(F.replace(F.coalesce("html", F.lit("")), F.lit("<!-- ad "), F.lit("<!-- slop-ignore stat_banner bento_grid, ad_")), F.lit('class="ad"'), F.lit('class="ad" data-slop-ignore="purple_accent, gradient_text -- brand colours"'))
+    return table(spark, d, "pages").select("page_id", F.explode(design.inline_waivers(html)).alias("w")).select("page_id", "w.rule_id", "w.reason")
+
+
 def _list(words: list[str]) -> str:
     return "[" + ", ".join(map(quoted, words)) + "]"
 
@@ -95,7 +101,7 @@ m AS (SELECT page_id, rule_id, string_agg(substr(t, 1, 40), '|' ORDER BY node) A
 k AS (SELECT * FROM (SELECT DISTINCT page_id FROM f), (VALUES ('long_paragraphs', 3.0::DOUBLE), ('short_links', 2.0), ('plain_ads', 1.0), ('painted', 4.0)) v(rule_id, weight)),
 o AS (SELECT page_id, rule_id, weight, coalesce(total, 0) AS total, coalesce(hits, 0) AS hits, coalesce(samples, '') AS samples,
   CASE rule_id WHEN 'long_paragraphs' THEN coalesce(hits, 0) >= 2 WHEN 'short_links' THEN coalesce(hits / total >= 0.4, false) ELSE coalesce(hits, 0) >= 1 END AS triggered FROM k LEFT JOIN g USING (page_id, rule_id) LEFT JOIN m USING (page_id, rule_id))"""
-QUERIES = {f.__name__: f for f in (element_tree, page_structure, page_ruleset, page_assertions)}
+QUERIES = {f.__name__: f for f in (element_tree, page_structure, page_ruleset, page_assertions, page_waivers)}
 ORACLES = {
     "element_tree": f"""WITH {TREE},
 g AS (SELECT page_id, count(*) AS elements, max(depth) AS deepest, string_agg(concat_ws(':', node, tag, coalesce(parent, -1), depth, inside), ',' ORDER BY node) AS lines FROM el GROUP BY page_id)
@@ -116,4 +122,7 @@ p AS (SELECT page_id, sum(children)::BIGINT AS elements, sum(leaves)::BIGINT AS
 SELECT *, details >= 3 OR faqs >= 1 AS faq_accordion, step_rows >= 1 AS numbered_steps, logo_rows >= 1 AS fake_logo_bar, sparkles >= 1 AS ai_sparkle_badges, cards >= 3 AS card_row, bare_links >= 1 AS dead_links, h1 <> 1 AS h1_not_single FROM p""",
     "page_ruleset": f"WITH {_RULED} SELECT * FROM o",
     "page_assertions": f"WITH {_RULED} SELECT page_id, rule_id AS key, CASE rule_id WHEN 'long_paragraphs' THEN 'failure' ELSE 'warning' END AS kind FROM o WHERE triggered AND rule_id IN ('long_paragraphs', 'short_links')",
+    "page_waivers": """WITH h AS (SELECT page_id, replace(replace(coalesce(html, ''), '<!-- ad ', '<!-- slop-ignore stat_banner bento_grid, ad_'), 'class="ad"', 'class="ad" data-slop-ignore="purple_accent, gradient_text -- brand colours"') AS html FROM pages),
+n AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, 'data-slop-ignore\\s*=\\s*["'']([^"'']*)["'']', 1), regexp_extract_all(html, '<!--\\s*slop-ignore\\s+([^>]*?)\\s*-->', 1))) AS x FROM h)
+SELECT DISTINCT page_id, rule_id, regexp_extract(x, '\\s+(?:--|:)\\s+(.*)$', 1) AS reason FROM (SELECT page_id, x, unnest(string_split_regex(regexp_replace(x, '\\s+(?:--|:)\\s+.*$', ''), '\\s*[,\\s]\\s*')) AS rule_id FROM n) WHERE rule_id <> ''""".replace("\\\\", "\\"),
 }
