@@ -10,6 +10,8 @@ from tessera.functions.regex import Pattern as P
 from tessera.functions.regex import quoted
 
 MOST_LINKS, MOST_ATTRIBUTES = 300, 300
+#: Pages of a folder that are scanned at once.
+MOST_FILES = 40
 CODE = ["script", "style", "noscript"]
 #: Entities that are resolved, in this order.
 ENTITIES = [("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'), ("(?i)&#39;|&apos;", "'")]
@@ -103,6 +105,19 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return named.where(~F.col("url").rlike(r"/(?:node_modules|\.git)/") & F.col("url").rlike(r"(?i)\.html?$"))
 
 
+def scan_folder(spark: SparkSession, path: str, most: int = MOST_FILES) -> DataFrame:
+    """url, html, truncated: the first ``most`` pages of a folder by their paths, and whether there are more.
+
+    Paths are ordered without the pages; of those only the first are read.
+    """
+    pages = read_pages(spark, path)
+    # one path more than is wanted tells whether there are more
+    first = pages.select("url").orderBy("url").limit(most + 1).withColumn("_n", F.row_number().over(W.orderBy("url")))
+    all_ = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    kept = first.withColumn("truncated", F.max("_n").over(all_) > most).where(F.col("_n") <= most).drop("_n")
+    return pages.join(F.broadcast(kept), "url")
+
+
 def sitemap_urls(xml: Column) -> Column:
     found = F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
     return F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))

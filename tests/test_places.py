@@ -19,7 +19,7 @@ from tessera.functions.prefix import running
 from tessera.functions.text import normalised
 from tessera.operators import markup, ruleset, site
 from tessera.sources import dom
-from tessera.sources.html import page_links, resolve, sitemap_frontier
+from tessera.sources.html import page_links, resolve, scan_folder, sitemap_frontier
 
 NODE = ("node", "parent", "tag", "depth", "start", "stop", "text_start", "text_stop", "attributes", "direct_text", "inside")
 
@@ -219,6 +219,16 @@ def test_artifacts_are_found_before_boilerplate_goes(spark):
     assert {r["url"] for r in found.where("rule_id = 'chatbot_reply_residue'").collect()} == {f"http://a.example/{k}" for k in range(6)}
 
 
+def test_folders_are_scanned_in_order_up_to_a_bound(spark, tmp_path):
+    for name in ("b.html", "a.htm", "sub/c.HTML", "node_modules/x.html", ".git/y.html", "d.txt", "sub/deep/e.html"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"<p>{name}</p>")
+    got = scan_folder(spark, str(tmp_path), 2).collect()
+    assert sorted((r["url"].rsplit("/", 1)[1], r["html"], r["truncated"]) for r in got) == [("a.htm", "<p>a.htm</p>", True), ("b.html", "<p>b.html</p>", True)]
+    whole = scan_folder(spark, str(tmp_path)).collect()
+    assert {r["truncated"] for r in whole} == {False} and {"a.htm", "b.html", "e.html"} <= {r["url"].rsplit("/", 1)[1] for r in whole} and not any("node_modules" in r["url"] or ".git" in r["url"] for r in whole)
+
+
 def test_running_sums(spark):
     rng = random.Random(8)
     rows = [(g, k, rng.randint(1, 9)) for g in "ab" for k in rng.sample(range(-500, 500), 300)] + [("a", None, 5), ("c", 1, 1)]
