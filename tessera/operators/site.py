@@ -44,7 +44,8 @@ def eligibility(pages: DataFrame) -> DataFrame:
 
 
 def chunks(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n{2,}|(?<=[.!?])\s+"), F.trim), lambda c: c != "")
+    # F.trim takes a second argument, which F.transform would fill with the place
+    return F.filter(F.transform(F.split(text, r"\n{2,}|(?<=[.!?])\s+"), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def key(chunk: Column) -> Column:
