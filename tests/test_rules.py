@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import catalog, color
-from tessera.functions.text import compatibility, fnv1a, normalised
+from tessera.functions.spans import View
+from tessera.functions.text import TOKEN, compatibility, fnv1a, normalised, words
 from tessera.operators import corpus, report
+from tessera.operators.copyrules import context, evidence
 from tessera.plans.registry import queries
 from tests.conftest import SMALL
 
@@ -229,3 +232,26 @@ def test_held_out_rows_stop_a_fit(spark):
     assert held_out_guard(rows).count() == 2
     with pytest.raises(Exception, match="held-out domain"):
         held_out_guard(rows.union(spark.createDataFrame([("c", "held_out")], rows.schema))).collect()
+
+
+def test_words_and_views_are_the_same_by_every_way(spark):
+    """Counting by first letters against counting matches, and letters left alone against all of them looked up."""
+    rng = random.Random(3)
+    letters = ["a", "B", ".", "\u00e4", "\u00aa", "\u0132", "\u00a0", "\u00ad", "\u2003", "\u3000", "\ufeff", "\u202f", "\u0430", "\U0001d400", "\ufb01", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\x1c", "\x85"]
+    texts = ["", " ", "\n a", "a ", "\u00a0a"] + ["".join(rng.choices(letters[: rng.choice([3, 5, 8, 23])] + letters[15:17], k=rng.randint(1, 12))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select("text", words(F.col("text")).alias("n"), F.regexp_count("text", F.lit(TOKEN)).alias("m"), normalised(F.col("text")).alias("v")).collect()
+    assert [r["n"] for r in got] == [r["m"] for r in got]
+    assert [r["v"] for r in got] == [View(t).text for t in texts]
+
+
+def test_counting_words_makes_no_list_of_them(spark):
+    """A regular expression's matches are values of their own: for words that was most of a score's time."""
+    plan = spark.createDataFrame([("a b",)], "text string").select(words(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan
+
+
+def test_buzzwords_are_found_as_one_by_one(spark):
+    text = " ".join(catalog.BUZZWORDS) + " " + " ".join(w + "x -" + w for w in catalog.BUZZWORDS) + " delve delve delve"
+    got = evidence(context(spark.createDataFrame([(text,)], "text string")), ["buzzword_density"]).first()["buzzword_density"]
+    assert (got["total"], got["distinct"]) == (len(catalog.BUZZWORDS) + 2, len(catalog.BUZZWORDS))
