@@ -14,6 +14,8 @@ from tessera.sources.html import canonical_url, copy_input, host
 
 SAMPLE, MOST_SAMPLE, LEAST_WORDS, QUALIFY_WORDS, QUALIFY_PAGES = 5, 15, 50, 150, 5
 LEAST_KEY, SHARED = 15, 0.5
+#: Places that a site's pages are dealt to; entries of a list that is searched as it is.
+DEALT, LONG = 16, 32
 SOURCES = ("seed", "sitemap", "link")
 
 
@@ -59,39 +61,39 @@ def _hashes(pages: DataFrame) -> Column:
 
 
 def shared_chunks(pages: DataFrame) -> DataFrame:
-    """site, _page (hash of a page's content), shared: the hashes of its chunks that are on more than half of the site's other pages.
+    """site, pages, shared: how many pages a site has, and the hashes of the chunks that are on more than half of its other pages.
 
-    Hashes move, pages don't. A page's chunks are told apart within its row, so a chunk
-    that is everywhere is counted by partial aggregates; a page's list holds no more than
-    its own chunks.
+    A chunk that is everywhere is counted by partial aggregates. As each of them is on half
+    of the pages or more, a site's list holds at most some twice the chunks of its mean page.
     """
-    hashed = pages.select("site", _content().alias("_page"), _hashes(pages).alias("hashes"))
     size = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    seen = hashed.select("site", F.explode("hashes").alias("hash")).groupBy("site", "hash").agg(F.count(F.lit(1)).alias("on"))
-    often = seen.join(size, "site").where((F.col("on") - 1) / F.greatest(F.lit(1), F.col("pages") - 1) > SHARED).select("site", "hash")
-    own = hashed.select("site", "_page", F.explode("hashes").alias("hash")).join(often, ["site", "hash"], "left_semi")
-    return own.groupBy("site", "_page").agg(F.collect_set("hash").alias("shared"))
-
-
-def _content() -> Column:
-    return F.xxhash64("text", "headings", "paragraphs")
+    seen = pages.select("site", F.explode(_hashes(pages)).alias("hash")).groupBy("site", "hash").agg(F.count(F.lit(1)).alias("on"))
+    often = seen.join(size, "site").where((F.col("on") - 1) / F.greatest(F.lit(1), F.col("pages") - 1) > SHARED)
+    return size.join(often.groupBy("site").agg(F.collect_list("hash").alias("shared")), "site", "left")
 
 
 def stripped(pages: DataFrame) -> DataFrame:
-    """``pages`` with boilerplate taken out of text, headings and paragraphs; ``stripped`` counts the text's lost chunks."""
-    size = pages.groupBy("site").agg(F.count(F.lit(1)).alias("_pages"))
-    both = pages.withColumn("_page", _content()).join(shared_chunks(pages), ["site", "_page"], "left").join(size, "site")
-    both = both.withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
-    keep = lambda cs: F.filter(cs, lambda c: ~F.array_contains(F.col("shared"), F.xxhash64(key(c))))
+    """``pages`` with boilerplate taken out of text, headings and paragraphs; ``stripped`` counts the text's lost chunks.
+
+    Pages move once, those of a site to ``DEALT`` places, each with a copy of its list. A page
+    without a site shares nothing.
+    """
+    place = F.pmod(F.xxhash64(*[c for c in ("url", "text") if c in pages.columns]), F.lit(DEALT))
+    lists = shared_chunks(pages).select("site", F.col("pages").alias("_pages"), "shared", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEALT - 1).cast("bigint"))).alias("_place"))
+    both = pages.withColumn("_place", place).join(lists, ["site", "_place"], "left")
+    # of a long list a page's chunks are looked for in what is its own
+    own = F.when(F.size("shared") > LONG, F.array_intersect(_hashes(pages), F.col("shared"))).otherwise(F.coalesce("shared", F.array().cast("array<bigint>")))
+    both = both.withColumn("_shared", own).withColumn("_chunks", chunks(F.col("text")))
+    keep = lambda cs: F.when(F.size("_shared") == 0, cs).otherwise(F.filter(cs, lambda c: ~F.array_contains(F.col("_shared"), F.xxhash64(key(c)))))
     prose = lambda items: F.filter(F.transform(items, lambda x: F.array_join(keep(chunks(x)), "\n\n")), lambda x: x != "")
-    one = F.col("_pages") < 2
-    out = both.withColumn("_kept", keep(chunks(F.col("text"))))
+    one = F.coalesce("_pages", F.lit(0)) < 2
+    out = both.withColumn("_kept", F.when(one, F.col("_chunks")).otherwise(keep(F.col("_chunks"))))
     return out.withColumns({
-        "stripped": F.when(one, 0).otherwise(F.size(chunks(F.col("text"))) - F.size("_kept")),
+        "stripped": F.size("_chunks") - F.size("_kept"),
         "headings": F.when(one, F.col("headings")).otherwise(prose(F.col("headings"))),
         "paragraphs": F.when(one, F.col("paragraphs")).otherwise(prose(F.col("paragraphs"))),
         "text": F.when(one, F.col("text")).otherwise(F.array_join("_kept", "\n\n")),
-    }).drop("_kept", "shared", "_pages", "_page")
+    }).select(*pages.columns, "stripped")
 
 
 def artifact_findings(pages: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def html_sites(pages: DataFrame) -> DataFrame:
 
 def multi_page(pages: DataFrame, least_pages: int = QUALIFY_PAGES) -> DataFrame:
     """A row per site: pages scored without boilerplate, percentiles of those that qualify; no score for too few."""
-    each = scored(context(stripped(pages)), "lang").withColumn("qualifies", (F.col("words") >= QUALIFY_WORDS) & F.col("english"))
+    each = scored(context(stripped(pages.where("site IS NOT NULL"))), "lang").withColumn("qualifies", (F.col("words") >= QUALIFY_WORDS) & F.col("english"))
     q = F.when(F.col("qualifies"), F.col("score"))
     by = each.groupBy("site").agg(
         F.count(F.lit(1)).alias("total_pages"), F.count_if("qualifies").alias("qualifying_pages"), F.sum("stripped").alias("stripped_chunks"),
