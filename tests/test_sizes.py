@@ -28,3 +28,28 @@ def test_pages_without_a_site_stay_whole(spark, monkeypatch, long):
     assert sorted((str(r["url"]), r["stripped"], r["text"]) for r in got) == [
         *[("None", 0, f"The same line everywhere. Page {k}.") for k in range(3)], ("http://a.b/1", 1, "Page 3."), ("http://a.b/2", 1, "Page 4."), ("http://c.d/", 0, "The same line everywhere. Page 5."),
     ]
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    """A file is cut into as many tasks as its bytes allow, but only one of them gets the rows of a row group."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.sources.tables import spread
+
+    one, many = str(tmp_path / "one.parquet"), str(tmp_path / "many.parquet")
+    rows = pa.table({"k": range(40_000), "s": [f"{k * 7919 % 40_009:x}" * 4 for k in range(40_000)]})
+    pq.write_table(rows, one, row_group_size=40_000)
+    pq.write_table(rows, many, row_group_size=1_000)
+    by_task = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        read, even = spark.read.parquet(one), spark.read.parquet(many)
+        assert read.rdd.getNumPartitions() >= 8 and by_task(read) == [40_000]
+        dealt = spread(read)
+        assert len(by_task(dealt)) >= 4 and max(by_task(dealt)) < 12_000
+        assert sorted(r["k"] for r in dealt.select("k").collect()) == list(range(40_000))
+        assert spread(even) is even
+        assert spread(read.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
