@@ -21,9 +21,15 @@ WORD = "[a-z]+(?:-[a-z]+)*"
 STOPWORDS = "the and for with that this from your you are our all can more into have will not but out use one get any how per via".split()
 
 
-def term_counts(docs: DataFrame, terms: Column, *keys: str) -> DataFrame:
-    """How often each term occurs by ``keys``. Terms are counted within the document before they are moved."""
+#: Terms of a lexicon that go to all tasks; a larger one is joined.
+HELD = 200_000
+
+
+def term_counts(docs: DataFrame, terms: Column, *keys: str, only: DataFrame | None = None) -> DataFrame:
+    """How often each term occurs by ``keys``. Terms are counted within the document before they are moved; only those of a small table ``only``, if there is one."""
     within = docs.select(*keys, terms.alias("terms")).select(*keys, F.explode("terms").alias("term"))
+    if only is not None:
+        within = within.join(F.broadcast(only.select("term")), "term", "left_semi")
     return within.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -41,7 +47,8 @@ def log_odds(docs: DataFrame, side: Column, site: Column, scale: float = 10.0, l
         F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("y0"),
         F.count_distinct(F.when(F.col("side") == 1, F.col("site"))).alias("sites"),
     )
-    total = by.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.greatest(F.lit(1.0), F.count(F.lit(1)) * scale).alias("a0"))
+    # terms are counted by a column that is never below 0: all of them, by the same columns as below, so that both are made of one shuffle
+    total = by.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.greatest(F.lit(1.0), F.count_if(F.col("sites") >= 0) * scale).alias("a0"))
     both = by.join(F.broadcast(total))  # a table of one row
     alpha = F.greatest(F.lit(least), (F.col("y1") + F.col("y0")) / F.greatest(F.lit(1), F.col("n1") + F.col("n0")) * F.col("a0"))
     both = both.withColumn("aw", alpha)
@@ -90,9 +97,17 @@ def monroe(docs: DataFrame, side: Column, least: float = 0.05, min_count: int =
 
 
 def excess_vocabulary(docs: DataFrame, lexicon: DataFrame, words: Column) -> DataFrame:
-    """doc_id, matched, score, triggered: how much of a lexicon of (term, z) a text uses. The lexicon is joined, however large."""
-    counts = term_counts(docs, F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)), "doc_id")
-    hits = counts.join(lexicon.where("z >= 3").select("term", "z"), "term").groupBy("doc_id").agg(
+    """doc_id, matched, score, triggered: how much of a lexicon of (term, z) a text uses.
+
+    The lexicon is made once. Up to ``HELD`` terms go to all tasks, and words that it lacks
+    never move; a larger one is joined.
+    """
+    lexicon, small = lexicon.where("z >= 3").select("term", "z"), None
+    found = lexicon.limit(HELD + 1).collect()
+    if len(found) <= HELD:
+        lexicon = small = F.broadcast(docs.sparkSession.createDataFrame(found, lexicon.schema))
+    counts = term_counts(docs, F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)), "doc_id", only=small)
+    hits = counts.join(lexicon, "term").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("matched"), F.sum(F.col("n") * F.round(F.col("z") * 1000).cast("long")).alias("milli")
     )
     out = docs.select("doc_id", words.alias("words")).join(hits, "doc_id", "left").na.fill(0, ["matched", "milli"])

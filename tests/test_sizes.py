@@ -53,3 +53,28 @@ def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
         assert spread(read.limit(0)).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("held", [0, 200_000])
+def test_only_a_lexicons_words_move(spark, monkeypatch, held):
+    """Counts of every word of every text went through two shuffles to meet a lexicon of few terms; one past the bound still does."""
+    from tessera.operators import corpus
+
+    monkeypatch.setattr(corpus, "HELD", held)
+    # a term that is listed twice counts twice, a document in two rows is one
+    docs = spark.createDataFrame([(1, "mill wheel mill"), (1, "wheel"), (2, None), (3, "nothing of it")], "doc_id long, text string")
+    lexicon = spark.createDataFrame([("mill", 3.0), ("wheel", 4.0), ("wheel", 4.0), ("it", 2.9)], "term string, z double")
+    found = corpus.excess_vocabulary(docs, lexicon, F.lit(4))
+    assert sorted(map(tuple, found.collect())) == [(1, 3, 11.0, True), (1, 3, 11.0, True), (2, 0, 0.0, False), (3, 0, 0.0, False)]
+    assert ("LeftSemi" in optimised(found)) == (held > 0)
+
+
+def test_terms_are_counted_once(spark):
+    """The totals and the terms' own rows were made of two passes over the texts."""
+    from tessera.operators import corpus
+
+    docs = spark.createDataFrame([(k, f"mill wheel{'s' * (k % 2)} river", f"s{k}") for k in range(12)], "doc_id long, text string, source string")
+    odds = corpus.log_odds(docs, (F.col("doc_id") % 2).cast("int"), F.col("source"), min_z=-1e9, min_sites=0)
+    odds_rows = odds.collect()
+    assert {(r["term"], r["y1"], r["y0"]) for r in odds_rows} == {("mill", 6, 6), ("river", 6, 6), ("wheel", 0, 6), ("wheels", 6, 0)}
+    assert "ReusedExchange" in odds._jdf.queryExecution().executedPlan().toString()
