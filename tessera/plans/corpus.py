@@ -35,7 +35,7 @@ def logodds_ngram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def excess_vocab(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return c.excess_vocabulary(docs, logodds_unigram(spark, d), words(F.coalesce("text", F.lit(""))))
 
 
@@ -51,7 +51,8 @@ def logodds_french(spark: SparkSession, d: str) -> DataFrame:
 
 def excess_vocab_french(spark: SparkSession, d: str) -> DataFrame:
     """How much every document uses them."""
-    return c.excess_vocabulary(table(spark, d, "documents").select("doc_id", "text"), logodds_french(spark, d), words(F.coalesce("text", F.lit(""))))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return c.excess_vocabulary(docs, logodds_french(spark, d), words(F.coalesce("text", F.lit(""))))
 
 
 def vocab_drift(spark: SparkSession, d: str) -> DataFrame:
