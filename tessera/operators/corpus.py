@@ -265,19 +265,27 @@ def scaling(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.where(np.isnan(sd) | (sd == 0), 1.0, sd)
 
 
-def typicality(vectors: DataFrame, queries: DataFrame, k: int = 25, block: int = 8192) -> DataFrame:
+#: Components of a block of vectors, and distances that are held at once.
+BLOCK, AT_ONCE = 1 << 21, 1 << 21
+
+
+def typicality(vectors: DataFrame, queries: DataFrame, k: int = 25, block: int | None = None) -> DataFrame:
     """vec_id, distance: mean distance to the k nearest of all ``vectors``, every component z-scaled over all of them.
 
-    Blocks of queries meet blocks of references, both of some ``block`` rows, dealt by a hash of id and
-    content. Of every meeting only the k nearest of each query go on, as one row, so a task holds two
-    blocks, and what moves is (queries + references) times the other side's blocks. A query is never its
-    own neighbour: references of the same vec_id, a key of the table, are left out. Rows with a null or
-    ragged vector take no part; where there are under two references there is nothing to compare with.
+    Blocks of queries meet blocks of references, both of some ``block`` rows (``BLOCK`` components,
+    8,192 rows at least, unless it is given), dealt by a hash of id and content; there are more
+    blocks of queries where the meetings wouldn't fill the cores. Of every meeting only the k nearest
+    of each query go on, as one row, so a task holds two blocks, and what moves is (queries +
+    references) times the other side's blocks. A query is never its own neighbour: references of the
+    same vec_id, a key of the table, are left out. Rows with a null or ragged vector take no part;
+    where there are under two references there is nothing to compare with.
     """
     mean, sd = scaling(vectors)
     sound = (F.size("embedding") == len(mean)) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
-    count = vectors.where(sound).count()
-    refs_in, queries_in = -(-max(count, 1) // block), -(-max(queries.where(sound).count(), 1) // block)
+    count, asked = vectors.where(sound).count(), queries.where(sound).count()
+    rows = block or max(8192, BLOCK // max(1, len(mean)))
+    refs_in, queries_in = -(-max(count, 1) // rows), -(-max(asked, 1) // rows)
+    queries_in = max(queries_in, min(-(-2 * vectors.sparkSession.sparkContext.defaultParallelism // refs_in), -(-asked // 512)))
 
     def dealt(rows: DataFrame, into: int, own: str, other: str, others: int) -> DataFrame:
         part = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(into)).cast("int")
@@ -288,12 +296,21 @@ def typicality(vectors: DataFrame, queries: DataFrame, k: int = 25, block: int =
         if not len(q) or not len(r):
             return pd.DataFrame({"vec_id": [], "near": []})
         x, y = ((np.stack(side["embedding"].to_numpy()).astype(np.float64) - mean) / sd for side in (q, r))
-        ids, length, out = r["vec_id"].to_numpy(), (y**2).sum(1), []
-        for low in range(0, len(x), 512):
-            some = x[low : low + 512]
-            dist = np.sqrt(np.maximum((some**2).sum(1)[:, None] + length - 2 * some @ y.T, 0))
-            dist[q["vec_id"].to_numpy()[low : low + 512, None] == ids] = np.inf
-            near = np.sort(np.partition(dist, min(k, len(y)) - 1, axis=1)[:, :k], axis=1)
+        asked, ids, length, out = q["vec_id"].to_numpy(), r["vec_id"].to_numpy(), (y**2).sum(1), []
+        order, twice = np.argsort(ids, kind="stable"), -2 * y.T
+        first, last = (np.searchsorted(ids[order], asked, side) for side in ("left", "right"))
+        last_near = min(k, len(y)) - 1
+        step = max(1, AT_ONCE // len(y))
+        for low in range(0, len(x), step):
+            some = x[low : low + step]
+            # squares: roots are taken of what is kept
+            dist = some @ twice
+            dist += length
+            dist += (some**2).sum(1)[:, None]
+            for n in np.flatnonzero(first[low : low + step] < last[low : low + step]):
+                dist[n, order[first[low + n] : last[low + n]]] = np.inf
+            dist.partition(last_near, axis=1)
+            near = np.sqrt(np.maximum(np.sort(dist[:, : last_near + 1], axis=1), 0))
             out += [row[np.isfinite(row)] for row in near]
         return pd.DataFrame({"vec_id": q["vec_id"], "near": out})
 

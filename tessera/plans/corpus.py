@@ -103,7 +103,8 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 def knn_typicality(spark: SparkSession, d: str) -> DataFrame:
     """Every vector against all others, with its ranks among their distances."""
     e = table(spark, d, "embeddings")
-    own = c.typicality(e, e)
+    # two numbers a vector, made once: ranks read them several times
+    own = c.typicality(e, e).persist()
     return c.typicality_ranks(own, own)
 
 

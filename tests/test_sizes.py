@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,4 +79,27 @@ def test_terms_are_counted_once(spark):
     odds = corpus.log_odds(docs, (F.col("doc_id") % 2).cast("int"), F.col("source"), min_z=-1e9, min_sites=0)
     odds_rows = odds.collect()
     assert {(r["term"], r["y1"], r["y0"]) for r in odds_rows} == {("mill", 6, 6), ("river", 6, 6), ("wheel", 0, 6), ("wheels", 6, 0)}
-    assert "ReusedExchange" in odds._jdf.queryExecution().executedPlan().toString()
+    final = odds._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Generate explode") == 1
+
+
+def test_distances_are_made_once_and_by_all_cores(spark):
+    """Every pair of vectors met twice, and those of a table of under 8,192 in one task."""
+    from tessera.operators import corpus
+    from tessera.plans.registry import queries
+    from tests.conftest import SMALL
+
+    assert "InMemoryRelation" in optimised(queries()["knn_typicality"](spark, SMALL))
+    # ids that are shared are never neighbours, also where a block holds several
+    rows = spark.createDataFrame([(k // 2, [float(k), float(k * k % 7)]) for k in range(1200)], "vec_id long, embedding array<float>")
+    plan = optimised(corpus.typicality(rows, rows))
+    assert re.search(r"pmod\(xxhash64\([^)]*\), 3\)", plan)
+    got = {r["vec_id"]: r["distance"] for r in corpus.typicality(rows, rows, k=1).collect()}
+    import numpy as np
+
+    x = np.array([r["embedding"] for r in rows.collect()], float)
+    z, ids = (x - x.mean(0)) / x.std(0, ddof=1), np.arange(1200) // 2
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    d[ids[:, None] == ids] = np.inf
+    want = np.minimum(d.min(1)[::2], d.min(1)[1::2])
+    assert len(got) == 600 and all(abs(got[k] - want[k]) < 2e-3 for k in range(600))
