@@ -96,7 +96,7 @@ def order_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(words(F.coalesce("text", F.lit(""))).alias("words"), F.col("n_chars"))
+    docs = spread(table(spark, d, "documents").select("text", "n_chars")).select(words(F.coalesce("text", F.lit(""))).alias("words"), F.col("n_chars"))
     return c.spearman(docs, "words", "n_chars")
 
 

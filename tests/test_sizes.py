@@ -103,3 +103,10 @@ def test_distances_are_made_once_and_by_all_cores(spark):
     d[ids[:, None] == ids] = np.inf
     want = np.minimum(d.min(1)[::2], d.min(1)[1::2])
     assert len(got) == 600 and all(abs(got[k] - want[k]) < 2e-3 for k in range(600))
+
+
+def test_ranks_of_one_row_group_are_made_by_all_cores(spark):
+    from tessera.plans.registry import queries
+    from tests.conftest import SMALL
+
+    assert "RepartitionByExpression" in optimised(queries()["spearman"](spark, SMALL))
