@@ -14,6 +14,7 @@ from tessera.functions import catalog
 from tessera.functions.prefix import running
 from tessera.functions.regex import Pattern
 from tessera.functions.text import fnv1a, rounded
+from tessera.operators.ngrams import counted
 
 TERM = "[a-z]{3,}(?:-[a-z]{2,})*"
 WORD = "[a-z]+(?:-[a-z]+)*"
@@ -85,10 +86,9 @@ def ngrams(text: Column, most: int = 3) -> Column:
 def monroe(docs: DataFrame, side: Column, least: float = 0.05, min_count: int = 2, most: int = 3) -> DataFrame:
     """Log odds of words and short word sequences, with a variance of two terms."""
     rows = docs.select("text", side.alias("side")).where("side IN (0, 1)")
-    terms = rows.select("side", F.explode(ngrams(F.coalesce("text", F.lit("")), most)).alias("term"))
-    by = terms.groupBy("term").agg(F.count_if(F.col("side") == 1).alias("y1"), F.count_if(F.col("side") == 0).alias("y0"))
-    total = by.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.count(F.lit(1)).cast("double").alias("a0"))
-    both = by.where(F.col("y1") + F.col("y0") >= min_count).join(F.broadcast(total))
+    by = counted(rows, most, STOPWORDS, min_count)
+    total = by.where("term IS NULL").agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.sum("terms").cast("double").alias("a0"))
+    both = by.where("term IS NOT NULL").join(F.broadcast(total))  # a table of one row
     both = both.withColumn("aw", F.greatest(F.lit(least), F.col("a0") * (F.col("y1") + F.col("y0")) / (F.col("n1") + F.col("n0"))))
     odds = lambda k: F.log((F.col("y" + k) + F.col("aw")) / (F.col("n" + k) + F.col("a0") - F.col("y" + k) - F.col("aw")))
     both = both.withColumn("delta", odds("1") - odds("0"))

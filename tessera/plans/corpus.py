@@ -31,7 +31,9 @@ def logodds_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def logodds_ngram(spark: SparkSession, d: str) -> DataFrame:
-    return c.monroe(_labelled(spark, d), F.col("quality"))
+    """Texts move to their labels at every size, unsorted: labels grow with them. This deals them to all cores, too."""
+    labels = table(spark, d, "labels").select("doc_id", "quality").where("quality IN (0, 1)")
+    return c.monroe(table(spark, d, "documents").select("doc_id", "text").join(labels.hint("shuffle_hash"), "doc_id"), F.col("quality"))
 
 
 def excess_vocab(spark: SparkSession, d: str) -> DataFrame:

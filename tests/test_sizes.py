@@ -110,3 +110,35 @@ def test_ranks_of_one_row_group_are_made_by_all_cores(spark):
     from tests.conftest import SMALL
 
     assert "RepartitionByExpression" in optimised(queries()["spearman"](spark, SMALL))
+
+
+ODD = [
+    "The mill's wheel -- the mill's wheel", "rock-'n'-roll 'tis 1990s 1990 -7- a b2 --", "", None, "İstanbul Kelvin café naïve mill\twheel\nmill", "-'-", "'", "x", "and the and the",
+    "mill", "wheel the", "한글 mill \U0001f600wheel-", "the the the the the the the the", "don't-- --don't 'don't' 12-34 12'", "mill\x00wheel mill\\nwheel, the mill.", " ", "word " * 3000,
+]
+
+
+@pytest.mark.parametrize("held,most,least", [(1 << 24, 3, 2), (1, 3, 1), (60, 1, 1), (60, 2, 2), (60, 5, 1)])
+def test_terms_move_in_rows_of_many(spark, monkeypatch, held, most, least):
+    """Each occurrence of a term was a string of its own, made by interpreted functions, and each term of a task a row of the shuffle."""
+    from tessera.operators import corpus, ngrams
+
+    monkeypatch.setattr(ngrams, "AT_ONCE", held)
+    docs = spark.createDataFrame([(text, (k + j) % 4 - (k % 2)) for k, text in enumerate(ODD) for j in range(3)], "text string, side int").coalesce(1)
+    rows = docs.where("side IN (0, 1)")
+    terms = rows.select("side", F.explode(corpus.ngrams(F.coalesce("text", F.lit("")), most)).alias("term"))
+    want = [(r["term"], r["y1"], r["y0"]) for r in terms.groupBy("term").agg(F.count_if(F.col("side") == 1).alias("y1"), F.count_if(F.col("side") == 0).alias("y0")).collect()]
+    got = ngrams.counted(rows, most, corpus.STOPWORDS, least).collect()
+    assert sorted((r["term"], r["y1"], r["y0"]) for r in got if r["term"] is not None) == sorted(w for w in want if w[1] + w[2] >= least)
+    totals = [r for r in got if r["term"] is None]
+    assert [sum(r[k] for r in totals) for k in ("y1", "y0", "terms")] == [sum(w[1] for w in want), sum(w[2] for w in want), len(want)]
+    odds = corpus.monroe(docs, F.col("side"), most=most)
+    assert "MapInArrow" in optimised(odds) and "explode" not in optimised(odds)
+    assert odds.count() == sum(w[1] + w[2] >= 2 for w in want)
+
+
+def test_no_terms_no_odds(spark):
+    from tessera.operators import corpus
+
+    for rows in ([], [(None, 1), ("", 0), ("a -- 7", 1)]):
+        assert corpus.monroe(spark.createDataFrame(rows, "text string, side int"), F.col("side")).collect() == []
