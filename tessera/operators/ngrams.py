@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task counts at once; a longer text is counted alone.
-AT_ONCE = 16 << 20
+AT_ONCE = 8 << 20
 #: Buckets of a shuffle partition, so that partitions even out, and of a table at least, so that a bucket's terms are few.
 BUCKETS, LEAST = 16, 512
 FOUND = "bucket int, terms string, y1 array<int>, y0 array<int>"
@@ -79,11 +79,11 @@ def count(texts: pa.Array, side: np.ndarray, most: int, stop: pa.Array, buckets:
     # within a bucket by the counts, so that they are packed to little
     order = np.argsort(np.minimum(by, 3).astype(np.uint8) @ np.array([4, 1], np.uint8), kind="stable")
     order = order[np.argsort(bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
-    each, by = bucket[order], by[order].astype(np.int32)
+    each, y1, y0 = bucket[order], by[:, 1].astype(np.int32)[order], by[:, 0].astype(np.int32)[order]
     first = np.flatnonzero(np.diff(each, prepend=np.uint64(buckets)))
     offsets = pa.array(np.append(first, len(each)), pa.int32())
     ordered = pa.concat_arrays([t for t, *_ in found]).take(pa.array(named[order])).cast(pa.string())
-    lists = [pa.ListArray.from_arrays(offsets, v) for v in (ordered, pa.array(by[:, 1]), pa.array(by[:, 0]))]
+    lists = [pa.ListArray.from_arrays(offsets, v) for v in (ordered, pa.array(y1), pa.array(y0))]
     return pa.RecordBatch.from_arrays([pa.array(each[first].astype(np.int32)), pc.binary_join(lists[0], "\n"), *lists[1:]], ["bucket", "terms", "y1", "y0"])
 
 
